@@ -153,3 +153,45 @@ ESTIMATE_LINES = 500
 JSON_DOCUMENT_MAX_BYTES = 32 * 1024 * 1024
 JSON_PREFIX_CHARS = 4 * 1024 * 1024
 PREVIEW_MAX_ROWS = 10000
+
+# Platforms on which each load method works (fixed values).
+BULK_INSERT_PLATFORMS = ["sql_server_2019", "sql_server_2022", "sql_server_2025", "azure_sql_db", "azure_sql_mi"]
+EXTERNAL_TABLE_PLATFORMS = ["sql_server_2019", "sql_server_2022", "sql_server_2025"]
+# External format -> platforms that can define it (fixed values).
+EXTERNAL_FORMAT_PLATFORMS = {
+    "DELIMITEDTEXT": PLATFORMS,
+    "PARQUET": ["sql_server_2022", "sql_server_2025", "azure_sql_db", "azure_sql_mi", "fabric_sql_db"],
+    "DELTA": ["sql_server_2022", "sql_server_2025"],
+    "ORC": ["sql_server_2019"],
+    "RCFILE": ["sql_server_2019"],
+    "JSON": [],
+}
+# Columnar type -> platforms whose OPENROWSET reads it (fixed values); other types read everywhere.
+OPENROWSET_PLATFORMS = {
+    "parquet": ["sql_server_2022", "sql_server_2025", "azure_sql_db", "azure_sql_mi", "fabric_sql_db"],
+    "delta": ["sql_server_2022", "sql_server_2025"],
+}
+# File types a profile can report.
+FILE_TYPES = ["csv", "delta", "excel", "iceberg", "json", "orc", "parquet", "rc", "text", "unknown"]
+
+# Recommended paths: (best option, fastest path, lowest cost) (fixed values).
+ADVICE_DEFAULT = (
+    "CREATE TABLE + INSERT validation flow",
+    "OPENROWSET for preview / exploratory access",
+    "OPENROWSET with projection/filtering",
+)
+ADVICE_FABRIC = (
+    "OPENROWSET with SELECT INTO / INSERT INTO ... SELECT",
+    "OPENROWSET for direct external access",
+    "OPENROWSET over parquet with projected columns",
+)
+ADVICE_TEXT = ("BULK INSERT for load, then validate in SQL", "BULK INSERT for local or staged CSV/text files")
+ADVICE_JSON = (
+    "Load JSON as text with OPENROWSET(SINGLE_CLOB), then parse with OPENJSON",
+    "OPENJSON after loading the file as NVARCHAR(MAX)",
+)
+ADVICE_CONVERT = ("%s is not supported; convert to CSV before loading", "Convert to CSV, then use BULK INSERT")
+ADVICE_COLUMNAR = ("OPENROWSET FORMAT='%s' over ABS, ADLS, or S3 storage", "OPENROWSET with projected columns")
+STAGING_DEFAULT = "Load to a staging table first, then transform into the final schema"
+STAGING_LARGE = "For large files, land data in staging and validate in batches"
+STAGING_SMALL = "For small files, direct load is fine, but keep a validation query ready"

@@ -41,7 +41,7 @@ def write_and_read(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str, per_core: int = 4) -> DataFrame:
+def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
     """Deal rows that stand for much work each (files, chunks) evenly over the cluster.
 
     The partition count is explicit: adaptive execution would merge such tiny rows into one task.
