@@ -75,15 +75,13 @@ def duplicate_names(headers: DataFrame) -> DataFrame:
 
 
 def first_rows(df: DataFrame, file: str, order_by: str, limit: int) -> DataFrame:
-    """First rows per file. Ranks within the partitions first, so a huge file never meets in one task whole."""
-    return (
-        df.withColumn("__slice", F.spark_partition_id())
-        .withColumn("__rank", F.row_number().over(Window.partitionBy(file, "__slice").orderBy(order_by)))
-        .filter(F.col("__rank") <= limit)
-        .withColumn("__rank", F.row_number().over(Window.partitionBy(file).orderBy(order_by)))
-        .filter(F.col("__rank") <= limit)
-        .drop("__slice", "__rank")
-    )
+    """First rows per file.
+
+    Spark cuts each partition to ``limit`` rows per file before it shuffles (for limits up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``), so a huge file never meets in one task.
+    """
+    rank = F.row_number().over(Window.partitionBy(file).orderBy(order_by))
+    return df.withColumn("__rank", rank).filter(F.col("__rank") <= limit).drop("__rank")
 
 
 def apply_overrides(df: DataFrame, overrides: dict[str, dict]) -> DataFrame:

@@ -70,11 +70,6 @@ def changed_files(current: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def vanished_files(current: DataFrame, known: DataFrame) -> DataFrame:
-    """Profiled entries that are gone."""
-    return known.join(current.select("path"), "path", "left_anti")
-
-
 def upsert_profiles(known: DataFrame, fresh: DataFrame) -> DataFrame:
     """Profiles with new ones in place of old ones of the same path; fields either side lacks become null."""
     return known.join(fresh.select("path"), "path", "left_anti").unionByName(fresh, allowMissingColumns=True)

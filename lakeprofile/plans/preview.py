@@ -9,7 +9,7 @@ from lakeprofile.lookups import PREVIEW_MAX_ROWS
 from lakeprofile.plans.profile import profile_location
 from lakeprofile.session import qualify
 from lakeprofile.sources import tables
-from lakeprofile.sources.delimited import read_delimited
+from lakeprofile.sources.delimited import csv_samples
 from lakeprofile.sources.inventory import list_location
 from lakeprofile.sources.workbook import workbook_samples
 
@@ -43,21 +43,25 @@ def _some_paths(files: DataFrame, limit: int) -> list[str]:
     return [row.path for row in files.orderBy("path").limit(limit).collect()]
 
 
+def _spread_cells(sample: DataFrame) -> DataFrame:
+    """The rows of one sampled file (at most ``PREVIEW_MAX_ROWS``) as columns of their own."""
+    names = sample.select("names").first().names
+    return sample.select(F.explode("rows").alias("row")).select(
+        *[F.get("row", F.lit(at)).alias(name) for at, name in enumerate(names)]
+    )
+
+
 def preview(spark: SparkSession, path: str, rows: int = 100) -> DataFrame:
     """First rows of one file or table folder. ``rows`` is held between 1 and 10000."""
     rows = clamp_rows(rows)
     path = qualify(spark, path)
-    profile = profile_location(spark, path).select(
-        "file_type", "delimiter", "has_header", "encoding", "json_format", "error"
-    ).first()
+    profile = profile_location(spark, path).select("file_type", "encoding", "json_format", "columns", "error").first()
     kind = profile.file_type
     if profile.error and kind not in ("delta", "iceberg"):
         raise ValueError(profile.error)
     if kind == "csv":
-        charset = {"utf-8-sig": "UTF-8", "ascii": "UTF-8", "latin-1": "ISO-8859-1"}.get(profile.encoding,
-                                                                                       profile.encoding.upper())
-        found = read_delimited(spark, path, delimiter=profile.delimiter, has_header=profile.has_header,
-                               encoding=charset, multiLine=True, mode="DROPMALFORMED")
+        one_file = spark.createDataFrame([(path, profile.encoding)], "path string, encoding string")
+        found = _spread_cells(csv_samples(one_file, rows))
     elif kind == "parquet":
         found = spark.read.parquet(path)
     elif kind == "orc":
@@ -73,15 +77,11 @@ def preview(spark: SparkSession, path: str, rows: int = 100) -> DataFrame:
         chosen = _some_paths(tables.first_data_files(_table_files(spark, path), below="data"), 1)
         found = spark.read.parquet(*chosen) if chosen else spark.createDataFrame([], T.StructType())
     elif kind == "json":
-        found = spark.read.option("multiLine", profile.json_format != "ndjson").json(path)
-        if "_corrupt_record" in found.columns:
-            found = found.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+        # Every member is read as text under the sampled keys: no inference pass, nothing lost to a type.
+        members = T.StructType([T.StructField(column.name, T.StringType()) for column in profile.columns])
+        found = spark.read.schema(members).option("multiLine", profile.json_format != "ndjson").json(path)
     elif kind == "excel":
-        names = workbook_samples(spark.createDataFrame([(path,)], "path string"), rows).select("names", "rows")
-        header = names.first().names
-        found = names.select(F.explode("rows").alias("row")).select(
-            *[F.get("row", F.lit(at)).alias(name) for at, name in enumerate(header)]
-        )
+        found = _spread_cells(workbook_samples(spark.createDataFrame([(path,)], "path string"), rows))
     else:
         found = spark.read.text(path).select(F.rtrim("value").alias("line"))
     return json_safe(found.limit(rows))
