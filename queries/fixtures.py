@@ -209,3 +209,16 @@ PROFILE_COLUMNS = f"""
                ELSE {STRING_TYPE.format(n='n_chars')} END AS sql_type
     FROM (SELECT *, unnest(range(0, doc_id % 4 + 2)) AS "at" FROM ({PROFILE_FILES}))
 """
+
+
+def single_file(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The first data file of a table written as delimited files in key order."""
+
+    def write(path: str) -> None:
+        rows = table(spark, sf_dir, name)
+        rows.orderBy(rows.columns[0]).write.options(header=True, escape='"').csv(path)
+
+    folder = once(spark, sf_dir, f"{name}-sorted-csv", write)
+    from lakeprofile.sources.inventory import inventory
+
+    return inventory(spark, folder).filter("name LIKE 'part-%'").agg(F.min("path")).first()[0]

@@ -1,7 +1,7 @@
 """All registered queries and their SQL."""
 
-from queries import json, names
+from queries import json, names, text
 
-MODULES = [names, json]
+MODULES = [names, json, text]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
