@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from lakeprofile.operators.columns import null_distribution
-from lakeprofile.sources.delimited import split_rejects
+from lakeprofile.sources.delimited import REJECTED, read_with_rejects
 
 
 class RejectLimitExceeded(ValueError):
@@ -48,13 +47,13 @@ def bulk_load(spark: SparkSession, path: str, table: str, schema: T.StructType,
 
     Rejects are counted before anything is written, so a load over its limit leaves the table untouched.
     """
-    good, rejected = split_rejects(spark, path, schema, **dialect)
-    # One row past the limit is enough to refuse; the count stops there.
-    errors = rejected.limit(max_errors + 1).count()
+    rows = read_with_rejects(spark, path, schema, **dialect)
+    rejected = F.col(REJECTED)
+    errors = rows.agg(F.count_if(rejected.isNotNull())).first()[0]
     if errors > max_errors:
-        raise RejectLimitExceeded(f"more than {max_errors} rejected rows in {path}")
-    with_batches = good.select(*[F.col(f"`{name}`") for name in spark.table(table).columns])
-    with_batches.write.option("maxRecordsPerFile", batch_rows).insertInto(table)
+        raise RejectLimitExceeded(f"{errors} rejected rows in {path}, {max_errors} allowed")
+    good = rows.filter(rejected.isNull()).select(*[F.col(f"`{name}`") for name in spark.table(table).columns])
+    good.write.option("maxRecordsPerFile", batch_rows).insertInto(table)
     return errors
 
 
@@ -96,9 +95,3 @@ def column_statistics(spark: SparkSession, table: str) -> DataFrame:
     return described.filter(F.col("info_name").isin(*wanted)).select(
         "column", F.col("info_name").alias("statistic"), F.col("info_value").alias("value")
     )
-
-
-__all__ = [
-    "RejectLimitExceeded", "bulk_load", "column_statistics", "external_table", "external_view", "load_into_existing",
-    "load_into_new", "null_distribution", "top_rows", "validate_load",
-]

@@ -67,9 +67,11 @@ def preview(spark: SparkSession, path: str, rows: int = 100) -> DataFrame:
     elif kind == "orc":
         found = spark.read.orc(path)
     elif kind == "delta":
-        # Enough files for the rows asked for; the rest of the snapshot is never opened.
-        live = tables.delta_data_files(tables.delta_actions(_table_files(spark, path)))
-        chosen = _some_paths(live, rows) or _some_paths(tables.first_data_files(_table_files(spark, path)), 1)
+        files = _table_files(spark, path)
+        live = tables.delta_data_files(tables.delta_actions(files))
+        # Files that hold rows, as many as rows were asked for; the rest of the snapshot is never opened.
+        chosen = _some_paths(live.filter("coalesce(num_records, 1) > 0"), rows)
+        chosen = chosen or _some_paths(tables.first_data_files(files), 1)
         if not chosen:
             raise ValueError("No underlying Parquet data file found")
         found = spark.read.parquet(*chosen)

@@ -133,10 +133,10 @@ def clob_openjson(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def single_documents(spark: SparkSession, sf_dir: str) -> str:
-    """Events as JSON array files of at most 5000 elements, one document per file."""
+    """Events as JSON array files of at most 50000 elements, one document per file."""
 
     def write(path: str) -> None:
-        events = chunked(table(spark, sf_dir, "events"), 5000)
+        events = chunked(table(spark, sf_dir, "events"), 50_000)
         element = F.struct("event_id", "user_id", "event_type", "props")
         documents = events.groupBy("chunk").agg(F.to_json(F.collect_list(element)).alias("value")).select("value")
         documents.write.option("maxRecordsPerFile", 1).text(path)

@@ -148,11 +148,12 @@ def clob_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole files as one text each."""
 
     def write(path: str) -> None:
-        table(spark, sf_dir, "documents").select("text").write.option("maxRecordsPerFile", 1).text(path)
+        table(spark, sf_dir, "documents").select("text").write.option("maxRecordsPerFile", 200).text(path)
 
     path = once(spark, sf_dir, "document-files", write)
     files = spark.read.text(path, wholetext=True)
-    return files.select(F.md5("value").alias("digest"), F.length("value").cast("bigint").alias("chars"))
+    breaks = F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit("")))
+    return files.agg(F.sum(F.length("value")).alias("chars"), F.sum(breaks).cast("bigint").alias("line_breaks"))
 
 
 def sniff_content(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +273,8 @@ ORACLES = {
               FROM documents)
         GROUP BY lang""",
     "text_line_count": f"SELECT lang, sum({_LINES})::BIGINT AS lines FROM documents GROUP BY lang",
-    "clob_read": "SELECT md5(text || chr(10)) AS digest, length(text) + 1 AS chars FROM documents",
+    "clob_read": f"""
+        SELECT sum(length(text) + 1)::BIGINT AS chars, sum({_LINES})::BIGINT AS line_breaks FROM documents""",
     "sniff_content": """
         SELECT 'lines of objects' AS kind, 'json' AS file_type UNION ALL SELECT 'delimited', 'csv'
         UNION ALL SELECT 'columnar', 'parquet'""",

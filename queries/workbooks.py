@@ -1,0 +1,63 @@
+"""Files Spark has no writer for, written from a table by the tasks that hold its rows."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+from collections.abc import Callable, Iterator
+from xml.sax.saxutils import escape
+
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+
+from lakeprofile.sources.storage import Storage, join_path
+
+ROWS_PER_FILE = 5000
+SPREADSHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+DOCUMENT = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
+
+
+def _cell(value) -> str:
+    if isinstance(value, str):
+        return f'<c t="inlineStr"><is><t>{escape(value)}</t></is></c>'
+    return f"<c><v>{value}</v></c>"
+
+
+def workbook_bytes(frame: pd.DataFrame) -> bytes:
+    rows = [list(frame.columns), *frame.itertuples(index=False)]
+    sheet = "".join(f"<row>{''.join(_cell(value) for value in row)}</row>" for row in rows)
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{SPREADSHEET}" xmlns:r="{DOCUMENT}"><sheets>'
+                                         '<sheet name="data" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{PACKAGE}"><Relationship Id="rId1" '
+                                                    'Target="worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/worksheets/sheet1.xml",
+                      f'<worksheet xmlns="{SPREADSHEET}"><sheetData>{sheet}</sheetData></worksheet>')
+    return content.getvalue()
+
+
+def write_files(df: DataFrame, folder: str, suffix: str, render: Callable[[pd.DataFrame], bytes]) -> None:
+    """One file per few thousand rows of each partition."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        storage = Storage()
+        number = 0
+        for batch in batches:
+            for start in range(0, len(batch), ROWS_PER_FILE):
+                # A task that runs again writes the same names again.
+                path = join_path(folder, f"part-{TaskContext.get().partitionId()}-{number}{suffix}")
+                number += 1
+                file_system, inner = storage.locate(path)
+                file_system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                with file_system.open_output_stream(inner) as handle:
+                    handle.write(render(batch.iloc[start:start + ROWS_PER_FILE]))
+                yield pd.DataFrame({"path": [path]})
+
+    df.mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+
+
+def write_workbooks(df: DataFrame, folder: str) -> None:
+    write_files(df, folder, ".xlsx", workbook_bytes)
