@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from lakeprofile.functions.lookup import as_column, look_up
+from lakeprofile.functions.lookup import as_column, first_contained, look_up
 from lakeprofile.lookups import DEFAULT_DECIMAL, DEFAULT_STRING, LONG_STRING, TYPES
 
 
@@ -26,9 +26,9 @@ def string_type(length: Column | str) -> Column:
 
 
 def _mapped(detected: Column, position: int) -> Column:
-    exact = look_up(detected, {row[0]: row[position] for row in TYPES})
-    contained = F.coalesce(*[F.when(detected.contains(row[0]), F.lit(row[position])) for row in TYPES])
-    return F.coalesce(exact, contained)
+    """Entry for a type name, else for the first known name it contains."""
+    known = {row[0]: row[position] for row in TYPES}
+    return F.coalesce(look_up(detected, known), look_up(first_contained(detected, list(known)), known))
 
 
 def sql_type(detected: Column | str, length: Column | str | None = None) -> Column:

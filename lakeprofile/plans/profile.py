@@ -179,6 +179,13 @@ def typed_entries(entries: DataFrame) -> DataFrame:
         "file_type", F.coalesce("table_type", type_by_extension("name"))
     )
     needs_head = by_name.filter(F.col("file_type").isNull() | F.col("file_type").isin(*TEXT_TYPES))
+    if needs_head.isEmpty():
+        # Nothing but self-describing formats: no bytes to read.
+        nothing = F.lit(None).cast("string")
+        return by_name.withColumns({
+            "head": nothing.cast("binary"), "head_error": nothing, "encoding": F.lit("binary"),
+            "encoding_confidence": F.lit(1.0),
+        })
     heads = file_heads(needs_head)
     typed = by_name.join(heads, "path", "left").withColumn(
         "file_type",

@@ -275,7 +275,7 @@ ORACLES = {
         UNION ALL SELECT 'documents', 'csv', count(*), 3, 0 FROM documents
         UNION ALL SELECT 'events', 'json', count(*), 4, 0 FROM events
         UNION ALL SELECT 'orders', 'parquet', count(*), 6, 0 FROM orders
-        UNION ALL SELECT 'texts', 'text', sum(length(text) - length(replace(text, chr(10), '')) + 1), NULL, 0 FROM documents
+        UNION ALL SELECT 'texts', 'text', sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT, NULL, 0 FROM documents
         UNION ALL SELECT 'sales.delta', 'delta', NULL, 2, 0""",
     "profile_columns": """
         SELECT folder, name, detected_type, true AS nullable, sql_type FROM (VALUES
