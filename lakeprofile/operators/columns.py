@@ -39,24 +39,20 @@ def string_widths(df: DataFrame) -> DataFrame:
 
 def infer_types(df: DataFrame, null_words: list[str] | None = None) -> DataFrame:
     """Detected type per column of an all-text table, over every row."""
-    measures = {}
-    for name in df.columns:
-        cell = cells.null_if_blank(F.col(f"`{name}`"), null_words)
-        # Rows that do not count (missing values) pass each test.
-        measures[name] = {
-            "any_value": F.bool_or(cell.isNotNull()),
-            "all_integer": F.bool_and(F.coalesce(cells.is_integer(cell), F.lit(True))),
-            "all_number": F.bool_and(F.coalesce(cells.is_number(cell), F.lit(True))),
-            "all_boolean": F.bool_and(F.coalesce(cells.is_boolean(cell), F.lit(True))),
-            "any_null": F.bool_or(cell.isNull()),
-            "null_count": F.count_if(cell.isNull()),
-        }
-    found = _rows_from_aggregates(df, measures)
-    detected = cells.column_type(*[F.col(label) for label in
-                                   ("any_value", "all_integer", "all_number", "all_boolean", "any_null")])
+    # Classes are told first, once per cell; the aggregation then only compares small numbers.
+    classes = df.select(*[
+        cells.cell_class(cells.null_if_blank(F.col(f"`{name}`"), null_words)).alias(name) for name in df.columns
+    ])
+    found = _rows_from_aggregates(classes, {
+        name: {"lowest": F.min(F.col(f"`{name}`")), "highest": F.max(F.col(f"`{name}`")),
+               "values": F.count(F.col(f"`{name}`")), "rows": F.count(F.lit(1))}
+        for name in df.columns
+    })
+    nulls = F.col("rows") - F.col("values")
+    detected = cells.column_type(F.col("lowest"), F.col("highest"), nulls > 0)
     # An empty table says nothing about its columns.
-    return found.select("ordinal", "name", F.when(F.col("any_value").isNull(), "object").otherwise(detected)
-                        .alias("detected_type"), "null_count")
+    return found.select("ordinal", "name", F.when(F.col("rows") == 0, "object").otherwise(detected)
+                        .alias("detected_type"), nulls.alias("null_count"))
 
 
 def null_distribution(df: DataFrame, names: Iterable[str] | None = None) -> DataFrame:

@@ -54,9 +54,10 @@ PROFILE = {
 
 def _branch(df: DataFrame, **columns: Column) -> DataFrame:
     """A branch's columns in the common layout, nulls where it has none."""
-    return df.select(
-        *[columns.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in PROFILE.items()]
-    )
+    return df.select(*[
+        columns[name].cast(kind).alias(name) if name in columns else F.expr(f"CAST(NULL AS {kind}) AS {name}")
+        for name, kind in PROFILE.items()
+    ])
 
 
 def _csv(files: DataFrame, chunk_bytes: int, sample_rows: int) -> DataFrame:

@@ -99,12 +99,9 @@ def sampled_columns(names: Column, rows: Column, null_words: list[str] | None =
     def describe(name: Column, position: Column) -> Column:
         values = F.transform(rows, lambda row: cells.null_if_blank(F.get(row, position), null_words))
         present = F.filter(values, lambda value: value.isNotNull())
+        classes = F.transform(present, cells.cell_class)
         detected = F.when(F.size(rows) == 0, "object").otherwise(cells.column_type(
-            F.size(present) > 0,
-            F.forall(present, cells.is_integer),
-            F.forall(present, cells.is_number),
-            F.forall(present, cells.is_boolean),
-            F.size(present) < F.size(values),
+            F.array_min(classes), F.array_max(classes), F.size(present) < F.size(values)
         ))
         width = F.coalesce(F.array_max(F.transform(present, F.length)), F.lit(0)).cast("bigint")
         observed = F.when(detected == "object", width)
