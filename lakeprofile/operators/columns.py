@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lakeprofile.functions import cells
+from lakeprofile.functions.lookup import look_up
+from lakeprofile.functions.names import safe_sql_type
 from lakeprofile.functions.sqltypes import sized_length, string_type
 
 
@@ -83,35 +85,49 @@ def first_rows(df: DataFrame, file: str, order_by: str, limit: int) -> DataFrame
 def apply_overrides(df: DataFrame, overrides: dict[str, dict]) -> DataFrame:
     """Excludes, renames and retypes columns; order is kept and settings follow the original name.
 
-    ``overrides``: column -> any of ``excluded``, ``name``, ``type`` (Spark type), ``nullable``.
+    ``overrides``: column -> any of ``excluded``, ``name``, ``type`` (Spark type), ``nullable``. A missing value in a
+    column declared not null fails the job.
     """
-    kept, fields = [], []
-    for field in df.schema:
-        change = overrides.get(field.name, {})
+    kept = []
+    for name in df.columns:
+        change = overrides.get(name, {})
         if change.get("excluded"):
             continue
-        column = F.col(f"`{field.name}`")
+        column = F.col(f"`{name}`")
         if "type" in change:
             column = column.try_cast(change["type"])
-        kept.append(column.alias(change.get("name", field.name)))
-        fields.append(change.get("nullable", field.nullable))
-    selected = df.select(*kept)
-    schema = T.StructType([
-        T.StructField(field.name, field.dataType, nullable) for field, nullable in zip(selected.schema, fields)
-    ])
-    return selected.to(schema) if all(fields) else _require(selected, schema)
+        if change.get("nullable") is False:
+            column = F.coalesce(column, F.raise_error(F.lit(f"null in required column {name}")))
+        kept.append(column.alias(change.get("name", name)))
+    return df.select(*kept)
 
 
-def _require(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Columns declared not null fail the job on a missing value instead of hiding it."""
-    checked = [
-        F.col(f"`{field.name}`") if field.nullable
-        else F.coalesce(F.col(f"`{field.name}`"),
-                        F.raise_error(F.lit(f"null in required column {field.name}")).cast(field.dataType))
-        .alias(field.name)
-        for field in schema
-    ]
-    return df.select(*checked)
+def override_profiles(profiles: DataFrame, overrides: dict[str, dict]) -> DataFrame:
+    """The same changes made to profiled columns, so that definitions follow them.
+
+    ``type`` is an SQL type here; one that does not look like a type becomes a wide string.
+    """
+    setting = lambda key: {name: change[key] for name, change in overrides.items() if key in change}
+    excluded = [name for name, change in overrides.items() if change.get("excluded")]
+    renamed, typed = setting("name"), setting("type")
+    nullable = {name: str(value).lower() for name, value in setting("nullable").items()}
+
+    def changed(column: Column, position: Column) -> Column:
+        name = column["name"]
+        updated = column.withField("ordinal", (position + 1).cast("int"))
+        if nullable:
+            updated = updated.withField("nullable", F.coalesce(look_up(name, nullable) == "true", column["nullable"]))
+        if typed:
+            asked = look_up(name, typed)
+            updated = updated.withField(
+                "sql_type", F.when(asked.isNotNull(), safe_sql_type(asked)).otherwise(column["sql_type"])
+            )
+        if renamed:
+            updated = updated.withField("name", F.coalesce(look_up(name, renamed), name))
+        return updated
+
+    kept = F.filter("columns", lambda column: ~column["name"].isin(*excluded)) if excluded else F.col("columns")
+    return profiles.withColumn("columns", F.transform(kept, changed))
 
 
 def schema_of_columns(columns: Iterable[tuple[str, str]]) -> T.StructType:

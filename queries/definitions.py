@@ -104,6 +104,15 @@ def manual_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{sf_dir}/orders.parquet")
 
 
+def profile_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions after columns were renamed, left out, retyped and made nullable."""
+    changed = column_ops.override_profiles(profiles(spark, sf_dir), {
+        "col0": {"name": "first", "type": "DECIMAL(18,4)"}, "col1": {"nullable": True, "type": "INT; DROP TABLE x"},
+        "col2": {"excluded": True},
+    })
+    return changed.select("path", F.array_join(ddl.column_definitions("columns"), ", ").alias("ddl"))
+
+
 def escaped_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column rows of all profiles with their escaped names."""
     columns = profiles(spark, sf_dir).select("path", F.inline("columns"))
@@ -125,6 +134,7 @@ QUERIES = {
     "export_json": export_json,
     "file_report": file_report,
     "schema_override": schema_override,
+    "profile_override": profile_override,
     "manual_schema": manual_schema,
     "escaped_columns": escaped_columns,
 }
@@ -258,6 +268,13 @@ ORACLES = {
         LEFT JOIN (SELECT path, count(*) AS warnings FROM ({_WARNINGS}) GROUP BY path) w USING (path)""",
     "schema_override": """
         SELECT c_custkey::VARCHAR AS c_custkey, c_name AS customer, c_nationkey::BIGINT AS nation, c_mktsegment FROM customer""",
+    "profile_override": f"""
+        SELECT path, string_agg({_NULLABLE_LINE}, ', ' ORDER BY ordinal) AS ddl
+        FROM (SELECT path, ordinal, CASE name WHEN 'col0' THEN 'first' ELSE name END AS name,
+                     CASE name WHEN 'col0' THEN 'DECIMAL(18,4)' WHEN 'col1' THEN 'NVARCHAR(MAX)' ELSE sql_type END AS sql_type,
+                     nullable OR name = 'col1' AS nullable
+              FROM ({PROFILE_COLUMNS}) WHERE name <> 'col2')
+        GROUP BY path""",
     "manual_schema": "SELECT o_orderkey, o_orderstatus, o_custkey FROM orders",
     "escaped_columns": f"SELECT path, ordinal, replace(name, ']', ']]') AS name, sql_type FROM ({PROFILE_COLUMNS})",
 }
