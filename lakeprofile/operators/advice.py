@@ -35,22 +35,31 @@ def capabilities(spark: SparkSession) -> DataFrame:
     )
 
 
-def load_methods(profiles: DataFrame, platform: str | None = None) -> DataFrame:
-    """Usable methods per file and platform, ranked (``path, platform, position, method``).
-
-    The fixed capability table is broadcast; ranks are computed on it, so profiles are never shuffled.
-    """
-    usable = capabilities(profiles.sparkSession).filter("available")
+def methods_by_type(spark: SparkSession, platform: str | None = None) -> DataFrame:
+    """Usable methods in order of preference, one row per file type and platform."""
+    usable = capabilities(spark).filter("available")
     if platform is not None:
         usable = usable.filter(F.col("platform") == platform)
-    ranked = usable.groupBy("file_type", "platform").agg(
-        F.sort_array(F.collect_list(F.struct("preference", "method"))).alias("methods")
-    ).select("file_type", "platform", F.posexplode("methods").alias("position", "choice"))
-    return profiles.select("path", "file_type").join(F.broadcast(ranked), "file_type").select(
-        "path", "file_type", "platform", (F.col("position") + 1).alias("position"), "choice.method"
+    ranked = F.sort_array(F.collect_list(F.struct("preference", "method")))
+    return usable.groupBy("file_type", "platform").agg(
+        F.transform(ranked, lambda choice: choice["method"]).alias("load_methods")
     )
 
 
+def with_load_methods(profiles: DataFrame, platform: str) -> DataFrame:
+    """Profiles plus the array ``load_methods``; the fixed capability table is broadcast."""
+    methods = methods_by_type(profiles.sparkSession, platform).select("file_type", "load_methods")
+    return profiles.join(F.broadcast(methods), "file_type", "left")
+
+
+def load_methods(profiles: DataFrame, platform: str | None = None) -> DataFrame:
+    """Usable methods per file and platform, ranked (``path, platform, position, method``)."""
+    methods = F.broadcast(methods_by_type(profiles.sparkSession, platform))
+    return profiles.select("path", "file_type").join(methods, "file_type").select(
+        "path", "file_type", "platform", F.posexplode("load_methods").alias("position", "method")
+    ).withColumn("position", F.col("position") + 1)
+
+
 def unavailable_methods(profiles: DataFrame, platform: str) -> DataFrame:
     """Methods a platform lacks for a file, with the first usable one as the alternative."""
     table = capabilities(profiles.sparkSession).filter(F.col("platform") == platform)
@@ -90,8 +99,8 @@ def load_advice(file_type: Column, size: Column, platform: str) -> Column:
 NUMERIC_MARKERS = "int|float|double|decimal|numeric|real"
 
 
-def profile_warnings(profiles: DataFrame) -> DataFrame:
-    """Warnings per file (``path, position, warning``); files without any have no rows."""
+def warnings_of(profiles: DataFrame) -> Column:
+    """Array of warnings about a profiled file, from its own row."""
     columns = F.coalesce("columns", F.array().cast(profiles.schema["columns"].dataType))
     low = (F.col("encoding") != "binary") & (F.col("encoding_confidence") < 70)
     nested = (F.col("file_type") == "json") & F.exists(
@@ -101,7 +110,7 @@ def profile_warnings(profiles: DataFrame) -> DataFrame:
         F.filter(columns, lambda c: c["nullable"] & F.lower(c["detected_type"]).rlike(NUMERIC_MARKERS)),
         lambda c: c["name"],
     )
-    warnings = F.array_compact(F.array(
+    return F.array_compact(F.array(
         F.when(low, F.format_string("Low encoding confidence (%d%%). Verify file encoding before loading.",
                                     "encoding_confidence")),
         F.when(F.col("row_count_estimated"), "Row count is estimated. Validate with a post-load COUNT(*) query."),
@@ -111,6 +120,9 @@ def profile_warnings(profiles: DataFrame) -> DataFrame:
             F.lit("Nullable numeric columns detected: "), F.array_join(F.slice(numeric, 1, 5), ", "),
             F.lit(". Stage as text if source quality is inconsistent."))),
     ))
-    return profiles.select("path", F.posexplode(warnings).alias("position", "warning")).withColumn(
-        "position", F.col("position") + 1
-    )
+
+
+def profile_warnings(profiles: DataFrame) -> DataFrame:
+    """Warnings per file (``path, position, warning``); files without any have no rows."""
+    listed = profiles.select("path", F.posexplode(warnings_of(profiles)).alias("position", "warning"))
+    return listed.withColumn("position", F.col("position") + 1)

@@ -11,7 +11,7 @@ from lakeprofile.session import write_and_read
 from lakeprofile.sources import documents, parquet, tables, workbook
 from lakeprofile.sources.chunks import CHUNK_BYTES, line_counts, record_counts
 from lakeprofile.sources.delimited import COLUMNS, csv_samples, sampled_columns
-from lakeprofile.sources.heads import file_heads, type_by_content, with_encoding
+from lakeprofile.sources.heads import sniffed
 from lakeprofile.sources.inventory import (
     collapse_tables, describe_entries, list_location, list_paths,
 )
@@ -61,21 +61,28 @@ def _branch(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _csv(files: DataFrame, chunk_bytes: int, sample_rows: int) -> DataFrame:
-    samples = write_and_read(csv_samples(files, sample_rows), "csv-samples")
-    counts = record_counts(
-        files.join(samples.filter("names IS NOT NULL").select("path", "delimiter"), "path"), chunk_bytes
-    ).withColumnRenamed("error", "count_error")
+    # Samples shrink to column profiles in the task that read them; only those are kept.
+    samples = write_and_read(
+        csv_samples(files, sample_rows).select(
+            "path", "delimiter", "has_header", "bad_lines", "sample_error",
+            sampled_columns(F.col("names"), F.col("rows")).alias("columns"),
+            F.size("rows").alias("sampled"), F.slice("rows", 1, 3).alias("sample_rows"),
+        ),
+        "csv-samples",
+    )
+    readable = samples.filter("sample_error IS NULL").select("path", "delimiter")
+    counts = record_counts(files.join(readable, "path"), chunk_bytes).withColumnRenamed("error", "count_error")
     return _branch(
         samples.join(counts, "path", "left"),
         path=F.col("path"),
         row_count=F.greatest(F.col("records") - F.when(F.col("has_header"), 1).otherwise(0), F.lit(0)),
-        columns=sampled_columns(F.col("names"), F.col("rows")),
+        columns=F.col("columns"),
         delimiter=F.col("delimiter"),
         has_header=F.col("has_header"),
         schema_inference=F.lit("sampled"),
-        schema_sample_size=F.size("rows"),
+        schema_sample_size=F.col("sampled"),
         nullability_inference=F.lit("conservative"),
-        sample_rows=F.slice("rows", 1, 3),
+        sample_rows=F.col("sample_rows"),
         warning=F.when(F.col("bad_lines") > 0, F.format_string("Skipped %d lines with too many fields.", "bad_lines")),
         error=F.coalesce("sample_error", "count_error"),
     )
@@ -83,8 +90,7 @@ def _csv(files: DataFrame, chunk_bytes: int, sample_rows: int) -> DataFrame:
 
 def _json(files: DataFrame, chunk_bytes: int) -> DataFrame:
     explicit = path_suffix("path").isin(".jsonl", ".ndjson")
-    first = documents.first_character(F.col("head"), F.col("encoding"))
-    candidates = files.filter(explicit | (first == "{")).select("path", "size", "encoding")
+    candidates = files.filter(explicit | (F.col("first_char") == "{")).select("path", "size", "encoding")
     lines = documents.document_line_counts(candidates, chunk_bytes).withColumnRenamed("error", "line_error")
     judged = write_and_read(
         files.select("path", "size", "encoding").join(lines, "path", "left").withColumn(
@@ -179,32 +185,22 @@ def typed_entries(entries: DataFrame) -> DataFrame:
     by_name = entries.filter("kind IN ('file', 'table')").withColumn(
         "file_type", F.coalesce("table_type", type_by_extension("name"))
     )
-    needs_head = by_name.filter(F.col("file_type").isNull() | F.col("file_type").isin(*TEXT_TYPES))
-    if needs_head.isEmpty():
+    unsure = by_name.filter(F.col("file_type").isNull() | F.col("file_type").isin(*TEXT_TYPES))
+    if unsure.isEmpty():
         # Nothing but self-describing formats: no bytes to read.
         nothing = F.lit(None).cast("string")
         return by_name.withColumns({
-            "head": nothing.cast("binary"), "head_error": nothing, "encoding": F.lit("binary"),
-            "encoding_confidence": F.lit(1.0),
+            "encoding": F.lit("binary"), "encoding_confidence": F.lit(1.0), "first_char": nothing,
+            "head_error": nothing,
         })
-    heads = file_heads(needs_head)
-    typed = by_name.join(heads, "path", "left").withColumn(
-        "file_type",
-        F.coalesce(
-            "file_type",
-            F.when(F.col("head_error").isNull(), type_by_content(F.col("head"), F.col("looks_delimited"))),
-            F.lit("unknown"),
-        ),
+    typed = by_name.join(sniffed(unsure), "path", "left").withColumn(
+        "file_type", F.coalesce("sniffed_type", "file_type")
     )
     is_text = F.col("file_type").isin(*TEXT_TYPES)
-    return (
-        with_encoding(typed)
-        .withColumn("encoding", F.when(is_text, F.col("encoding")).otherwise("binary"))
-        .withColumn("encoding_confidence", F.when(is_text, F.col("encoding_confidence")).otherwise(1.0))
-        # Only the start of a file is needed from here on.
-        .withColumn("head", F.when(F.col("file_type") == "json", F.substring("head", 1, 4096)))
-        .drop("looks_delimited")
-    )
+    return typed.withColumns({
+        "encoding": F.when(is_text, F.col("encoding")).otherwise("binary"),
+        "encoding_confidence": F.when(is_text, F.col("encoding_confidence")).otherwise(1.0),
+    }).drop("sniffed_type")
 
 
 def profile_listing(listing: DataFrame, chunk_bytes: int = CHUNK_BYTES, csv_sample_rows: int = 1000) -> DataFrame:

@@ -5,35 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lakeprofile.functions.names import readable_size, table_name
-from lakeprofile.operators.advice import load_advice, load_methods, profile_warnings
+from lakeprofile.operators.advice import load_advice, warnings_of, with_load_methods
 from lakeprofile.operators.ddl import file_format, openjson_columns, reader_format, reader_options, with_definitions
 
 
 def file_report(profiles: DataFrame, platform: str = "sql_server_2022",
                 data_source: str = "MyDataSource") -> DataFrame:
-    """Definitions, reader settings, load methods, advice and warnings per file."""
-    defined = with_definitions(profiles, table_name("path"), data_source)
-    methods = load_methods(profiles, platform).groupBy("path").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("position", "method"))), lambda m: m["method"])
-        .alias("load_methods")
-    )
-    warnings = profile_warnings(profiles).groupBy("path").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("position", "warning"))), lambda w: w["warning"])
-        .alias("warnings")
-    )
+    """Definitions, reader settings, load methods, advice and warnings per file, in one pass over the profiles."""
+    defined = with_load_methods(with_definitions(profiles, table_name("path"), data_source), platform)
     is_json = F.col("file_type") == "json"
-    return (
-        defined.join(methods, "path", "left")
-        .join(warnings, "path", "left")
-        .select(
-            "path", "file_type", readable_size("size").alias("size"), "row_count", "table_name", "create_table",
-            "external_table",
-            F.when(is_json, openjson_columns("columns")).alias("openjson_columns"),
-            file_format("file_type", "delimiter", "has_header", "encoding", "compression").alias("file_format"),
-            reader_format("file_type").alias("reader_format"),
-            reader_options("file_type", "delimiter", "has_header", "encoding", "json_format").alias("reader_options"),
-            "load_methods",
-            load_advice(F.col("file_type"), F.col("size"), platform).alias("advice"),
-            "warnings", "error",
-        )
+    return defined.select(
+        "path", "file_type", readable_size("size").alias("size"), "row_count", "table_name", "create_table",
+        "external_table",
+        F.when(is_json, openjson_columns("columns")).alias("openjson_columns"),
+        file_format("file_type", "delimiter", "has_header", "encoding", "compression").alias("file_format"),
+        reader_format("file_type").alias("reader_format"),
+        reader_options("file_type", "delimiter", "has_header", "encoding", "json_format").alias("reader_options"),
+        "load_methods",
+        load_advice(F.col("file_type"), F.col("size"), platform).alias("advice"),
+        warnings_of(defined).alias("warnings"), "error",
     )

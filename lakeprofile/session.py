@@ -41,10 +41,12 @@ def write_and_read(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows that stand for much work each (files, chunks) evenly over the cluster.
 
-    The partition count is explicit: adaptive execution would merge such tiny rows into one task.
+    The partition count is explicit, because adaptive execution would merge such tiny rows into one task. It grows
+    with ``spark.sql.shuffle.partitions``, the setting a large job is tuned by.
     """
-    tasks = df.sparkSession.sparkContext.defaultParallelism * per_core
+    spark = df.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(tasks, *[F.xxhash64(*[F.col(k) for k in keys])] if keys else [])

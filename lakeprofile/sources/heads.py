@@ -13,7 +13,8 @@ from lakeprofile.lookups import ENCODING_SAMPLE_BYTES
 from lakeprofile.session import spread
 from lakeprofile.sources.storage import Storage
 
-HEAD = "path string, head binary, looks_delimited boolean, head_error string"
+HEAD = "path string, size bigint, file_type string, head binary, looks_delimited boolean, head_error string"
+FILES_PER_BATCH = 64
 HEADER_SAMPLE_CHARS = 2048
 
 
@@ -28,19 +29,32 @@ def looks_delimited(head: bytes) -> bool:
 
 def file_heads(files: DataFrame, limit: int = ENCODING_SAMPLE_BYTES) -> DataFrame:
     """Leading bytes per file; only files without a known type are tested for a header row."""
+    names = [field.split()[0] for field in HEAD.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         storage = Storage()
+        rows = []
         for batch in batches:
-            for path, file_type in batch[["path", "file_type"]].itertuples(index=False):
+            for path, size, file_type in batch[["path", "size", "file_type"]].itertuples(index=False):
                 try:
                     head = storage.read_head(path, limit)
-                    row = (path, head, looks_delimited(head) if file_type is None else None, None)
+                    rows.append((path, size, file_type, head,
+                                 looks_delimited(head) if file_type is None else None, None))
                 except Exception as problem:
-                    row = (path, None, None, str(problem))
-                yield pd.DataFrame([row], columns=["path", "head", "looks_delimited", "head_error"])
+                    rows.append((path, size, file_type, None, None, str(problem)))
+                if len(rows) == FILES_PER_BATCH:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
-    return spread(files.select("path", "file_type"), "path").mapInPandas(read, HEAD)
+    return spread(files.select("path", "size", "file_type"), "path").mapInPandas(read, HEAD)
+
+
+def first_character(head: Column, encoding: Column) -> Column:
+    """First character that is not blank, from the leading bytes."""
+    text = F.when(encoding.startswith("utf-16"), F.decode(head, "UTF-16")).otherwise(F.decode(head, "ISO-8859-1"))
+    return F.regexp_extract(text, "^(?:\\x{FEFF}|\\xEF\\xBB\\xBF|[ \\t\\r\\n])*([^ \\t\\r\\n])", 1)
 
 
 def type_by_content(head: Column, delimited: Column) -> Column:
@@ -55,10 +69,18 @@ def type_by_content(head: Column, delimited: Column) -> Column:
     )
 
 
-def with_encoding(files: DataFrame) -> DataFrame:
-    """Adds ``encoding`` and ``encoding_confidence`` from column ``head`` of ``size`` bytes' file."""
-    complete = F.col("size") <= F.octet_length("head")
-    found = detect_encoding(F.col("head"), complete)
-    return files.withColumn("__found", found).select(
-        "*", F.col("__found.encoding").alias("encoding"), F.col("__found.confidence").alias("encoding_confidence")
-    ).drop("__found")
+def sniffed(files: DataFrame) -> DataFrame:
+    """Type, encoding and first character of each file from its leading bytes, which go no further than this.
+
+    Files come with ``path, size, file_type`` (null where the name says nothing).
+    """
+    heads = file_heads(files)
+    content_type = F.when(F.col("head_error").isNull(), type_by_content(F.col("head"), F.col("looks_delimited")))
+    told = heads.withColumn("sniffed_type", F.coalesce("file_type", content_type, F.lit("unknown"))).withColumn(
+        "found", detect_encoding(F.col("head"), F.col("size") <= F.octet_length("head"))
+    )
+    return told.select(
+        "path", "sniffed_type", F.col("found.encoding").alias("encoding"),
+        F.col("found.confidence").alias("encoding_confidence"),
+        first_character(F.col("head"), F.col("found.encoding")).alias("first_char"), "head_error",
+    )

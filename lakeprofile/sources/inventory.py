@@ -22,13 +22,13 @@ LISTING = (
 FOLDERS_PER_TASK_ROW = 256
 
 
-def _table_type(storage: Storage, folder: str, children: list) -> str | None:
-    folders = {child.base_name for child in children if child.type == FileType.Directory}
-    if "_delta_log" in folders:
+def _table_type(storage: Storage, folder: str) -> str | None:
+    if storage.is_folder(join_path(folder, "_delta_log")):
         return "delta"
-    if "metadata" in folders:
-        for entry in storage.children(join_path(folder, "metadata")):
-            if entry.type == FileType.File and entry.base_name.lower().endswith(".metadata.json"):
+    metadata = join_path(folder, "metadata")
+    if storage.is_folder(metadata):
+        for name, is_folder, _, _ in storage.children(metadata):
+            if not is_folder and name.lower().endswith(".metadata.json"):
                 return "iceberg"
     return None
 
@@ -37,9 +37,7 @@ def _walk(storage: Storage, root: str, path: str, table_root: str | None, table_
           prune_hidden: bool, depth: int | None) -> Iterator[tuple]:
     """Entries below one path. Folders over the budget come back with kind ``pending``."""
 
-    def entry(where, kind, info=None, owner=(None, None), error=None):
-        size = info.size if info is not None and info.type == FileType.File else None
-        modified = info.mtime if info is not None else None
+    def entry(where, kind, size=None, modified=None, owner=(None, None), error=None):
         return root, where, kind, size, modified, owner[0], owner[1], error
 
     try:
@@ -51,53 +49,34 @@ def _walk(storage: Storage, root: str, path: str, table_root: str | None, table_
         yield entry(path, "error", error=f"path does not exist: {path}")
         return
     if start.type == FileType.File:
-        yield entry(path, "file", start, (table_root, table_type))
+        yield entry(path, "file", start.size, start.mtime_ns / 1e9, (table_root, table_type))
         return
 
-    queue = deque([(path, table_root, table_type, 0)])
+    queue = deque([(path, (table_root, table_type), 0)])
     walked = 0
     while queue:
-        folder, owner, owner_type, level = queue.popleft()
+        folder, owner, level = queue.popleft()
         if walked >= FOLDERS_PER_TASK_ROW:
-            yield entry(folder, "pending", owner=(owner, owner_type))
+            yield entry(folder, "pending", owner=owner)
             continue
         walked += 1
         try:
-            children = storage.children(folder)
-            if owner is None:
-                owner_type = _table_type(storage, folder, children)
-                if owner_type is not None:
-                    owner = folder
-                    yield entry(folder, "table", owner=(owner, owner_type))
+            if owner[0] is None:
+                found = _table_type(storage, folder)
+                if found is not None:
+                    owner = (folder, found)
+                    yield entry(folder, "table", owner=owner)
+                elif depth is not None and level >= depth:
+                    yield entry(folder, "folder")
+                    continue
+            for name, is_folder, size, modified in storage.children(folder):
+                where = join_path(folder, name)
+                if not is_folder:
+                    yield entry(where, "file", size, modified, owner)
+                elif not (prune_hidden and owner[0] is None and (name.startswith(".") or name == "__pycache__")):
+                    queue.append((where, owner, level + 1))
         except Exception as problem:
             yield entry(folder, "error", error=str(problem))
-            continue
-        for child in children:
-            where = join_path(folder, child.base_name)
-            if child.type == FileType.Directory:
-                hidden = child.base_name.startswith(".") or child.base_name == "__pycache__"
-                if prune_hidden and hidden and owner is None:
-                    continue
-                if depth is not None and owner is None and level + 1 >= depth:
-                    yield from _folder_at_limit(storage, entry, where, queue, level)
-                else:
-                    queue.append((where, owner, owner_type, level + 1))
-            elif child.type == FileType.File:
-                yield entry(where, "file", child, (owner, owner_type))
-
-
-def _folder_at_limit(storage, entry, where, queue, level):
-    """A folder at the depth limit: still opened when it is a table, else reported as a folder."""
-    try:
-        table_type = _table_type(storage, where, storage.children(where))
-    except Exception as problem:
-        yield entry(where, "error", error=str(problem))
-        return
-    if table_type is None:
-        yield entry(where, "folder")
-    else:
-        yield entry(where, "table", owner=(where, table_type))
-        queue.append((where, where, table_type, level + 1))
 
 
 def _lister(prune_hidden: bool, depth: int | None):
@@ -124,7 +103,7 @@ def _lister(prune_hidden: bool, depth: int | None):
 def _listing_frame(rows: list, columns: list) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=columns)
     frame["size"] = frame["size"].astype("Int64")
-    frame["modified"] = pd.to_datetime(frame["modified"], utc=True).dt.tz_localize(None)
+    frame["modified"] = pd.to_datetime(frame["modified"], unit="s").dt.floor("us")
     return frame
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 from pyarrow import fs as arrow_fs
@@ -39,11 +41,26 @@ class Storage:
         file_system, inner = self.locate(path)
         return file_system.get_file_info(inner)
 
-    def children(self, path: str):
-        """One level of a folder, by name."""
+    def is_folder(self, path: str) -> bool:
+        return self.info(path).type == arrow_fs.FileType.Directory
+
+    def children(self, path: str) -> Iterator[tuple[str, bool, int | None, float | None]]:
+        """(name, is folder, size, modified) of one level of a folder; local folders are streamed."""
         file_system, inner = self.locate(path)
-        selector = arrow_fs.FileSelector(inner, recursive=False)
-        return sorted(file_system.get_file_info(selector), key=lambda item: item.base_name)
+        if isinstance(file_system, arrow_fs.LocalFileSystem):
+            with os.scandir(inner) as entries:
+                for entry in entries:
+                    if entry.is_dir():
+                        yield entry.name, True, None, None
+                    elif entry.is_file():
+                        status = entry.stat()
+                        yield entry.name, False, status.st_size, status.st_mtime
+            return
+        for item in file_system.get_file_info(arrow_fs.FileSelector(inner, recursive=False)):
+            folder = item.type == arrow_fs.FileType.Directory
+            if folder or item.type == arrow_fs.FileType.File:
+                modified = item.mtime_ns / 1e9 if item.mtime_ns is not None else None
+                yield item.base_name, folder, None if folder else item.size, modified
 
     def open(self, path: str):
         file_system, inner = self.locate(path)

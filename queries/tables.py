@@ -25,7 +25,8 @@ def save_as(lines: DataFrame, folder: str, name: str) -> None:
     """A few metadata lines as one file of a given name."""
     spark = lines.sparkSession
     draft = f"{folder}.{name}.draft"
-    lines.coalesce(1).write.text(draft)
+    # The shuffle keeps the work that makes the lines parallel; only the short lines meet in one task.
+    lines.repartition(1).write.text(draft)
     path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     file_system = path_of(draft).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     file_system.mkdirs(path_of(folder))
@@ -86,7 +87,7 @@ def delta_checkpointed(spark: SparkSession, sf_dir: str) -> str:
         save_as(as_lines(stale), f"{root}/_delta_log", "00000000000000000009.json")
         kept = add_actions(spark, root, "even").unionByName(meta_action(spark), allowMissingColumns=True)
         draft = f"{root}/_delta_log.checkpoint.draft"
-        kept.coalesce(1).write.parquet(draft)
+        kept.repartition(1).write.parquet(draft)
         path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         file_system = path_of(draft).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         part = next(status.getPath() for status in file_system.globStatus(path_of(f"{draft}/part-*")))
