@@ -22,23 +22,31 @@ def table_roots(listing: DataFrame) -> DataFrame:
     )
 
 
-def tag_table_files(listing: DataFrame) -> DataFrame:
-    """Listing plus ``table_root`` and ``table_type`` of the outermost table folder above each file.
+def _with_ancestor(rows: DataFrame, folders: DataFrame) -> DataFrame:
+    """Paths that lie below one of the folders (column ``table_root``), with that folder's columns.
 
-    Files meet roots on their ancestor folders, an equi-join. The top folders are ancestors of everything, so the
-    file side is salted and the (few) roots are copied once per salt; Spark broadcasts them where they are small.
+    An equi-join on ancestor folders. The top folders are ancestors of everything, so the path side is salted and the
+    (few) folders are copied once per salt; Spark broadcasts them where they are small.
     """
-    roots = table_roots(listing).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    above = listing.select(
+    copies = folders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    above = rows.select(
         "path", F.explode(ancestors("path")).alias("table_root"),
         F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt"),
     )
-    owner = above.join(roots, ["table_root", "salt"]).groupBy("path").agg(
-        F.min_by(F.struct("table_root", "table_type"), F.length("table_root")).alias("owner")
-    )
-    return listing.join(owner, "path", "left").select(
-        *[F.col(name) for name in listing.columns], "owner.table_root", "owner.table_type"
-    )
+    return above.join(copies, ["table_root", "salt"]).drop("salt")
+
+
+def outermost_roots(listing: DataFrame) -> DataFrame:
+    """Table folders that lie in no other table folder: a path is below one of them at most."""
+    roots = table_roots(listing)
+    nested = _with_ancestor(roots.select(F.col("table_root").alias("path")), roots.select("table_root"))
+    return roots.join(nested.select(F.col("path").alias("table_root")), "table_root", "left_anti")
+
+
+def tag_table_files(listing: DataFrame) -> DataFrame:
+    """Listing plus ``table_root`` and ``table_type`` of the outermost table folder above each file."""
+    owners = _with_ancestor(listing, outermost_roots(listing))
+    return listing.join(owners, "path", "left")
 
 
 def collapse_listing(tagged: DataFrame) -> DataFrame:

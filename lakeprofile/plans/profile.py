@@ -298,11 +298,12 @@ def column_profiles(profiles: DataFrame) -> DataFrame:
     return profiles.filter("columns IS NOT NULL").select("path", F.inline("columns"))
 
 
-def location_summary(profiles: DataFrame) -> DataFrame:
-    """Files, bytes, known rows and failures per file type."""
+def location_summary(profiles: DataFrame, *more: Column) -> DataFrame:
+    """Files, bytes, known rows and failures per file type, and any further aggregates."""
     return profiles.groupBy("file_type").agg(
         F.count("*").alias("files"),
         F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"),
         F.coalesce(F.sum("row_count"), F.lit(0)).alias("total_rows"),
         F.count_if(F.col("error").isNotNull()).alias("failed"),
+        *more,
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lakeprofile.functions import jsonfn
+from lakeprofile.operators import json_columns
 from lakeprofile.operators.loading import load_into_existing
 from lakeprofile.session import scratch_path, write_and_read
 from lakeprofile.sources import documents as json_files
@@ -183,23 +184,12 @@ def ndjson_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys over all documents, where they were first seen."""
-    keys = json_docs(spark, sf_dir).select("event_id", F.posexplode(F.json_object_keys("doc")).alias("pos", "key"))
-    return keys.groupBy("key").agg(F.min(F.struct("event_id", "pos")).alias("first")).select(
-        "key", F.col("first.event_id").alias("first_row"), F.col("first.pos").cast("bigint").alias("first_pos")
-    )
+    return json_columns.json_keys(json_docs(spark, sf_dir), "doc", "event_id")
 
 
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind and type per key from its first value that is not null."""
-    members = json_docs(spark, sf_dir).select(
-        "event_id", F.explode(F.from_json("doc", "map<string,variant>")).alias("key", "value")
-    )
-    known = members.filter(~F.is_variant_null("value"))
-    # Types are told before the shuffle, so no document travels.
-    described = known.select("event_id", "key", jsonfn.json_kind(F.col("value")).alias("kind"),
-                             jsonfn.json_detected_type(F.col("value")).alias("detected_type"))
-    first = described.groupBy("key").agg(F.min_by(F.struct("kind", "detected_type"), "event_id").alias("first"))
-    return first.select("key", "first.kind", "first.detected_type")
+    return json_columns.json_fields(json_docs(spark, sf_dir), "doc", "event_id")
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

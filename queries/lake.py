@@ -74,11 +74,10 @@ def mixed_lake(spark: SparkSession, sf_dir: str) -> str:
 
 def location_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files, rows and failures per type at the given location, tables being one file or many."""
-    profiles = profile_plan.profile_location(spark, sf_dir).filter(table_of("path") != "")
-    profiles = profiles.withColumn("table", table_of("path"))
-    summary = profile_plan.location_summary(profiles.filter(F.col("name").endswith(".parquet")))
-    tables = profiles.groupBy("file_type").agg(F.count_distinct("table").alias("tables"))
-    return summary.join(tables, "file_type").select(
+    profiles = profile_plan.profile_location(spark, sf_dir)
+    data = profiles.filter((table_of("path") != "") & F.col("name").endswith(".parquet"))
+    tables = F.count_distinct(table_of("path")).alias("tables")
+    return profile_plan.location_summary(data, tables).select(
         "file_type", "tables", "total_rows", "failed", (F.col("total_size") > 0).alias("has_bytes")
     )
 
