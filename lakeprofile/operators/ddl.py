@@ -117,8 +117,11 @@ def reader_format(file_type: Column | str) -> Column:
 
 
 def reader_options(file_type: Column | str, delimiter: Column | str, has_header: Column | str,
-                   encoding: Column | str, json_format: Column | str) -> Column:
-    """Options for ``spark.read`` as a map; empty for self-describing formats."""
+                   encoding: Column | str, json_format: Column | str, quoted_breaks: Column | str) -> Column:
+    """Options for ``spark.read`` as a map; empty for self-describing formats.
+
+    Only delimited files with line breaks inside fields are read whole; all others can be split.
+    """
     # Profile encoding -> Java charset (fixed values).
     charset = F.coalesce(
         look_up(encoding, {"ascii": "US-ASCII", "utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1",
@@ -129,6 +132,7 @@ def reader_options(file_type: Column | str, delimiter: Column | str, has_header:
         F.lit("sep"), F.coalesce(as_column(delimiter), F.lit(",")),
         F.lit("header"), as_column(has_header).cast("string"),
         F.lit("encoding"), charset, F.lit("quote"), F.lit('"'), F.lit("escape"), F.lit('"'),
+        F.lit("multiLine"), F.coalesce(as_column(quoted_breaks), F.lit(False)).cast("string"),
     )
     json_options = F.create_map(
         F.lit("multiLine"), (~as_column(json_format).eqNullSafe(F.lit("ndjson"))).cast("string"),

@@ -36,6 +36,7 @@ PROFILE = {
     "columns": COLUMNS,
     "delimiter": "string",
     "has_header": "boolean",
+    "quoted_breaks": "boolean",
     "compression": "string",
     "json_format": "string",
     "schema_inference": "string",
@@ -79,6 +80,7 @@ def _csv(files: DataFrame, chunk_bytes: int, sample_rows: int) -> DataFrame:
         columns=F.col("columns"),
         delimiter=F.col("delimiter"),
         has_header=F.col("has_header"),
+        quoted_breaks=F.col("quoted_breaks"),
         schema_inference=F.lit("sampled"),
         schema_sample_size=F.col("sampled"),
         nullability_inference=F.lit("conservative"),
@@ -197,16 +199,18 @@ def typed_entries(entries: DataFrame) -> DataFrame:
         "file_type", F.coalesce("sniffed_type", "file_type")
     )
     is_text = F.col("file_type").isin(*TEXT_TYPES)
-    return typed.withColumns({
+    told = typed.withColumns({
         "encoding": F.when(is_text, F.col("encoding")).otherwise("binary"),
         "encoding_confidence": F.when(is_text, F.col("encoding_confidence")).otherwise(1.0),
     }).drop("sniffed_type")
+    # Every branch of the profile starts here: the bytes are read once.
+    return write_and_read(told, "typed-entries")
 
 
 def profile_listing(listing: DataFrame, chunk_bytes: int = CHUNK_BYTES, csv_sample_rows: int = 1000) -> DataFrame:
     """Profiles of all entries of a listing (see ``list_location``)."""
     entries = describe_entries(collapse_tables(listing))
-    typed = write_and_read(typed_entries(entries), "typed-entries")
+    typed = typed_entries(entries)
     table_files = listing.filter(F.col("table_root").isNotNull() & (F.col("kind") == "file")).select(
         "table_root", "table_type", "path", "size", "modified"
     )

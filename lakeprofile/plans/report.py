@@ -20,7 +20,8 @@ def file_report(profiles: DataFrame, platform: str = "sql_server_2022",
         F.when(is_json, openjson_columns("columns")).alias("openjson_columns"),
         file_format("file_type", "delimiter", "has_header", "encoding", "compression").alias("file_format"),
         reader_format("file_type").alias("reader_format"),
-        reader_options("file_type", "delimiter", "has_header", "encoding", "json_format").alias("reader_options"),
+        reader_options("file_type", "delimiter", "has_header", "encoding", "json_format", "quoted_breaks")
+        .alias("reader_options"),
         "load_methods",
         load_advice(F.col("file_type"), F.col("size"), platform).alias("advice"),
         warnings_of(defined).alias("warnings"), "error",

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+# Scratch folders of local sessions that name none themselves.
+_local_roots: dict[str, str] = {}
+
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which every executor can reach.
@@ -18,8 +21,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the whole cluster")
-        root = tempfile.mkdtemp(prefix="lakeprofile-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_roots.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="lakeprofile-"))
     return qualify(spark, f"{root.rstrip('/')}/lakeprofile/{uuid.uuid4().hex}/{label}")
 
 
@@ -44,9 +46,10 @@ def write_and_read(df: DataFrame, label: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows that stand for much work each (files, chunks) evenly over the cluster.
 
-    The partition count is explicit, because adaptive execution would merge such tiny rows into one task. It grows
-    with ``spark.sql.shuffle.partitions``, the setting a large job is tuned by.
+    The partition count is explicit, because adaptive execution would merge such tiny rows into one task. It follows
+    ``spark.sql.shuffle.partitions``, the setting a large job is tuned by, between two and four tasks per core.
     """
     spark = df.sparkSession
-    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cores = spark.sparkContext.defaultParallelism
+    tasks = min(max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), 4 * cores)
     return df.repartition(tasks, *[F.xxhash64(*[F.col(k) for k in keys])] if keys else [])

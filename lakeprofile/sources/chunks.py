@@ -1,7 +1,7 @@
 """Whole-file counts over byte ranges, so one huge file is many tasks.
 
 A file is cut into chunks of equal size, whatever their content. Each task reads its chunk alone and reports what it
-would do from every state the previous chunk may have ended in; a small ordered fold per file then picks the true path.
+would do from every state the previous chunk may have ended in; joining these outcomes in order gives the true path.
 Counts are exact for any line length and any number of quoted line breaks.
 """
 
@@ -210,40 +210,62 @@ def _count_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 codec, mark = byte_order(encoding, storage, path)
                 lead, data = narrow(*read_range(storage, path, offset, length), offset, codec, mark)
                 outcomes = chunk_outcomes(lead, data, (delimiter or ",").encode())
-                rows.append((path, chunk, [state for state, _ in outcomes], [count for _, count in outcomes], None))
+                rows.append((path, chunk, len(line_ends(lead, data)), [state for state, _ in outcomes],
+                             [count for _, count in outcomes], None))
             except Exception as problem:
-                rows.append((path, chunk, None, None, str(problem)))
-        yield pd.DataFrame(rows, columns=["path", "chunk", "states", "counts", "error"])
+                rows.append((path, chunk, None, None, None, str(problem)))
+        frame = pd.DataFrame(rows, columns=["path", "chunk", "lines", "states", "counts", "error"])
+        yield frame.astype({"lines": "Int64"})
+
+
+# Chunks whose outcomes are joined into one before the file as a whole is followed: no group grows beyond this, and
+# a file of 30 TB comes down to a thousand rows.
+CHUNKS_PER_BLOCK = 1024
 
 
-def _follow(chunks: Column) -> Column:
-    """The true path through a file's ordered chunks."""
-    start = F.struct(F.lit(0).alias("state"), F.lit(0).cast("bigint").alias("records"))
+def _joined(steps: Column) -> Column:
+    """Outcomes of consecutive pieces as the outcome of one: for each start state, where it ends and what it completes."""
+    nothing = F.struct(
+        F.array(*[F.lit(state) for state in range(5)]).alias("states"),
+        F.array(*[F.lit(0).cast("bigint")] * 5).alias("counts"),
+    )
     return F.aggregate(
-        chunks, start,
-        lambda reached, chunk: F.struct(
-            F.get(chunk["states"], reached["state"]).alias("state"),
-            (reached["records"] + F.get(chunk["counts"], reached["state"])).alias("records"),
+        F.sort_array(steps), nothing,
+        lambda reached, step: F.struct(
+            F.transform(reached["states"], lambda state: F.get(step["states"], state)).alias("states"),
+            F.zip_with(reached["counts"], reached["states"],
+                       lambda count, state: count + F.get(step["counts"], state)).alias("counts"),
         ),
     )
 
 
 def record_counts(files: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Records per delimited file, header and blank lines included (``path``, ``records``, ``error``).
+    """Records per delimited file, header and blank lines included (``path, records, quoted_breaks, error``).
 
-    Files come with ``path``, ``size``, ``encoding``, ``delimiter``. The fold gathers one short row per chunk.
-    """
+    ``quoted_breaks`` tells whether a line break stands inside a field, so that a reader needs ``multiLine``. Files come
+    with ``path``, ``size``, ``encoding``, ``delimiter``.     """
     counted = plan_chunks(files.select("path", "size", "encoding", "delimiter"), chunk_bytes).mapInPandas(
-        _count_records, "path string, chunk bigint, states array<int>, counts array<bigint>, error string"
+        _count_records,
+        "path string, chunk bigint, lines bigint, states array<int>, counts array<bigint>, error string",
+    )
+    block = F.floor(F.col("chunk") / CHUNKS_PER_BLOCK).alias("block")
+    blocks = counted.groupBy("path", block).agg(
+        _joined(F.collect_list(F.struct("chunk", "states", "counts"))).alias("joined"),
+        F.sum("lines").alias("lines"), F.max("error").alias("error"),
     )
-    folded = counted.groupBy("path").agg(
-        F.sort_array(F.collect_list(F.struct("chunk", "states", "counts"))).alias("chunks"),
-        F.max("error").alias("error"),
+    followed = blocks.groupBy("path").agg(
+        _joined(F.collect_list(F.struct("block", "joined.states", "joined.counts"))).alias("joined"),
+        F.sum("lines").alias("lines"), F.max("error").alias("error"),
+    ).select(
+        "path", "lines", "error",
+        F.struct(F.get("joined.states", F.lit(RECORD_START)).alias("state"),
+                 F.get("joined.counts", F.lit(RECORD_START)).alias("records")).alias("end"),
     )
-    followed = folded.select("path", "error", _follow(F.col("chunks")).alias("end"))
     unfinished = F.when(F.col("end.state") == RECORD_START, 0).otherwise(1)
+    sound = F.col("error").isNull()
     return followed.select(
-        "path", F.when(F.col("error").isNull(), F.col("end.records") + unfinished).alias("records"), "error"
+        "path", F.when(sound, F.col("end.records") + unfinished).alias("records"),
+        F.when(sound, F.col("lines") > F.col("end.records")).alias("quoted_breaks"), "error",
     )
 
 

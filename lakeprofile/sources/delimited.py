@@ -52,6 +52,7 @@ def distinct_names(header: list[str]) -> list[str]:
 
 
 def read_sample(storage: Storage, path: str, encoding: str | None, limit: int) -> tuple:
+    csv.field_size_limit(2**31 - 1)
     with open_text(storage, path, encoding) as text:
         head = text.read(DIALECT_SAMPLE_CHARS)
     delimiter, has_header = sniff_dialect(head.replace("\r\n", "\n").replace("\r", "\n"), path)

@@ -121,9 +121,10 @@ def list_paths(paths: DataFrame, prune_hidden: bool = False, depth: int | None =
     while True:
         listed = write_and_read(frontier.mapInPandas(_lister(prune_hidden, depth), LISTING), "listing")
         rounds.append(listed.filter("kind <> 'pending'"))
-        frontier = spread(listed.filter("kind = 'pending'").select(*columns), "path")
-        if frontier.isEmpty():
+        pending = listed.filter("kind = 'pending'").select(*columns)
+        if pending.isEmpty():
             break
+        frontier = spread(pending, "path")
     listing = rounds[0]
     for more in rounds[1:]:
         listing = listing.unionByName(more)

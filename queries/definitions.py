@@ -28,7 +28,7 @@ def openjson_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reader_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = ddl.reader_options("file_type", "delimiter", "has_header", "encoding", "json_format")
+    options = ddl.reader_options("file_type", "delimiter", "has_header", "encoding", "json_format", "quoted_breaks")
     return profiles(spark, sf_dir).select(
         "path", ddl.reader_format("file_type").alias("format"), options["sep"].alias("sep"),
         options["header"].alias("header"), options["encoding"].alias("charset"), options["multiLine"].alias("multi_line"),
@@ -209,7 +209,8 @@ ORACLES = {
                CASE WHEN file_type = 'csv' THEN has_header::VARCHAR END AS header,
                CASE WHEN file_type IN ('csv', 'json') THEN
                     CASE encoding WHEN 'cp1252' THEN 'windows-1252' ELSE 'UTF-8' END END AS charset,
-               CASE WHEN file_type = 'json' THEN (json_format <> 'ndjson')::VARCHAR END AS multi_line
+               CASE file_type WHEN 'json' THEN (json_format <> 'ndjson')::VARCHAR
+                              WHEN 'csv' THEN (doc_id % 3 = 0)::VARCHAR END AS multi_line
         FROM ({PROFILE_FILES})""",
     "file_format": f"""
         SELECT path, CASE file_type WHEN 'parquet' THEN 'PARQUET' WHEN 'delta' THEN 'DELTA' WHEN 'orc' THEN 'ORC'

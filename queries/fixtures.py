@@ -150,6 +150,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE doc_id % 3 WHEN 0 THEN 'SNAPPY' WHEN 1 THEN 'gzip' END").alias("compression"),
         F.expr("CASE WHEN doc_id % 2 = 0 THEN 'ndjson' ELSE 'array' END").alias("json_format"),
         (F.col("doc_id") % 5 == 0).alias("row_count_estimated"),
+        (F.col("doc_id") % 3 == 0).alias("quoted_breaks"),
         F.col("n_chars").alias("row_count"),
         F.lit(None).cast("string").alias("error"),
         "n_chars",

@@ -12,7 +12,7 @@ from lakeprofile.sources import inventory as inventory_source, parquet, workbook
 from lakeprofile.sources.inventory import inventory
 from queries import names as name_queries
 from queries.fixtures import LISTING, csv_of, documents_text, events_ndjson, listing, once, table
-from queries.workbooks import write_files, write_workbooks
+from queries.writers import write_files, write_workbooks
 
 TABLES = [
     "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation",

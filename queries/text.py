@@ -13,6 +13,7 @@ from lakeprofile.sources.chunks import line_counts, record_counts
 from lakeprofile.sources.heads import file_heads, type_by_content
 from lakeprofile.sources.inventory import inventory
 from queries.fixtures import csv_of, documents_csv, documents_text, events_ndjson, once, single_file, table
+from queries.writers import write_files
 
 ORDERS = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
 LINEITEM_TEXT = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
@@ -66,7 +67,7 @@ def csv_quoted_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records per language of whole documents, whose fields hold line breaks and quotes."""
     counts = record_counts(data_files(spark, documents_csv(spark, sf_dir)), chunk_bytes=1 << 20)
     return counts.groupBy(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")).agg(
-        F.sum(F.col("records") - 1).alias("row_count")
+        F.sum(F.col("records") - 1).alias("row_count"), F.bool_or("quoted_breaks").alias("quoted_breaks")
     )
 
 
@@ -118,16 +119,18 @@ def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dup_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated names in raw header lines, which a reader would silently rename."""
 
+    def render(frame) -> bytes:
+        return ("id,Name,ID,name,value\n" + "\n".join(frame["line"])).encode()
+
     def write(path: str) -> None:
-        names = F.lit("id,Name,ID,name,value")
-        table(spark, sf_dir, "region").select(F.concat(names, F.lit("\n1,a,2,b,"), "r_name").alias("value"), "r_name") \
-            .write.partitionBy("r_name").text(path)
+        line = F.concat_ws(",", "c_custkey", "c_name", "c_custkey", "c_name", "c_acctbal")
+        write_files(table(spark, sf_dir, "customer").select(line.alias("line")), path, ".csv", render)
 
-    path = once(spark, sf_dir, "duplicate-headers", write)
-    headers = delimited.csv_samples(data_files(spark, path)).select(
-        F.regexp_extract("path", "r_name=([^/]*)/", 1).alias("path"), F.col("raw_names").alias("names")
-    )
-    return column_ops.duplicate_names(headers)
+    files = data_files(spark, once(spark, sf_dir, "duplicate-headers", write))
+    headers = delimited.csv_samples(files).select("path", F.col("raw_names").alias("names"))
+    repeated = column_ops.duplicate_names(headers).groupBy("name").agg(F.count("*").alias("repeated_in"))
+    rows = record_counts(files).agg(F.count("*").alias("files"), F.sum(F.col("records") - 1).alias("rows"))
+    return repeated.join(F.broadcast(rows), repeated["repeated_in"] == rows["files"]).select("name", "rows")
 
 
 def text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +242,8 @@ ORACLES = {
         UNION ALL SELECT 'pipe', '|', true, count(*) FROM supplier
         UNION ALL SELECT 'tab', chr(9), true, count(*) FROM part""",
     "csv_row_count": "SELECT count(*) AS row_count FROM lineitem",
-    "csv_quoted_row_count": "SELECT lang, count(*) AS row_count FROM documents GROUP BY lang",
+    "csv_quoted_row_count": """
+        SELECT lang, count(*) AS row_count, max(contains(text, chr(10))) AS quoted_breaks FROM documents GROUP BY lang""",
     "row_estimate": "SELECT count(*) AS exact, true AS within_tenth FROM lineitem",
     "string_widths": """
         SELECT name, w AS observed_max_len, CAST(ceil(w * 1.25) AS BIGINT) AS sized_len, 'NVARCHAR(255)' AS sql_type
@@ -265,7 +269,7 @@ ORACLES = {
     "sample_rows": """
         SELECT o_orderkey, o_orderstatus, o_custkey FROM orders
         QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) <= 3""",
-    "dup_columns": "SELECT r_name AS path, unnest(['id', 'name']) AS name FROM region",
+    "dup_columns": "SELECT unnest(['id', 'name']) AS name, count(*) AS rows FROM customer",
     "text_scan": f"""
         SELECT lang, sum({_LINES})::BIGINT AS lines, sum(chars)::BIGINT AS chars
         FROM (SELECT lang, text,

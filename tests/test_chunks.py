@@ -63,7 +63,9 @@ def test_a_line_over_the_limit_is_reported(tmp_path):
     assert found[0] == "short" and None in found
 
 
-def test_counts_through_spark_in_tiny_chunks(files_of, tmp_path):
+def test_counts_through_spark_in_tiny_chunks(files_of, tmp_path, monkeypatch):
+    # Few chunks per block, so that both levels of joining are at work.
+    monkeypatch.setattr("lakeprofile.sources.chunks.CHUNKS_PER_BLOCK", 3)
     texts = {
         "quoted.csv": 'id,note\n1,"two\nlines, ""quoted"""\n\n2,plain\n',
         "open.csv": 'a,b\n1,"never closed\n2,3\n',

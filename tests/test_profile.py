@@ -95,7 +95,8 @@ def test_string_widths_get_headroom(found):
 def test_dialects(found):
     assert (found["semi.csv"].delimiter, found["semi.csv"].has_header, found["semi.csv"].row_count) == (";", True, 3)
     assert (found["one.csv"].delimiter, found["one.csv"].has_header, found["one.csv"].row_count) == (",", True, 2)
-    assert found["quoted.csv"].row_count == 2
+    assert (found["quoted.csv"].row_count, found["quoted.csv"].quoted_breaks) == (2, True)
+    assert found["semi.csv"].quoted_breaks is False
     assert "too many fields" in found["long.csv"].warning and found["long.csv"].schema_sample_size == 2
 
 
@@ -259,6 +260,9 @@ def test_report_defines_every_sound_file(spark, lake):
     assert report["bad.json"].create_table is None and report["bad.json"].error
     assert "bulk_insert" in report["wide.csv"].load_methods
     assert report["semi.csv"].reader_options["sep"] == ";"
+    assert report["quoted.csv"].reader_options["multiLine"] == "true"
+    options = report["quoted.csv"].reader_options
+    assert spark.read.options(**options).csv(str(lake / "quoted.csv")).count() == 2
     assert any("Nested JSON" in warning for warning in report["array.json"].warnings)
 
 
