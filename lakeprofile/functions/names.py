@@ -110,6 +110,24 @@ def rendered_row(values: Column, names: Column, width: int = 20, shown: int = 8)
     )
 
 
+def sample_lines(rows: Column, names: Column) -> Column:
+    """Sample rows as lines of text under a header line."""
+    header = rendered_row(F.get(rows, F.lit(0)), names)["header"]
+    lines = F.transform(rows, lambda row: rendered_row(row, names)["line"])
+    return F.when(F.size(rows) > 0, F.concat(F.array(header), lines))
+
+
+def member_lines(columns: Column, width: int = 60, shown: int = 10) -> Column:
+    """First members of a sampled document as ``name: value`` lines, values cut to ``width`` characters."""
+    return F.transform(
+        F.slice(columns, 1, shown),
+        lambda column: F.concat(
+            one_line(column["name"]), F.lit(": "),
+            F.substring(one_line(F.coalesce(column["sample_value"], F.lit("NULL"))), 1, width),
+        ),
+    )
+
+
 def text_prefix(text: Column | str, limit: int = 5000) -> Column:
     """Preview of a text: its first characters and a marker where more follow."""
     text = as_column(text)

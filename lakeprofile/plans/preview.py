@@ -87,3 +87,14 @@ def preview(spark: SparkSession, path: str, rows: int = 100) -> DataFrame:
     else:
         found = spark.read.text(path).select(F.rtrim("value").alias("line"))
     return json_safe(found.limit(rows))
+
+
+def preview_info(profiles: DataFrame, rows: int = 100) -> DataFrame:
+    """What a preview of each profiled file shows: its columns, the rows there are, and whether some are left out."""
+    shown = clamp_rows(rows)
+    more = F.col("analysis_truncated") | F.coalesce(F.col("row_count") > shown, F.lit(False))
+    return profiles.select(
+        "path", F.transform("columns", lambda c: F.struct(c["name"].alias("name"), c["detected_type"].alias("type")))
+        .alias("columns"),
+        F.col("row_count").alias("total_rows"), more.alias("truncated"), "error",
+    )

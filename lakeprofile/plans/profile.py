@@ -13,7 +13,7 @@ from lakeprofile.sources.chunks import CHUNK_BYTES, line_counts, record_counts
 from lakeprofile.sources.delimited import COLUMNS, csv_samples, sampled_columns
 from lakeprofile.sources.heads import sniffed
 from lakeprofile.sources.inventory import (
-    collapse_tables, describe_entries, list_location, list_paths,
+    collapse_tables, describe_entries, list_level, list_location, list_paths,
 )
 
 TEXT_TYPES = ("csv", "text", "json")
@@ -297,6 +297,16 @@ def profile_paths(paths: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
     return paths.select("ordinal", F.col("path").alias("root")).join(profiles, "root")
 
 
+def browse(spark: SparkSession, folder: str) -> DataFrame:
+    """One directory level (``name, path, kind, file_type, size``): folders, table folders and files of a known type."""
+    level = list_level(spark, folder)
+    typed = typed_entries(level).filter("file_type <> 'unknown'").select("name", "path", "kind", "file_type", "size")
+    folders = level.filter("kind = 'folder'").select(
+        "name", "path", "kind", F.lit(None).cast("string").alias("file_type"), F.lit(0).cast("bigint").alias("size")
+    )
+    return typed.unionByName(folders)
+
+
 def column_profiles(profiles: DataFrame) -> DataFrame:
     """One row per file and column."""
     return profiles.filter("columns IS NOT NULL").select("path", F.inline("columns"))

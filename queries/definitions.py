@@ -88,6 +88,7 @@ def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         "path", "table_name", F.size("load_methods").cast("bigint").alias("methods"),
         F.coalesce(F.size("warnings"), F.lit(0)).cast("bigint").alias("warnings"),
         "file_format.format_type", "reader_format", F.col("create_table").isNotNull().alias("defined"),
+        F.array_join("sample", "/").alias("sample"),
     )
 
 
@@ -262,8 +263,14 @@ ORACLES = {
         SELECT f.path, 'ext_tbl_' || doc_id AS table_name, methods, coalesce(w.warnings, 0) AS warnings, {_FORMAT} AS format_type,
                CASE file_type WHEN 'delta' THEN 'parquet' WHEN 'iceberg' THEN 'parquet'
                           WHEN 'rc' THEN NULL WHEN 'excel' THEN NULL WHEN 'unknown' THEN NULL ELSE file_type END AS reader_format,
-               true AS defined
+               true AS defined, sample
         FROM ({PROFILE_FILES}) f
+        JOIN (SELECT path, CASE WHEN c.file_type = 'json'
+                                THEN string_agg(name || ': ' || substring('v ' || repeat(c.doc_id::VARCHAR, 40), 1, 60),
+                                                '/' ORDER BY ordinal)
+                                ELSE string_agg(name, ' | ' ORDER BY ordinal) || '/' || any_value(source) || ' | '
+                                     || any_value(lang) END AS sample
+              FROM ({PROFILE_COLUMNS}) c JOIN documents USING (doc_id) GROUP BY path, c.file_type, c.doc_id) s USING (path)
         JOIN (SELECT path, count(*) AS methods FROM ({_METHODS}) WHERE available AND platform = 'sql_server_2022'
               GROUP BY path) m USING (path)
         LEFT JOIN (SELECT path, count(*) AS warnings FROM ({_WARNINGS}) GROUP BY path) w USING (path)""",

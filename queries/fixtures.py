@@ -153,6 +153,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") % 3 == 0).alias("quoted_breaks"),
         F.col("n_chars").alias("row_count"),
         F.lit(None).cast("string").alias("error"),
+        F.expr("array(array(source, lang))").alias("sample_rows"),
         "n_chars",
     )
     types = F.array(*[F.lit(name) for name in COLUMN_TYPES])
@@ -165,6 +166,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
             (at % 2 == 0).alias("nullable"),
             F.when(at == 1, "object").otherwise("scalar").alias("nesting"),
             F.col("n_chars").alias("sized_len"),
+            F.concat(F.lit("v\n"), F.repeat(F.col("doc_id").cast("string"), 40)).alias("sample_value"),
         ),
     )
     from lakeprofile.functions.sqltypes import sql_type

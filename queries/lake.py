@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeprofile.functions.paths import type_by_extension
 from lakeprofile.operators import listing as listing_ops
-from lakeprofile.plans import profile as profile_plan
-from lakeprofile.session import scratch_path
+from lakeprofile.plans import preview as preview_plan, profile as profile_plan
 from lakeprofile.sources import inventory as inventory_source, parquet, workbook
 from lakeprofile.sources.inventory import inventory
-from queries import names as name_queries
-from queries.fixtures import LISTING, csv_of, documents_text, events_ndjson, listing, once, table
+from queries.fixtures import LISTING, events_ndjson, listing, once, table
 from queries.writers import write_files, write_workbooks
 
 TABLES = [
@@ -49,8 +47,7 @@ def file_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def list_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One level of a lake of mixed formats."""
-    level = inventory_source.list_level(spark, mixed_lake(spark, sf_dir))
-    return level.select("name", "kind", F.col("table_type"))
+    return profile_plan.browse(spark, mixed_lake(spark, sf_dir)).select("name", "kind", "file_type")
 
 
 def mixed_lake(spark: SparkSession, sf_dir: str) -> str:
@@ -128,6 +125,16 @@ def profile_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def preview_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows there are and whether a preview of 1000 leaves some out, per table."""
+    info = preview_plan.preview_info(profile_plan.profile_location(spark, sf_dir), 1000)
+    tables = info.filter((table_of("path") != "") & F.col("path").endswith(".parquet"))
+    return tables.groupBy(table_of("path").alias("table")).agg(
+        F.sum("total_rows").alias("rows"), F.bool_or("truncated").alias("more"),
+        F.max(F.size("columns")).cast("bigint").alias("columns"),
+    )
+
+
 def profile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profile of one path."""
     path = data_files(spark, sf_dir).filter(table_of("path") == "orders").agg(F.min("path")).first()[0]
@@ -223,6 +230,7 @@ QUERIES = {
     "profile_columns": profile_columns,
     "profile_folder": profile_folder,
     "profile_paths": profile_paths,
+    "preview_info": preview_info,
     "profile_lookup": profile_lookup,
     "profile_errors": profile_errors,
     "detect_type": detect_type,
@@ -265,7 +273,7 @@ ORACLES = {
     "list_level": """
         SELECT unnest(['customers', 'documents', 'events', 'orders', 'texts', 'sales.delta']) AS name,
                unnest(['folder', 'folder', 'folder', 'folder', 'folder', 'table']) AS kind,
-               unnest([NULL, NULL, NULL, NULL, NULL, 'delta']) AS table_type""",
+               unnest([NULL, NULL, NULL, NULL, NULL, 'delta']) AS file_type""",
     "parquet_footer": each_table("SELECT '{t}' AS \"table\", (SELECT count(*) FROM {t}) AS rows, "
                                  "(SELECT count(*) FROM (DESCRIBE SELECT * FROM {t})) AS columns"),
     "profile_file": f"""
@@ -286,6 +294,8 @@ ORACLES = {
     "profile_folder": "SELECT 'text' AS file_type, 'ascii' AS encoding, '1252' AS codepage, NULL::VARCHAR AS error",
     "profile_paths": each_table("SELECT '{t}' AS \"table\", count(*) AS rows, false AS failed FROM {t}")
     + " UNION ALL SELECT 'not there', NULL, true",
+    "preview_info": each_table("SELECT '{t}' AS \"table\", count(*) AS rows, count(*) > 1000 AS more, "
+                               "(SELECT count(*) FROM (DESCRIBE SELECT * FROM {t})) AS columns FROM {t}"),
     "profile_lookup": """
         SELECT 'parquet' AS file_type, 'binary' AS encoding, 'ACP' AS codepage, 6::BIGINT AS column_count,
                'SNAPPY' AS compression""",

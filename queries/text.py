@@ -15,7 +15,10 @@ from lakeprofile.sources.inventory import inventory
 from queries.fixtures import csv_of, documents_csv, documents_text, events_ndjson, once, single_file, table
 from queries.writers import write_files
 
-ORDERS = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+ORDERS = (
+    "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+    "o_orderpriority string"
+)
 LINEITEM_TEXT = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
 
 
