@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from lakeprofile.plans import profile as plan
-from lakeprofile.plans.preview import clamp_rows, preview
+from lakeprofile.plans.preview import clamp_rows, preview, preview_info
 from lakeprofile.plans.report import file_report
 from lakeprofile.sources import documents
 from lakeprofile.sources.inventory import inventory, list_level, list_location
@@ -276,3 +276,27 @@ def test_profiles_scan_only_what_they_need(spark, lake):
     summary = plan.location_summary(plan.profile_location(spark, str(lake)))
     text = summary._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_workbooks(spark, tmp_path):
+    import pandas as pd
+
+    from queries.writers import workbook_bytes
+
+    frame = pd.DataFrame({"id": [1, 2], "price": [1.5, 2.0], "name": ["a & b", "c"]})
+    (tmp_path / "book.xlsx").write_bytes(workbook_bytes(frame))
+    row = plan.profile_location(spark, str(tmp_path)).first()
+    assert (row.file_type, row.row_count, row.row_count_lower_bound) == ("excel", 2, None)
+    assert [(c.name, c.detected_type, c.sample_value) for c in row.columns] == [
+        ("id", "int64", "1"), ("price", "float64", "1.5"), ("name", "object", "a & b")]
+    assert [tuple(shown) for shown in preview(spark, str(tmp_path / "book.xlsx"), 1).collect()] == [("1", "1.5", "a & b")]
+
+
+def test_browse_and_preview_info(spark, lake):
+    level = {row.name: row for row in plan.browse(spark, str(lake)).collect()}
+    assert level["ice"].file_type == "iceberg" and level["noext"].file_type == "json"
+    info = {os.path.basename(row.path): row for row in
+            preview_info(plan.profile_location(spark, str(lake)), 100).collect()}
+    assert (info["rows.jsonl"].total_rows, info["rows.jsonl"].truncated) == (350, True)
+    assert (info["semi.csv"].total_rows, info["semi.csv"].truncated) == (3, False)
+    assert info["bad.json"].error
