@@ -75,3 +75,43 @@ def running(data: np.ndarray) -> np.ndarray:
 def spans_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit value for the bytes of each span."""
     return mix((sums[ends] - sums[starts]) * _powers(len(sums))[1][starts] + (ends - starts).astype(np.uint64))
+
+
+def byte_views(column) -> list[np.ndarray | None]:
+    """The UTF-8 bytes of each value of an Arrow string column, without copies; None for null."""
+    import pyarrow as pa
+
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    valid = column.is_valid().to_pylist() if column.null_count else [True] * len(column)
+    return [data[offsets[i]: offsets[i + 1]] if valid[i] else None for i in range(len(column))]
+
+
+def connected(edges: DataFrame, label: str = "components") -> DataFrame:
+    """Connected components of ``edges`` (a, b): one row (node, component) per node, the component being its smallest node.
+
+    Rounds of large-star and small-star steps: every node's neighbours are tied to the smallest one it sees, until nothing
+    changes. Minima are partial aggregates and the joins plain equi-joins, so a node with very many neighbours is no single
+    task's work. Each round is written to the shared scratch folder; only its row count and a checksum reach the driver.
+    """
+    def star(pairs: DataFrame, large: bool) -> DataFrame:
+        # pairs: (u, v), u sees v.
+        least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        tied = pairs.join(least, "u")
+        if large:
+            return tied.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        return tied.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).filter("a != b")
+
+    current = write_and_read(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+    checksum = None
+    while True:
+        both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).union(current.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        larger = star(both, True).filter("a != b").distinct()
+        current = write_and_read(star(larger.select(F.col("a").alias("u"), F.col("b").alias("v")), False).distinct(), label)
+        now = current.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if now == checksum:
+            break
+        checksum = now
+    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+        current.select(F.col("b"), F.col("b")).distinct())

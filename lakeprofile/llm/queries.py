@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lakeprofile.llm.common import read_table
 from lakeprofile.llm.decontaminate import contamination
 from lakeprofile.llm.line_dedup import dedup_lines
+from lakeprofile.llm.near_duplicates import near_duplicate_groups
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,5 +67,28 @@ SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(kept.n, 0)::BIG
 FROM l LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op5_line_dedup": op5_line_dedup}
-ORACLES = {"op1_decontamination": OP1_SQL, "op5_line_dedup": OP5_SQL}
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(read_table(spark, sf_dir, "documents"), width=4).select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + k - 1], ' ') AS sh
+  FROM (SELECT doc_id, ws, least(len(ws), 4) AS k, unnest(range(1, len(ws) - least(len(ws), 4) + 2)) AS i FROM w WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+link AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (sh) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM w UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other
+), comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept FROM comp LEFT JOIN n USING (doc_id)
+"""
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op5_line_dedup": op5_line_dedup, "op10_near_dedup": op10_near_dedup}
+ORACLES = {"op10_near_dedup": OP10_SQL, "op1_decontamination": OP1_SQL, "op5_line_dedup": OP5_SQL}
