@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lakeprofile.llm import secrets, token_files
 from lakeprofile.llm.common import read_table
 from lakeprofile.llm.decontaminate import contamination
+from lakeprofile.llm.language_id import with_language
 from lakeprofile.llm.line_dedup import dedup_lines
 from lakeprofile.llm.near_duplicates import near_duplicate_groups
 
@@ -90,5 +92,23 @@ link AS (
 SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept FROM comp LEFT JOIN n USING (doc_id)
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op5_line_dedup": op5_line_dedup, "op10_near_dedup": op10_near_dedup}
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(spark, read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select("doc_id", secrets.scan(F.col("text")).alias("found")).select("doc_id", "found.*")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_language(read_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {"op2_token_files": op2_token_files, "op7_secret_scan": op7_secret_scan, "op9_language_id": op9_language_id, "op1_decontamination": op1_decontamination, "op5_line_dedup": op5_line_dedup, "op10_near_dedup": op10_near_dedup}
 ORACLES = {"op10_near_dedup": OP10_SQL, "op1_decontamination": OP1_SQL, "op5_line_dedup": OP5_SQL}
