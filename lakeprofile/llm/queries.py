@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeprofile.llm import secrets, token_files
+from lakeprofile.llm import pieces, secrets, token_files
 from lakeprofile.llm.common import read_table
 from lakeprofile.llm.decontaminate import contamination
 from lakeprofile.llm.language_id import with_language
 from lakeprofile.llm.line_dedup import dedup_lines
 from lakeprofile.llm.near_duplicates import near_duplicate_groups
+from lakeprofile.llm.nearest import nearest_neighbours
+from lakeprofile.llm.quality import with_quality
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,5 +112,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_language(read_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {"op2_token_files": op2_token_files, "op7_secret_scan": op7_secret_scan, "op9_language_id": op9_language_id, "op1_decontamination": op1_decontamination, "op5_line_dedup": op5_line_dedup, "op10_near_dedup": op10_near_dedup}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: number of ids, their crc32, and whether decoding them gives the text back."""
+    return pieces.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")).drop("ids")
+
+
+QUERIES = {"op3_quality": op3_quality, "op4_nearest": op4_nearest, "op8_pieces": op8_pieces, "op2_token_files": op2_token_files, "op7_secret_scan": op7_secret_scan, "op9_language_id": op9_language_id, "op1_decontamination": op1_decontamination, "op5_line_dedup": op5_line_dedup, "op10_near_dedup": op10_near_dedup}
 ORACLES = {"op10_near_dedup": OP10_SQL, "op1_decontamination": OP1_SQL, "op5_line_dedup": OP5_SQL}
