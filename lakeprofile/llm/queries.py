@@ -12,6 +12,7 @@ from lakeprofile.llm.line_dedup import dedup_lines
 from lakeprofile.llm.near_duplicates import near_duplicate_groups
 from lakeprofile.llm.nearest import nearest_neighbours
 from lakeprofile.llm.quality import with_quality
+from lakeprofile.llm.repeats import without_repeats
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,5 +127,10 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")).drop("ids")
 
 
-QUERIES = {"op3_quality": op3_quality, "op4_nearest": op4_nearest, "op8_pieces": op8_pieces, "op2_token_files": op2_token_files, "op7_secret_scan": op7_secret_scan, "op9_language_id": op9_language_id, "op1_decontamination": op1_decontamination, "op5_line_dedup": op5_line_dedup, "op10_near_dedup": op10_near_dedup}
+def op6_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(read_table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op6_byte_repeats": op6_byte_repeats, "op3_quality": op3_quality, "op4_nearest": op4_nearest, "op8_pieces": op8_pieces, "op2_token_files": op2_token_files, "op7_secret_scan": op7_secret_scan, "op9_language_id": op9_language_id, "op1_decontamination": op1_decontamination, "op5_line_dedup": op5_line_dedup, "op10_near_dedup": op10_near_dedup}
 ORACLES = {"op10_near_dedup": OP10_SQL, "op1_decontamination": OP1_SQL, "op5_line_dedup": OP5_SQL}
