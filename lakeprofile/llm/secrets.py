@@ -36,6 +36,7 @@ _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.\-]*\Z")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>#]+")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*\Z")
+_JOIN = re.compile(r"""["'`][ \t]*\+[ \t]*["'`]""")
 _OPERATOR = re.compile(r"[:=]")
 _PLACEHOLDER = re.compile(r"(?i)change_?me|example|placeholder|your[_-]|xxx|\*\*\*|<.*>|\$\{|\{\{|^(none|null|true|false|undefined|password|secret|token)$")
 
@@ -130,7 +131,7 @@ def named_spans(text: str) -> list[tuple[int, int, str]]:
         value = text[start:end]
         if not quoted and _IDENTIFIER.match(value) and not any(c.isdigit() for c in value):
             continue  # a name or a word
-        if sensitive * literal_score(value) >= THRESHOLD:
+        if sensitive * literal_score(_JOIN.sub("", value)) >= THRESHOLD:
             spans.add((start, end, "named"))
     return list(spans)
 
