@@ -58,7 +58,7 @@ def detect_encoding(content: Column | str, complete: Column | None = None) -> Co
         result.when(~characters.rlike("[\\x80-\\xff]"), verdict("ascii", 1.0))
         .when(F.is_valid_utf8(whole), verdict("utf-8", 0.99))
         .when(~characters.rlike(undefined), verdict("cp1252", 0.5))
-        .otherwise(verdict("latin-1", 0.5))
+        .otherwise(verdict("latin-1", 0.4))
     )
 
 

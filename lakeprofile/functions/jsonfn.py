@@ -102,8 +102,12 @@ def with_json_entries(df: DataFrame, doc: str, key: str = "key", value: str = "v
 
 
 def json_set(doc: Column | str, key: str, value: Column) -> Column:
-    """Object text with one top-level key set; the other keys keep their order, a new key comes last."""
-    members = F.from_json(as_column(doc), "map<string,variant>")
+    """Object text with one top-level key set; the other keys keep their order, a new key comes last.
+
+    Null for text that is no JSON object, and for an object that repeats a key: which of its values counts is not defined.
+    """
+    doc = as_column(doc)
+    members = F.from_json(F.when(F.try_parse_json(doc).isNotNull(), doc), "map<string,variant>")
     new = F.parse_json(F.to_json(F.struct(value.alias("v"))))
     replaced = F.transform_values(
         members, lambda k, v: F.when(k == key, F.variant_get(new, "$.v", "variant")).otherwise(v)

@@ -23,6 +23,9 @@ SCHEMES_LATER = {
     "abfs": "adls",
     "abfss": "adls",
 }
+# Schemes of readers and of users for the two remote stores (fixed values).
+S3_SCHEMES = ["s3", "s3a", "s3n"]
+AZURE_SCHEMES = ["azure", "abfs", "abfss", "wasb", "wasbs"]
 PLACEHOLDER_2019 = "wasbs://<container>@<storage_account>.blob.core.windows.net"
 PLACEHOLDER_LATER = "adls://<container>@<storage_account>.dfs.core.windows.net"
 
@@ -55,8 +58,8 @@ def storage_kind(url: Column | str) -> Column:
     scheme = scheme_of(url)
     blob_host = host_of(url).endswith(".blob.core.windows.net")
     return (
-        F.when(scheme == "s3", "s3")
-        .when((scheme == "azure") | ((scheme == "https") & blob_host), "azure")
+        F.when(scheme.isin(*S3_SCHEMES), "s3")
+        .when(scheme.isin(*AZURE_SCHEMES) | ((scheme == "https") & blob_host), "azure")
         .otherwise("local")
     )
 

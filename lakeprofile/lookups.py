@@ -142,16 +142,14 @@ LOAD_METHODS = {
     "for_json": (5, "FOR JSON PATH (export to JSON)"),
 }
 
+# Profile encoding -> Java charset (fixed values). ASCII is read as UTF-8: later bytes may be more.
+READER_CHARSETS = {"ascii": "UTF-8", "utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1", "cp1252": "windows-1252"}
+
 # Limits (fixed values).
 DIALECT_SAMPLE_CHARS = 4096
 CSV_SAMPLE_ROWS = 1000
-JSON_SAMPLE_ROWS = 200
 WORKBOOK_SAMPLE_ROWS = 200
 ENCODING_SAMPLE_BYTES = 65536
-EXACT_COUNT_MAX_BYTES = 100 * 1024 * 1024
-ESTIMATE_LINES = 500
-JSON_DOCUMENT_MAX_BYTES = 32 * 1024 * 1024
-JSON_PREFIX_CHARS = 4 * 1024 * 1024
 PREVIEW_MAX_ROWS = 10000
 
 # Platforms on which each load method works (fixed values).

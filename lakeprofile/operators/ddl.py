@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lakeprofile.functions.lookup import as_column, look_up
 from lakeprofile.functions.names import escape_bracketed, escape_literal, json_path, shown_delimiter
-from lakeprofile.lookups import CODEC_CLASSES, EXTERNAL_FORMATS, FORMAT_KEYWORDS, LONG_STRING, RC_SERDE
+from lakeprofile.lookups import CODEC_CLASSES, EXTERNAL_FORMATS, FORMAT_KEYWORDS, LONG_STRING, RC_SERDE, READER_CHARSETS
 
 
 def column_definitions(columns: Column | str, with_nullability: bool = True) -> Column:
@@ -122,12 +122,7 @@ def reader_options(file_type: Column | str, delimiter: Column | str, has_header:
 
     Only delimited files with line breaks inside fields are read whole; all others can be split.
     """
-    # Profile encoding -> Java charset (fixed values).
-    charset = F.coalesce(
-        look_up(encoding, {"ascii": "US-ASCII", "utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1",
-                           "cp1252": "windows-1252"}),
-        F.upper(as_column(encoding)), F.lit("UTF-8"),
-    )
+    charset = F.coalesce(look_up(encoding, READER_CHARSETS), F.upper(as_column(encoding)), F.lit("UTF-8"))
     csv_options = F.create_map(
         F.lit("sep"), F.coalesce(as_column(delimiter), F.lit(",")),
         F.lit("header"), as_column(has_header).cast("string"),

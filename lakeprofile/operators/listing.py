@@ -59,11 +59,14 @@ def collapse_listing(tagged: DataFrame) -> DataFrame:
 
 
 def folder_sizes(listing: DataFrame, include_hidden: bool = True) -> DataFrame:
-    """Files and bytes per folder (files directly in it)."""
+    """Files and bytes per folder, everything below it included.
+
+    Sizes are summed per parent first, so the top folders receive one row per folder below them and task, not per file.
+    """
     files = listing if include_hidden else listing.filter(~F.col("path").rlike("/\\.[^/]*$"))
-    return files.groupBy(parent_path("path").alias("folder")).agg(
-        F.count("*").alias("files"), F.sum("size").alias("size")
-    )
+    direct = files.groupBy(parent_path("path").alias("parent")).agg(F.count("*").alias("files"), F.sum("size").alias("size"))
+    inside = direct.select(F.explode(F.array_append(ancestors("parent"), F.col("parent"))).alias("folder"), "files", "size")
+    return inside.filter("folder <> ''").groupBy("folder").agg(F.sum("files").alias("files"), F.sum("size").alias("size"))
 
 
 def prune_hidden(listing: DataFrame) -> DataFrame:

@@ -68,7 +68,11 @@ def preview(spark: SparkSession, path: str, rows: int = 100) -> DataFrame:
         found = spark.read.orc(path)
     elif kind == "delta":
         files = _table_files(spark, path)
-        live = tables.delta_data_files(tables.delta_actions(files))
+        actions = tables.delta_actions(files)
+        broken = actions.filter("problem IS NOT NULL").select("table_root").distinct()
+        live = tables.delta_data_files(actions.join(broken, "table_root", "left_anti"))
+        if not live.filter("has_deletions").isEmpty():
+            raise ValueError(f"{path} has deletion vectors, which a preview can't apply")
         # Files that hold rows, as many as rows were asked for; the rest of the snapshot is never opened.
         chosen = _some_paths(live.filter("coalesce(num_records, 1) > 0"), rows)
         chosen = chosen or _some_paths(tables.first_data_files(files), 1)
@@ -85,7 +89,7 @@ def preview(spark: SparkSession, path: str, rows: int = 100) -> DataFrame:
     elif kind == "excel":
         found = _spread_cells(workbook_samples(spark.createDataFrame([(path,)], "path string"), rows))
     else:
-        found = spark.read.text(path).select(F.rtrim("value").alias("line"))
+        found = spark.read.text(path).select(F.regexp_replace("value", r"\s+$", "").alias("line"))
     return json_safe(found.limit(rows))
 
 

@@ -10,7 +10,7 @@ from lakeprofile.functions.sqltypes import spark_type, sql_type
 from lakeprofile.session import write_and_read
 from lakeprofile.sources import documents, parquet, tables, workbook
 from lakeprofile.sources.chunks import CHUNK_BYTES, line_counts, record_counts
-from lakeprofile.sources.delimited import COLUMNS, csv_samples, sampled_columns
+from lakeprofile.sources.delimited import COLUMNS, HEAD_ROWS, csv_samples, whole_columns
 from lakeprofile.sources.heads import sniffed
 from lakeprofile.sources.inventory import (
     collapse_tables, describe_entries, list_level, list_location, list_paths,
@@ -61,31 +61,27 @@ def _branch(df: DataFrame, **columns: Column) -> DataFrame:
     ])
 
 
-def _csv(files: DataFrame, chunk_bytes: int, sample_rows: int) -> DataFrame:
-    # Samples shrink to column profiles in the task that read them; only those are kept.
-    samples = write_and_read(
-        csv_samples(files, sample_rows).select(
-            "path", "delimiter", "has_header", "bad_lines", "sample_error",
-            sampled_columns(F.col("names"), F.col("rows")).alias("columns"),
-            F.size("rows").alias("sampled"), F.slice("rows", 1, 3).alias("sample_rows"),
-        ),
-        "csv-samples",
-    )
-    readable = samples.filter("sample_error IS NULL").select("path", "delimiter")
-    counts = record_counts(files.join(readable, "path"), chunk_bytes).withColumnRenamed("error", "count_error")
+def _csv(files: DataFrame, chunk_bytes: int) -> DataFrame:
+    # The head tells the dialect and the names; types, widths and gaps come from every record.
+    heads = write_and_read(csv_samples(files, HEAD_ROWS), "csv-heads")
+    readable = heads.filter("sample_error IS NULL")
+    counts = record_counts(files.join(readable.select("path", "delimiter"), "path"), chunk_bytes).withColumnRenamed("error", "count_error")
+    judged = write_and_read(
+        heads.join(files.select("path", "encoding"), "path").join(counts, "path", "left"), "csv-counts")
+    columns = whole_columns(judged.filter("sample_error IS NULL AND count_error IS NULL"))
     return _branch(
-        samples.join(counts, "path", "left"),
+        judged.join(columns, "path", "left"),
         path=F.col("path"),
         row_count=F.greatest(F.col("records") - F.when(F.col("has_header"), 1).otherwise(0), F.lit(0)),
         columns=F.col("columns"),
         delimiter=F.col("delimiter"),
         has_header=F.col("has_header"),
         quoted_breaks=F.col("quoted_breaks"),
-        schema_inference=F.lit("sampled"),
-        schema_sample_size=F.col("sampled"),
+        schema_inference=F.when(F.col("columns").isNotNull(), "full"),
+        schema_sample_size=F.col("examined"),
         nullability_inference=F.lit("conservative"),
-        sample_rows=F.col("sample_rows"),
-        warning=F.when(F.col("bad_lines") > 0, F.format_string("Skipped %d lines with too many fields.", "bad_lines")),
+        sample_rows=F.slice("rows", 1, 3),
+        warning=F.when(F.col("too_long") > 0, F.format_string("Skipped %d lines with too many fields.", "too_long")),
         error=F.coalesce("sample_error", "count_error"),
     )
 
@@ -101,26 +97,27 @@ def _json(files: DataFrame, chunk_bytes: int) -> DataFrame:
         ),
         "json-lines",
     )
-    samples = documents.json_samples(judged)
-    found = judged.join(samples, "path")
+    by_line = judged.filter("line_format IS NOT NULL").select("path", "size", "encoding")
+    shapes = write_and_read(documents.document_shapes(judged.filter("line_format IS NULL")), "json-documents")
+    objects = documents.line_objects(by_line, chunk_bytes).unionByName(documents.shape_objects(shapes))
+    found = judged.join(shapes.drop("objects"), "path", "left").join(documents.document_columns(objects), "path", "left")
     row_count = F.when(F.col("line_format").isNotNull(), F.col("objects")).otherwise(F.col("document_rows"))
     skipped = F.when(F.col("line_format").isNotNull() & (F.col("invalid") > 0),
                      F.when(F.col("invalid") == 1, "Skipped 1 invalid NDJSON line.").otherwise(
                          F.format_string("Skipped %d invalid NDJSON lines.", "invalid")))
-    sampled = F.col("analysis_truncated") | (row_count > F.size("sample"))
-    known = F.size("sample") > 0
+    known = F.col("sampled") > 0
     return _branch(
         found,
         path=F.col("path"),
         row_count=row_count,
-        columns=F.when(known, documents.json_columns(F.col("sample"))),
+        columns=F.col("columns"),
         has_header=F.when(known, F.lit(True)),
-        json_format=F.col("json_format"),
-        schema_inference=F.when(known, F.when(sampled, "sampled").otherwise("full")),
-        schema_sample_size=F.when(known, F.size("sample")),
+        json_format=F.coalesce("line_format", "document_format"),
+        # Elements that are no objects have no columns.
+        schema_inference=F.when(known, F.when(row_count > F.col("sampled"), "sampled").otherwise("full")),
+        schema_sample_size=F.col("sampled"),
         nullability_inference=F.when(known, "conservative"),
-        analysis_truncated=F.col("analysis_truncated"),
-        warning=F.coalesce(skipped, "warning"),
+        warning=skipped,
         error=F.coalesce("line_error", "error"),
     )
 
@@ -207,7 +204,7 @@ def typed_entries(entries: DataFrame) -> DataFrame:
     return write_and_read(told, "typed-entries")
 
 
-def profile_listing(listing: DataFrame, chunk_bytes: int = CHUNK_BYTES, csv_sample_rows: int = 1000) -> DataFrame:
+def profile_listing(listing: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Profiles of all entries of a listing (see ``list_location``)."""
     entries = describe_entries(collapse_tables(listing))
     typed = typed_entries(entries)
@@ -215,13 +212,13 @@ def profile_listing(listing: DataFrame, chunk_bytes: int = CHUNK_BYTES, csv_samp
         "table_root", "table_type", "path", "size", "modified"
     )
     # Branches are only planned for types that occur; the distinct types are at most a dozen.
-    present = {row.file_type for row in typed.select("file_type").distinct().limit(20).collect()}
+    present = {row.file_type for row in typed.select("file_type").distinct().collect()}
 
     def of_type(file_type: str) -> DataFrame:
         return typed.filter(F.col("file_type") == file_type)
 
     branches = {
-        "csv": lambda: _csv(of_type("csv"), chunk_bytes, csv_sample_rows),
+        "csv": lambda: _csv(of_type("csv"), chunk_bytes),
         "json": lambda: _json(of_type("json"), chunk_bytes),
         "text": lambda: _text(of_type("text"), chunk_bytes),
         "parquet": lambda: _parquet(of_type("parquet")),

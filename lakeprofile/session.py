@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Scratch folders of local sessions that name none themselves.
 _local_roots: dict[str, str] = {}
+# Scratch paths handed out, by application.
+_written: dict[str, list[str]] = {}
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -21,8 +23,27 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the whole cluster")
-        root = _local_roots.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="lakeprofile-"))
-    return qualify(spark, f"{root.rstrip('/')}/lakeprofile/{uuid.uuid4().hex}/{label}")
+        application = spark.sparkContext.applicationId
+        if application not in _local_roots:
+            _local_roots[application] = tempfile.mkdtemp(prefix="lakeprofile-")
+        root = _local_roots[application]
+    path = qualify(spark, f"{root.rstrip('/')}/lakeprofile/{uuid.uuid4().hex}/{label}")
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Removes what this session has written to scratch space; returns how many folders went.
+
+    For callers that have saved their results: DataFrames that still read from scratch space can't be used afterwards.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    gone = 0
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+        gone += bool(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True))
+    return gone
 
 
 def qualify(spark: SparkSession, path: str) -> str:
@@ -31,7 +52,8 @@ def qualify(spark: SparkSession, path: str) -> str:
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     file_system = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     full = file_system.makeQualified(hadoop_path).toString()
-    if full.startswith("file:"):
+    default = jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark.sparkContext._jsc.hadoopConfiguration()).getScheme()
+    if full.startswith("file:") and default == "file":
         full = "/" + full[len("file:"):].lstrip("/")
     return full
 

@@ -275,8 +275,11 @@ def record_counts(files: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
 
 
 def lines_of_range(storage: Storage, path: str, encoding: str | None, offset: int, length: int,
-                   max_chars: int) -> Iterator[str | None]:
-    """Lines that start in the range. A line longer than ``max_chars`` gives ``None``; far longer, it ends the range."""
+                   max_chars: int | None = None) -> Iterator[str | None]:
+    """Lines that start in the range, whatever their length.
+
+    With ``max_chars`` a longer line gives ``None``; far longer, it ends the range.
+    """
     codec, mark = byte_order(encoding, storage, path)
     unit = 1 if codec is None else (2 if codec.startswith("utf-16") else 4)
     text_codec = codec or ("utf-8" if encoding in (None, "utf-8-sig") else encoding)
@@ -323,16 +326,16 @@ def lines_of_range(storage: Storage, path: str, encoding: str | None, offset: in
                 if position >= limit:
                     return
             pending = pending[start:]
-            if len(pending) > 4 * max_chars + 8:
+            if max_chars is not None and len(pending) > 4 * max_chars + 8:
                 yield None
                 return
         if pending and position < limit:
             yield _line(pending, text_codec, max_chars)
 
 
-def _line(raw: bytes, codec: str, max_chars: int) -> str | None:
+def _line(raw: bytes, codec: str, max_chars: int | None) -> str | None:
     text = raw.decode(codec, "replace")
-    return None if len(text) > max_chars else text
+    return None if max_chars is not None and len(text) > max_chars else text
 
 
 def _find_end(data: bytes, start: int, unit: int, newline: bytes, carriage: bytes) -> int:
@@ -372,18 +375,26 @@ def _read_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, encoding, chunk, offset, length in batch[
             ["path", "encoding", "chunk", "offset", "length"]
         ].itertuples(index=False):
+            names = ["path", "chunk", "number", "line", "error"]
             lines = []
-            for number, line in enumerate(lines_of_range(storage, path, encoding, offset, length, 1 << 30)):
-                lines.append((path, chunk, number, line))
-                if len(lines) == 10_000:
-                    yield pd.DataFrame(lines, columns=["path", "chunk", "number", "line"])
-                    lines = []
+            number = 0
+            try:
+                for number, line in enumerate(lines_of_range(storage, path, encoding, offset, length)):
+                    lines.append((path, chunk, number, line, None))
+                    if len(lines) == 10_000:
+                        yield pd.DataFrame(lines, columns=names)
+                        lines = []
+            except Exception as problem:
+                lines.append((path, chunk, number + 1, None, str(problem)))
             if lines:
-                yield pd.DataFrame(lines, columns=["path", "chunk", "number", "line"])
+                yield pd.DataFrame(lines, columns=names)
 
 
 def read_lines(files: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Every line of every file; ``chunk, number`` order the lines of a file."""
+    """Every line of every file; ``chunk, number`` order the lines of a file.
+
+    What can't be read gives a row with an ``error`` and no line.
+    """
     return plan_chunks(files.select("path", "size", "encoding"), chunk_bytes).mapInPandas(
-        _read_lines, "path string, chunk bigint, number bigint, line string"
+        _read_lines, "path string, chunk bigint, number bigint, line string, error string"
     )

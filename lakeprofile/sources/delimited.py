@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import csv
 import io
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from lakeprofile.functions import cells
 from lakeprofile.functions.sqltypes import sized_length
-from lakeprofile.lookups import CSV_SAMPLE_ROWS, DIALECT_SAMPLE_CHARS
+from lakeprofile.functions.urls import percent_decode
+from lakeprofile.lookups import CSV_SAMPLE_ROWS, DIALECT_SAMPLE_CHARS, READER_CHARSETS
 from lakeprofile.session import spread
 from lakeprofile.sources.storage import Storage
 
@@ -25,18 +28,82 @@ COLUMNS = (
 )
 
 
+# Delimiters to try, in order of preference, and the share of lines that must agree on one.
+DELIMITERS = [",", ";", "\t", "|", ":"]
+AGREEMENT = 0.8
+NUMBER_LIKE = re.compile(r"[+-]?(\d+([.,]\d+)?|\.\d+)([eE][+-]?\d+)?|\d{4}-\d{2}-\d{2}.*")
+HEAD_ROWS = 100
+LONGEST_NAME = 64
+
+
 def open_text(storage: Storage, path: str, encoding: str | None) -> io.TextIOWrapper:
     codec = "utf-8" if encoding in (None, "ascii", "binary") else encoding
     return io.TextIOWrapper(io.BufferedReader(storage.open(path)), encoding=codec, errors="replace", newline="")
 
 
+def _fields(line: str, delimiter: str) -> int:
+    """Fields of a line, delimiters between quotes apart."""
+    return sum(part.count(delimiter) for part in line.split('"')[::2]) + 1
+
+
+def _looks_typed(cell: str) -> bool:
+    cell = cell.strip().strip('"')
+    return bool(NUMBER_LIKE.fullmatch(cell))
+
+
+def dialect_of(lines: list[str]) -> tuple[str | None, bool]:
+    """(delimiter, has header) that most lines agree on; no delimiter where none splits them alike.
+
+    For each candidate the field count most lines have is taken; the candidate whose count holds for most lines wins, then
+    the one with more fields. A header is a first record of names above values: no cell of it is a number or empty, and
+    it's either followed by numbers in some column or by lines that don't repeat it.
+    """
+    lines = [line for line in lines if line.strip()]
+    if not lines:
+        return None, True
+    csv.field_size_limit(2**31 - 1)
+    best = None
+    for rank, delimiter in enumerate(DELIMITERS):
+        counts = Counter(_fields(line, delimiter) for line in lines)
+        fields, agreeing = max(counts.items(), key=lambda item: (item[1] if item[0] > 1 else 0, item[0]))
+        if fields > 1 and agreeing / len(lines) >= AGREEMENT:
+            best = max(best or (0.0, 0, 0, ""), (agreeing / len(lines), fields, -rank, delimiter))
+    delimiter = best[3] if best else None
+    rows = list(csv.reader(io.StringIO("\n".join(lines), newline=""), delimiter=delimiter or ",")) or [[]]
+    first, rest = rows[0], [row for row in rows[1:] if len(row) == len(rows[0])]
+    if any(not cell.strip() or _looks_typed(cell) for cell in first):
+        return delimiter, False
+    if len(set(first)) < len(first) and not any(_looks_typed(cell) for row in rest for cell in row):
+        return delimiter, False
+    return delimiter, True
+
+
 def sniff_dialect(sample: str, path: str) -> tuple[str, bool]:
-    """(delimiter, has header) of a prefix; a comma and a header where the text gives no clue."""
-    try:
-        sniffer = csv.Sniffer()
-        return sniffer.sniff(sample).delimiter, sniffer.has_header(sample)
-    except csv.Error:
-        return ("\t" if ".tsv" in path.lower() else ","), True
+    """(delimiter, has header) of a prefix; the delimiter the name suggests where the text gives no clue."""
+    delimiter, has_header = dialect_of(_whole_lines(sample))
+    return delimiter or ("\t" if ".tsv" in path.lower() else ","), has_header
+
+
+def delimited_lines(sample: str) -> bool:
+    """Whether the lines of a prefix are a header and records rather than prose, which has no blank-free first line of names."""
+    lines = _whole_lines(sample)
+    delimiter, has_header = dialect_of(lines)
+    if delimiter in (None, ":") or not has_header or len(lines) < 2:
+        return False
+    names = next(csv.reader(io.StringIO(lines[0], newline=""), delimiter=delimiter))
+    return all(0 < len(name.strip()) <= LONGEST_NAME and name.strip().count(" ") <= 2 and not name.rstrip().endswith(".") for name in names)
+
+
+def _whole_lines(sample: str) -> list[str]:
+    """Records of a prefix; the last one may be cut off and is left out, lines inside quotes are one record."""
+    lines, record = [], ""
+    parts = sample.split("\n")
+    for line in parts[:-1] if len(parts) > 2 else parts:
+        record = f"{record}\n{line}" if record else line
+        if record.count('"') % 2 == 0:
+            lines.append(record)
+            record = ""
+    return lines or [sample]
 
 
 def distinct_names(header: list[str]) -> list[str]:
@@ -116,7 +183,67 @@ def sampled_columns(names: Column, rows: Column, null_words: list[str] | None =
     return F.transform(names, describe).cast(COLUMNS)
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str | None = None, delimiter: str = ",",
+def whole_columns(files: DataFrame) -> DataFrame:
+    """Column profiles over every record: ``path, columns, examined, too_long``.
+
+    Files come with ``path, encoding, delimiter, has_header, quoted_breaks, names, rows`` (first rows, for the sample value).
+    Files of one dialect and width are read together by Spark's reader, split into ranges unless a quoted field holds a line
+    break or the encoding is wide; per file one row of partial minima, maxima and counts is shuffled. Records with too many
+    fields are counted and left out. The paths of a dialect pass the driver, where Spark's own file index holds them too.
+    """
+    spark = files.sparkSession
+    known = files.select("path", "encoding", "delimiter", "has_header", F.coalesce("quoted_breaks", F.lit(False)).alias("quoted_breaks"),
+                         F.size("names").alias("width"))
+    dialects = known.groupBy("encoding", "delimiter", "has_header", "quoted_breaks", "width").agg(F.collect_list("path").alias("paths"))
+    parts = []
+    for d in dialects.toLocalIterator():
+        # Types and widths are the same in both of the single-byte pages; Spark's reader takes one of them.
+        charset = "ISO-8859-1" if d.encoding == "cp1252" else READER_CHARSETS.get(d.encoding, d.encoding or "UTF-8")
+        wide = charset.lower().startswith(("utf-16", "utf-32"))
+        # One column more than there are names: what is in it is too much.
+        schema = T.StructType([T.StructField(f"c{at}", T.StringType()) for at in range(d.width + 1)])
+        rows = read_delimited(spark, d.paths, schema, d.delimiter, d.has_header, charset, multiLine=bool(d.quoted_breaks or wide),
+                              ignoreMissingFiles=True, enforceSchema=True)
+        location = F.regexp_replace(percent_decode(F.col("_metadata.file_path")), "^file:/+", "/")
+        cells_ = [cells.null_if_blank(F.col(f"c{at}")).alias(f"c{at}") for at in range(d.width + 1)]
+        rows = rows.select(location.alias("path"), *cells_)
+        usual = rows.filter(F.col(f"c{d.width}").isNull())
+        about = []
+        for at in range(d.width):
+            class_ = cells.cell_class(F.col(f"c{at}"))
+            about += [F.min(class_).alias(f"low{at}"), F.max(class_).alias(f"high{at}"), F.count(f"c{at}").alias(f"present{at}"),
+                      F.max(F.length(f"c{at}")).cast("bigint").alias(f"longest{at}"), F.first(f"c{at}", True).alias(f"some{at}")]
+        measured = usual.groupBy("path").agg(F.count("*").alias("examined"), *about)
+        entries = F.array(*[
+            F.struct(F.col(f"low{at}").alias("low"), F.col(f"high{at}").alias("high"), F.col(f"present{at}").alias("present"),
+                     F.col(f"longest{at}").alias("longest"), F.col(f"some{at}").alias("some")) for at in range(d.width)])
+        too_long = rows.filter(F.col(f"c{d.width}").isNotNull()).groupBy("path").agg(F.count("*").alias("too_long"))
+        parts.append(measured.select("path", "examined", entries.alias("about")).join(too_long, "path", "left"))
+    empty = spark.createDataFrame([], "path string, examined bigint, about array<struct<low:int,high:int,present:bigint,longest:bigint,some:string>>, too_long bigint")
+    measured = empty
+    for part in parts:
+        measured = measured.unionByName(part)
+
+    examined = F.coalesce("examined", F.lit(0))
+
+    def describe(name: Column, position: Column) -> Column:
+        found = F.get("about", position)
+        detected = F.when(examined == 0, "object").otherwise(
+            cells.column_type(found["low"], found["high"], F.coalesce(found["present"], F.lit(0)) < examined))
+        observed = F.when(detected == "object", F.coalesce(found["longest"], F.lit(0)))
+        values = F.filter(F.transform("rows", lambda row: cells.null_if_blank(F.get(row, position))), lambda value: value.isNotNull())
+        return F.struct(
+            (position + 1).alias("ordinal"), name.alias("name"), detected.alias("detected_type"),
+            F.lit(None).cast("string").alias("spark_type"), F.lit(True).alias("nullable"), F.lit("scalar").alias("nesting"),
+            observed.alias("observed_max_len"), sized_length(observed).alias("sized_len"),
+            F.coalesce(F.get(values, F.lit(0)), found["some"]).alias("sample_value"))
+
+    return files.select("path", "names", "rows").join(measured, "path", "left").select(
+        "path", F.transform("names", describe).cast(COLUMNS).alias("columns"), examined.alias("examined"),
+        F.coalesce("too_long", F.lit(0)).alias("too_long"))
+
+
+def read_delimited(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, delimiter: str = ",",
                    has_header: bool = True, encoding: str = "UTF-8", **options) -> DataFrame:
     """A folder or file of one dialect, read in parallel by byte ranges.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,20 +10,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lakeprofile.functions.encodings import detect_encoding
 from lakeprofile.lookups import ENCODING_SAMPLE_BYTES
 from lakeprofile.session import spread
+from lakeprofile.sources.delimited import delimited_lines
 from lakeprofile.sources.storage import Storage
 
 HEAD = "path string, size bigint, file_type string, head binary, looks_delimited boolean, head_error string"
 FILES_PER_BATCH = 64
-HEADER_SAMPLE_CHARS = 2048
 
 
 def looks_delimited(head: bytes) -> bool:
-    """True where the leading text has what looks like a header row."""
+    """True where the leading lines split alike at one delimiter, below what looks like a header."""
     try:
         text = head.decode("utf-8", "strict" if len(head) < ENCODING_SAMPLE_BYTES else "ignore")
-        return csv.Sniffer().has_header(text[:HEADER_SAMPLE_CHARS])
-    except (csv.Error, UnicodeDecodeError):
+    except UnicodeDecodeError:
         return False
+    return delimited_lines(text)
 
 
 def file_heads(files: DataFrame, limit: int = ENCODING_SAMPLE_BYTES) -> DataFrame:

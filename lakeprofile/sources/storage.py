@@ -50,7 +50,8 @@ class Storage:
         if isinstance(file_system, arrow_fs.LocalFileSystem):
             with os.scandir(inner) as entries:
                 for entry in entries:
-                    if entry.is_dir():
+                    # A link to a folder may lead back up; what it shows is listed where it stands.
+                    if entry.is_dir(follow_symlinks=False):
                         yield entry.name, True, None, None
                     elif entry.is_file():
                         status = entry.stat()

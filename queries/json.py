@@ -195,8 +195,8 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-delimited documents as one text column."""
     lines = spark.read.option("recursiveFileLookup", True).text(events_ndjson(spark, sf_dir))
-    return lines.select(F.get_json_object("value", "$.event_id").cast("bigint").alias("event_id"),
-                        F.length("value").cast("bigint").alias("chars")).filter("event_id IS NOT NULL")
+    event_id = F.try_variant_get(F.try_parse_json("value"), "$.event_id", "bigint")
+    return lines.select(event_id.alias("event_id"), F.length("value").cast("bigint").alias("chars"))
 
 
 def json_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,19 +209,20 @@ def json_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
         "line_format",
         json_files.line_format(F.col("explicit"), F.col("objects"), F.col("invalid"), F.col("other")),
     ), "json-shape")
-    samples = json_files.json_samples(judged).drop("error")
+    shapes = json_files.document_shapes(judged.filter("line_format IS NULL")).drop("error", "objects")
     rows = F.when(F.col("line_format").isNotNull(), F.col("objects")).otherwise(F.col("document_rows"))
-    return judged.join(samples, "path").groupBy("json_format").agg(F.sum(rows).alias("rows"))
+    return judged.join(shapes, "path", "left").groupBy(F.coalesce("line_format", "document_format").alias("json_format")).agg(
+        F.sum(rows).alias("rows"))
 
 
-def json_array_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled rows of array documents over the full-parse limit (lowered to the size of the fixture)."""
-    files = inventory(spark, single_documents(spark, sf_dir)).filter("name LIKE 'part-%' AND size > 0").select(
-        "path", "size", F.lit("utf-8").alias("encoding"), F.lit(None).cast("string").alias("line_format")
-    )
-    samples = json_files.json_samples(files, max_bytes=1000)
-    keys = F.transform(json_files.json_columns(F.col("sample")), lambda c: c["name"])
-    return samples.select("json_format", "analysis_truncated", F.array_join(keys, ",").alias("keys")).distinct()
+def json_array_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of array documents over all their elements, and how many documents have them."""
+    files = inventory(spark, single_documents(spark, sf_dir)).filter("name LIKE 'part-%' AND size > 0").withColumn(
+        "encoding", F.lit("utf-8"))
+    objects = json_files.shape_objects(json_files.document_shapes(files))
+    columns = json_files.document_columns(objects)
+    return columns.select("sampled", F.explode("columns").alias("c")).groupBy("c.ordinal", "c.name", "c.detected_type").agg(
+        F.sum("sampled").alias("elements"), F.max("c.observed_max_len").alias("longest"))
 
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +261,7 @@ QUERIES = {
     "json_fields": json_fields,
     "doc_lines": doc_lines,
     "json_shape": json_shape,
-    "json_array_prefix": json_array_prefix,
+    "json_array_columns": json_array_columns,
     "text_lines": text_lines,
 }
 
@@ -362,11 +363,14 @@ ORACLES = {
               FROM (SELECT event_id, k, json_extract(doc, '$."' || k || '"') AS v
                     FROM (SELECT event_id, doc, unnest(json_keys(doc)) AS k FROM {_VALID}))
               WHERE json_type(v) <> 'NULL' GROUP BY k)""",
-    "doc_lines": f"SELECT event_id, {_EVENT_LINE} AS chars FROM events WHERE event_id % 7 <> 0",
+    "doc_lines": f"SELECT CASE WHEN event_id % 7 <> 0 THEN event_id END AS event_id, {_EVENT_LINE} AS chars FROM events",
     "json_shape": """
         SELECT 'ndjson' AS json_format, count(*) FILTER (event_id % 7 <> 0) AS rows FROM events
         UNION ALL SELECT 'array', count(*) FROM events""",
-    "json_array_prefix": """
-        SELECT 'array' AS json_format, true AS analysis_truncated, 'event_id,user_id,event_type,props' AS keys""",
+    "json_array_columns": """
+        SELECT 1 AS ordinal, 'event_id' AS name, 'int' AS detected_type, count(*) AS elements, NULL::BIGINT AS longest FROM events
+        UNION ALL SELECT 2, 'user_id', 'int', count(*), NULL FROM events
+        UNION ALL SELECT 3, 'event_type', 'str', count(*), max(length(event_type)) FROM events
+        UNION ALL SELECT 4, 'props', 'str', count(*), max(length(props)) FROM events""",
     "text_lines": f"SELECT event_type, count(*) AS lines, sum({_EVENT_LINE})::BIGINT AS chars FROM events GROUP BY event_type",
 }

@@ -312,8 +312,10 @@ ORACLES = {
                sum(size)::BIGINT AS size
         FROM ({_TAGGED}) GROUP BY 1, 2""",
     "dir_size": f"""
-        SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, count(*) AS files, sum(size)::BIGINT AS size
-        FROM ({LISTING}) WHERE NOT regexp_matches(path, '/\\.[^/]*$') GROUP BY 1""",
+        SELECT folder, count(*) AS files, sum(size)::BIGINT AS size
+        FROM (SELECT size, unnest(list_transform(range(2, len(parts)), lambda n: array_to_string(parts[1:n], '/'))) AS folder
+              FROM (SELECT size, string_split(path, '/') AS parts FROM ({LISTING}) WHERE NOT regexp_matches(path, '/\\.[^/]*$')))
+        GROUP BY 1""",
     "pruned_listing": f"""
         SELECT path, size FROM ({LISTING}) WHERE path NOT LIKE '/lake/.hidden/%' AND path NOT LIKE '%\\_\\_pycache\\_\\_%' ESCAPE '\\'""",
     "incremental_inventory": f"SELECT path, size FROM ({LISTING}) WHERE modified % 9 = 0 OR modified % 10 = 0",

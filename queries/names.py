@@ -323,7 +323,7 @@ ORACLES = {
         FROM (SELECT doc_id, CAST(ceil(length(text) * 1.25) AS BIGINT) AS sized FROM documents)""",
     "detect_encoding": f"""
         SELECT doc_id, e AS encoding,
-               CASE e WHEN 'utf-8' THEN 99 WHEN 'cp1252' THEN 50 WHEN 'latin-1' THEN 50 ELSE 100 END::BIGINT AS confidence,
+               CASE e WHEN 'utf-8' THEN 99 WHEN 'cp1252' THEN 50 WHEN 'latin-1' THEN 40 ELSE 100 END::BIGINT AS confidence,
                CASE e WHEN 'utf-16' THEN '1200' WHEN 'utf-8' THEN '65001' WHEN 'utf-8-sig' THEN '65001'
                       ELSE '1252' END AS codepage
         FROM (SELECT doc_id, {_ENCODING} AS e FROM documents)""",

@@ -131,14 +131,13 @@ def dup_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = data_files(spark, once(spark, sf_dir, "duplicate-headers", write))
     headers = delimited.csv_samples(files).select("path", F.col("raw_names").alias("names"))
-    repeated = column_ops.duplicate_names(headers).groupBy("name").agg(F.count("*").alias("repeated_in"))
-    rows = record_counts(files).agg(F.count("*").alias("files"), F.sum(F.col("records") - 1).alias("rows"))
-    return repeated.join(F.broadcast(rows), repeated["repeated_in"] == rows["files"]).select("name", "rows")
+    counted = column_ops.duplicate_names(headers).join(record_counts(files).select("path", "records"), "path")
+    return counted.groupBy("name").agg(F.sum(F.col("records") - 1).alias("rows"))
 
 
 def text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the documents, trailing blanks removed."""
-    lines = spark.read.text(documents_text(spark, sf_dir)).select("lang", F.rtrim("value").alias("line"))
+    """Lines of the documents, white space at their ends removed."""
+    lines = spark.read.text(documents_text(spark, sf_dir)).select("lang", F.regexp_replace("value", r"\s+$", "").alias("line"))
     return lines.groupBy("lang").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
@@ -176,8 +175,7 @@ def sniff_content(spark: SparkSession, sf_dir: str) -> DataFrame:
         files = files.unionByName(part)
     heads = file_heads(files.withColumn("file_type", F.lit(None).cast("string")))
     typed = heads.withColumn("file_type", type_by_content(F.col("head"), F.col("looks_delimited")))
-    # Prose may look like a delimited file to the header test, so only the sure types are compared.
-    return files.join(typed, "path").filter("kind <> 'prose'").select("kind", "file_type").distinct()
+    return files.join(typed, "path").select("kind", "file_type").distinct()
 
 
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,7 +274,7 @@ ORACLES = {
     "text_scan": f"""
         SELECT lang, sum({_LINES})::BIGINT AS lines, sum(chars)::BIGINT AS chars
         FROM (SELECT lang, text,
-                     list_sum(list_transform(string_split(text, chr(10)), lambda x: length(rtrim(x)))) AS chars
+                     list_sum(list_transform(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '\\s+$', '')))) AS chars
               FROM documents)
         GROUP BY lang""",
     "text_line_count": f"SELECT lang, sum({_LINES})::BIGINT AS lines FROM documents GROUP BY lang",
@@ -284,7 +282,7 @@ ORACLES = {
         SELECT sum(length(text) + 1)::BIGINT AS chars, sum({_LINES})::BIGINT AS line_breaks FROM documents""",
     "sniff_content": """
         SELECT 'lines of objects' AS kind, 'json' AS file_type UNION ALL SELECT 'delimited', 'csv'
-        UNION ALL SELECT 'columnar', 'parquet'""",
+        UNION ALL SELECT 'columnar', 'parquet' UNION ALL SELECT 'prose', 'text'""",
     "preview": "SELECT c_custkey, c_name, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 100",
     "preview_values": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, value FROM events",
     "openrowset_top": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 100",

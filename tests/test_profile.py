@@ -89,7 +89,7 @@ def test_string_widths_get_headroom(found):
     column = columns(found["wide.csv"])["description"]
     assert (column.observed_max_len, column.sized_len, column.sql_type) == (240, 300, "NVARCHAR(350)")
     assert all(column.nullable for column in found["wide.csv"].columns)
-    assert found["wide.csv"].schema_inference == "sampled"
+    assert found["wide.csv"].schema_inference == "full"
 
 
 def test_dialects(found):
@@ -118,7 +118,7 @@ def test_encodings(found):
 def test_line_delimited_json(found):
     rows = found["rows.jsonl"]
     assert (rows.json_format, rows.row_count, rows.schema_sample_size, rows.schema_inference) == (
-        "ndjson", 350, 200, "sampled")
+        "ndjson", 350, 350, "full")
     skips = found["skips.ndjson"]
     assert (skips.row_count, skips.warning) == (2, "Skipped 1 invalid NDJSON line.")
     assert [(c.name, c.detected_type, c.nesting) for c in skips.columns] == [
@@ -138,14 +138,24 @@ def test_json_documents(found):
     assert found["noext"].file_type == "json" and found["noext"].row_count == 1
 
 
-def test_long_array_is_sampled_from_a_prefix(spark, tmp_path):
+def test_all_elements_of_an_array_count(spark, tmp_path):
     path = tmp_path / "big.json"
-    path.write_text(json.dumps([{"id": n, "name": f"row {n}"} for n in range(50)]))
-    files = spark.createDataFrame([(str(path), path.stat().st_size, "utf-8", None)],
-                                  "path string, size bigint, encoding string, line_format string")
-    row = documents.json_samples(files, max_bytes=100, prefix_chars=4096).first()
-    assert (row.json_format, row.analysis_truncated, row.document_rows, len(row.sample)) == ("array", True, None, 50)
-    assert documents.json_samples(files, max_bytes=100, prefix_chars=10).first().error
+    rows = [{"id": n, "name": f"row {n}"} for n in range(900)] + [{"id": 900, "late": "x" * 70}, 5]
+    path.write_text(json.dumps(rows))
+    row = plan.profile_location(spark, str(path)).first()
+    assert (row.json_format, row.row_count, row.schema_sample_size, row.schema_inference) == ("array", 902, 901, "sampled")
+    assert [(c.name, c.observed_max_len) for c in row.columns] == [("id", None), ("name", 7), ("late", 70)]
+
+
+def test_late_rows_decide_types_widths_and_keys(spark, tmp_path):
+    lines = [f"{n},{n}" for n in range(1500)] + ["x" * 6000 + ",Größe", "7,8,9"]
+    (tmp_path / "late.csv").write_text("a,b\n" + "\n".join(lines) + "\n", encoding="utf-8")
+    (tmp_path / "late.jsonl").write_text("\n".join([json.dumps({"a": n}) for n in range(400)] + [json.dumps({"a": 1, "z": "y" * 5_000_000})]) + "\n")
+    found = {row.name: row for row in plan.profile_location(spark, str(tmp_path)).collect()}
+    assert [(c.detected_type, c.observed_max_len) for c in found["late.csv"].columns] == [("object", 6000), ("object", 5)]
+    assert found["late.csv"].warning == "Skipped 1 lines with too many fields." and found["late.csv"].schema_sample_size == 1501
+    assert found["late.jsonl"].row_count == 401 and found["late.jsonl"].error is None
+    assert [(c.name, c.observed_max_len) for c in found["late.jsonl"].columns] == [("a", None), ("z", 5_000_000)]
 
 
 def test_plain_and_hidden_files(found):
