@@ -6,9 +6,10 @@
    fewer than ``MATCHES`` shared coordinates can't reach the match threshold. The rest are ordered by rarity over the whole
    table, and only the prefix is joined in which two signatures with ``MATCHES`` equal coordinates must collide.
 3. Within each posting list every class is first compared with one centre, the class whose coordinates are most common. The
-   links confirmed so far form components. Only classes that share a list and still lie in different components are paired,
-   so a list of many alike documents never becomes all its pairs. Two bounds that no link can break come before a pair is
-   made: the sizes of the sets, and how many shingles of each set any other candidate has at all.
+   links confirmed so far form components. Only classes that still lie in different components are paired, so a list of many
+   alike documents never becomes all its pairs. They must also share one of their rarest shingles (the prefix of the full
+   sets), and bounds that no link can break come before a pair is made: the sizes of the sets, how many shingles of each set
+   any other candidate has at all, and how many follow the shared one.
 4. Pairs whose signatures agree in at least ``MATCHES`` coordinates are confirmed on the full sets.
 
 A pair at the similarity of 0.8 agrees in 38.4 of 48 coordinates on average and in fewer than 22 with a chance below one in
@@ -20,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from lakeprofile.llm.common import byte_views, checked_broadcast, connected, mix, running, slim, spans_hash, write_and_read
 
@@ -139,10 +140,15 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = of_docs.join(candidate, F.col("id") == F.col("rep")).select("rep", "text")
     sets = write_and_read(texts.mapInArrow(_sets(width), "rep long, shingles array<long>").dropDuplicates(["rep"]), "sets")
     single = sets.select("rep", F.explode("shingles").alias("shingle"))
-    seen_twice = single.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1").select("shingle")
-    met = single.join(seen_twice, "shingle").groupBy("rep").agg(F.count("*").alias("met"))
-    able = lists.join(met, "rep").join(sizes, "rep").filter(f"100 * met >= {percent} * n")
-    able = write_and_read(able, "able")
+    seen_twice = single.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1")
+    ordered = single.join(seen_twice, "shingle").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("ordered"))
+    # Two linked sets share one of the first shingles by rarity; those that nobody else has come first of all.
+    alone = F.col("n") - F.size("ordered")
+    within = F.greatest(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone, F.lit(0)).cast("int")
+    able = ordered.join(lists, "rep").join(sizes, "rep").select(
+        "rep", "n", "signature", "common", "prefix", F.size("ordered").alias("met"),
+        F.transform(F.slice("ordered", 1, within), lambda item: item["shingle"]).alias("rarest"))
+    able = write_and_read(able.filter(f"100 * met >= {percent} * n"), "able")
 
     def possible(a: str, b: str):
         """Whether sets a and b may be linked, from their sizes and what they share with anybody."""
@@ -177,14 +183,17 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     links = confirmed(to_centre, "centre_links")
     component = connected(links)
 
-    # Classes of one list that are in different components still.
-    placed = posted.join(component, F.col("rep") == F.col("node"), "left").select(
-        "post", "rep", "n", "met", F.coalesce("component", "rep").alias("component"))
-    open_lists = placed.groupBy("post").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("post")
-    placed = write_and_read(placed.join(open_lists, "post"), "placed")
+    # Classes that share one of their rarest shingles and are in different components still. Where the first such shingle
+    # stands in both orders bounds what can follow.
+    rare = able.select("rep", "n", "met", F.posexplode("rarest").alias("nth", "shingle")).withColumn("left", F.col("met") - F.col("nth"))
+    placed = rare.join(component, F.col("rep") == F.col("node"), "left").select(
+        "shingle", "rep", "n", "met", "left", F.coalesce("component", "rep").alias("component"))
+    open_lists = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("shingle")
+    placed = write_and_read(placed.join(open_lists, "shingle"), "placed")
     apart = (
-        placed.alias("x").join(placed.alias("y"), (F.col("x.post") == F.col("y.post")) & (F.col("x.rep") > F.col("y.rep"))
-                               & (F.col("x.component") != F.col("y.component")) & possible("x", "y"))
+        placed.alias("x").join(placed.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") > F.col("y.rep"))
+                               & (F.col("x.component") != F.col("y.component")) & possible("x", "y")
+                               & F.expr(f"{100 + percent} * least(x.left, y.left) >= {percent} * (x.n + y.n)"))
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     )
     more = confirmed(apart, "other_links")
