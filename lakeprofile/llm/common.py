@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,7 +15,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows a side of a join may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
-__all__ = ["BROADCAST_ROWS", "ascii_lower", "checked_broadcast", "read_table", "scratch_path", "slim", "write_and_read"]
+__all__ = ["BROADCAST_ROWS", "ascii_lower", "checked_broadcast", "per_process", "read_table", "scratch_path", "slim", "write_and_read"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +33,18 @@ def slim(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def per_process(key: str, make: Callable):
+    """What ``make`` returns, made once in each worker process: tasks that follow each other in one share it.
+
+    Only for what can be made again at any time, such as a tokenizer with what it has encoded. Task functions travel by
+    value, so their own modules start anew with every task; the process's module table doesn't.
+    """
+    kept = sys.modules.setdefault("_lakeprofile_process", types.ModuleType("_lakeprofile_process")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z, and nothing else, in lower case."""
     return F.translate(text, UPPER, LOWER)

@@ -22,9 +22,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from lakeprofile.llm.common import per_process
+
 BLANK = "▁"
 _UNIT = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
-_MEMO = 500_000
+_MEMO = 300_000
 _REMEMBERED = 64  # characters
 _CHECK = 8  # longest pieces between two looks for a common boundary
 
@@ -51,7 +53,7 @@ class PieceModel:
         for piece in self.ids:
             by_end.setdefault(piece[-1], {1}).add(len(piece))
         self.lengths = {end: sorted(lengths, reverse=True) for end, lengths in by_end.items()}
-        self.stands = lru_cache(1 << 18)(self._stands)
+        self.stands = lru_cache(1 << 17)(self._stands)
         self.units: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -166,7 +168,7 @@ def encode(text: Column, model_path: str) -> Column:
     """A struct of ``ids`` and ``ids_crc32`` (of the ids as little-endian unsigned 32-bit integers). Null texts count as empty."""
     @F.pandas_udf("ids array<int>, ids_crc32 long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = PieceModel(model_path)
+        model = per_process(f"pieces {model_path}", lambda: PieceModel(model_path))
         for batch in batches:
             ids = [model.encode(text or "") for text in batch]
             yield pd.DataFrame({"ids": ids, "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids]})
@@ -178,7 +180,7 @@ def decode(ids: Column, model_path: str) -> Column:
     """The texts of arrays of ids; null for null."""
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = PieceModel(model_path)
+        model = per_process(f"pieces {model_path}", lambda: PieceModel(model_path))
         for batch in batches:
             yield pd.Series([None if x is None else model.decode(x.tolist()) for x in batch], dtype=object)
 
@@ -191,7 +193,14 @@ def round_trip(docs, model_path: str, id_col: str = "doc_id", text_col: str = "t
     A null text counts as empty. Texts that hold the blank's own sign (U+2581) come back with blanks there, as the model has
     one sign for both, and aren't the same.
     """
-    encoded = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("__text"), encode(F.col(f"`{text_col}`"), model_path).alias("__got"))
-    return encoded.select(
-        F.col(f"`{id_col}`"), F.size("__got.ids").cast("long").alias("n_tokens"), F.col("__got.ids_crc32").alias("ids_crc32"), F.col("__got.ids").alias("ids"),
-        (decode(F.col("__got.ids"), model_path) == F.coalesce("__text", F.lit(""))).alias("same"))
+    @F.pandas_udf("n_tokens long, ids_crc32 long, ids array<int>, same boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = per_process(f"pieces {model_path}", lambda: PieceModel(model_path))
+        for batch in batches:
+            rows = []
+            for text in batch:
+                ids = model.encode(text or "")
+                rows.append((len(ids), zlib.crc32(ids.tobytes()), ids, model.decode(ids.tolist()) == (text or "")))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_crc32", "ids", "same"])
+
+    return docs.select(F.col(f"`{id_col}`"), run(F.col(f"`{text_col}`")).alias("__got")).select(F.col(f"`{id_col}`"), "__got.*")

@@ -3,7 +3,7 @@
 Every byte goes that is covered by a string of ``LENGTH`` bytes which also starts in a document with a smaller id.
 
 1. Each string of ``LENGTH`` bytes names its own anchor: of the ``SEED``-byte strings in it the one with the least hash. Equal
-   strings have equal anchors, and neighbouring strings mostly share theirs, so one anchor in some sixteen bytes stands for
+   strings have equal anchors, and neighbouring strings mostly share theirs, so one anchor in some eighteen bytes stands for
    all. Only anchors that occur in two documents at least are followed; they are counted with partial aggregates, and the
    documents that hold them are found with an equi-join that Spark may split where an anchor is hot.
 2. Around each such anchor the stretch of bytes is cut out that its strings cover. The stretches of one anchor meet in one
@@ -25,7 +25,7 @@ from lakeprofile.llm.common import byte_views, checked_broadcast, running, slim,
 from lakeprofile.llm.suffixes import suffix_array
 
 LENGTH = 50
-SEED = 20
+SEED = 16
 HOT = 20_000
 _PIECE = 1 << 20  # bytes of a text looked at together; positions fit into 24 bits
 _LOW = np.uint64((1 << 24) - 1)
@@ -183,9 +183,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot:
     """
     long_enough = docs.filter(F.col("id").isNotNull() & (F.octet_length("text") >= length))
     held = long_enough.select("id", "text").mapInArrow(_anchor_rows(length, seed), "id long, anchor long")
-    held = write_and_read(held, "anchors")
-    shared = held.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("times")).filter("low < high")
-    followed = write_and_read(held.join(shared.select("anchor", "times"), "anchor"), "followed")
+    # One row per document and anchor, so a second row is a second document (or one more of the same id, which does no harm).
+    shared = held.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1")
+    followed = write_and_read(held.join(shared, "anchor"), "followed")
     very_common = followed.filter(F.col("times") > hot).select("anchor").distinct()
     of_doc = followed.groupBy("id").agg(F.collect_set("anchor").alias("anchors"))  # bounded by the document
     some = long_enough.join(checked_broadcast(followed.select("id").distinct(), "holders"), "id", "left_semi")
@@ -261,7 +261,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other. Rows without an id lose nothing and are no source. An empty table gives an empty result. What stays is bytes, as a
     cut may fall inside a character.
     """
-    rows = slim(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).withColumn("version", F.xxhash64("text"))
+    rows = slim(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).withColumn("version", F.pmod(F.xxhash64("text"), F.lit(1 << 31)))
     spans = repeated_spans(rows, length, seed, hot).groupBy("id", "version").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = checked_broadcast(spans.withColumnsRenamed({"id": "of_id", "version": "of_version"}), "spans")
     joined = rows.join(spans, (F.col("id") == F.col("of_id")) & (F.col("version") == F.col("of_version")), "left")
