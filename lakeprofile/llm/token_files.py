@@ -20,12 +20,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lakeprofile.llm.common import scratch_path, slim
+from lakeprofile.llm.common import per_process, scratch_path, slim
 
 MAGIC, VERSION, BLOCK = 0x46444954, 1, 1 << 16
 END_ID = 1
-_MEMO = 250_000
-_MARK = "<|endoftext|>"
+_MEMO = 400_000
+_SIGNS = ".,;:!?)]}#$%&*-_=+/@\""  # ASCII signs that form no token with a letter before them
+_ADDED = "<|"  # how added tokens begin
 
 
 def bits_needed(vocabulary: int) -> int:
@@ -130,7 +131,9 @@ class FileReader:
 class ChunkEncoder(dict):
     """The ids of texts, from those of their blank-separated chunks, each encoded once by the tokenizers library.
 
-    For tokenizers that drop white space before they split, so that no token spans a blank.
+    For tokenizers that lower-case, drop white space and split letters from signs before their merges, so that no token spans
+    a blank and signs behind a word are tokens of their own. A chunk of ASCII letters is a single word to such a tokenizer
+    and goes straight to the library's merges; any other chunk goes through the whole library.
     """
 
     def __init__(self, path: str):
@@ -141,29 +144,29 @@ class ChunkEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.bits = bits_needed(self.tokenizer.get_vocab_size(with_added_tokens=True))
-        self.mark = self.tokenizer.token_to_id(_MARK)
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encodes new chunks together, with an added token between them that the library always splits off."""
-        plain = [chunk for chunk in chunks if "<|" not in chunk]
-        for at in range(0, len(plain), 4096):
-            part = plain[at: at + 4096]
-            ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(part), add_special_tokens=False).ids, np.uint32)
-            pieces = np.split(ids, np.flatnonzero(ids == self.mark)) if self.mark is not None else []
-            if len(pieces) == len(part):
-                self.update((chunk, (piece[1:] if nth else piece).tobytes()) for nth, (chunk, piece) in enumerate(zip(part, pieces)))
-        for chunk in chunks:
-            if chunk not in self:
-                self[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+
+    def __missing__(self, chunk: str) -> bytes:
+        core = chunk.rstrip(_SIGNS)
+        if core and core != chunk and core[-1].isalpha() and _ADDED not in chunk:
+            ids = self[core] + self[chunk[len(core):]]
+        elif chunk.isascii() and chunk.isalpha():
+            ids = np.array([token.id for token in self.model.tokenize(chunk.lower())], np.uint32).tobytes()
+        else:
+            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, np.uint32).tobytes()
+        self[chunk] = ids
+        return ids
+
+    def encode(self, text: str) -> np.ndarray:
         if len(self) > _MEMO:
             self.clear()
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        new = {chunk for chunks in split for chunk in chunks if chunk not in self}
-        self.learn(list(new))
-        return [np.frombuffer(b"".join(map(self.__getitem__, chunks)), np.uint32) for chunks in split]
+        try:
+            text.encode("latin-1")
+            text = text.lower()  # one character each, as the tokenizer does itself
+        except UnicodeEncodeError:
+            pass
+        return np.frombuffer(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))), np.uint32)
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,13 +196,13 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
         name, own = f"part-{part:06d}.ids", f"_writing-{part:06d}-{uuid.uuid4().hex}"
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = per_process(f"chunks {tokenizer_path}", lambda: ChunkEncoder(tokenizer_path))
         end = np.array([END_ID], np.uint32)
         with store.open_output_stream(f"{root}/{own}") as sink:
             writer, n_docs = FileWriter(sink, encoder.bits), 0
             while first is not None:
-                for doc, ids in zip(first.column(0).to_pylist(), encoder.encode_all(first.column(1).to_pylist())):
-                    writer.add(doc, np.concatenate([ids, end]))
+                for doc, text in zip(first.column(0).to_pylist(), first.column(1).to_pylist()):
+                    writer.add(doc, np.concatenate([encoder.encode(text), end]))
                     n_docs += 1
                 first = next(batches, None)
             tokens = writer.close()
