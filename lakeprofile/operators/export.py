@@ -30,14 +30,18 @@ def export_sql(defined: DataFrame, path: str) -> None:
 
 
 def partitioned_write(df: DataFrame, path: str, *partition_by: str, sort_by: str | None = None,
-                      files_per_value: int = 8, max_rows_per_file: int = 5_000_000) -> None:
-    """Partitioned Parquet with few files per value.
+                      max_rows_per_file: int = 5_000_000) -> None:
+    """Partitioned Parquet with as many files per value as its rows fill.
 
-    Rows of one value are dealt to a handful of tasks, not to one, so a value holding a third of the data still
-    writes in parallel; large values roll over to further files.
+    A first pass over the partition columns counts the rows of each value; each value is then dealt to so many tasks, so that
+    one that holds a third of the data writes in parallel at any size, and a small one writes one file.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_value))
-    dealt = df.repartition(*[F.col(name) for name in partition_by], salt)
+    sizes = df.groupBy(*[F.col(f"`{name}`").alias(f"__{name}") for name in partition_by]).agg(
+        F.ceil(F.count("*") / max_rows_per_file).alias("__files"))
+    same = [F.col(f"`{name}`").eqNullSafe(F.col(f"`__{name}`")) for name in partition_by]
+    sized = df.join(sizes, same)
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in df.columns]), F.col("__files"))
+    dealt = sized.repartition(*[F.col(f"`{name}`") for name in partition_by], salt).select(*[F.col(f"`{name}`") for name in df.columns])
     if sort_by is not None:
         dealt = dealt.sortWithinPartitions(*partition_by, sort_by)
     dealt.write.option("maxRecordsPerFile", max_rows_per_file).partitionBy(*partition_by).parquet(path)

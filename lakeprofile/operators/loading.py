@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
+from lakeprofile.session import write_and_read
 from lakeprofile.sources.delimited import REJECTED, read_with_rejects
 
 
@@ -42,18 +43,23 @@ def top_rows(df: DataFrame, limit: int, *order_by: str) -> DataFrame:
 
 
 def bulk_load(spark: SparkSession, path: str, table: str, schema: T.StructType, max_errors: int = 0,
-              batch_rows: int = 50000, **dialect) -> int:
+              batch_rows: int | None = None, **dialect) -> int:
     """Loads delimited files into an existing table; returns the number of rejected rows.
 
-    Rejects are counted before anything is written, so a load over its limit leaves the table untouched.
+    The text is parsed once: good rows go to columnar staging files in scratch space while rejects are counted, and are
+    published from there. A load over its limit leaves the table untouched. ``batch_rows`` limits the rows of a written file;
+    without it each task writes one.
     """
     rows = read_with_rejects(spark, path, schema, **dialect)
     rejected = F.col(REJECTED)
-    errors = rows.agg(F.count_if(rejected.isNotNull())).first()[0]
+    seen = Observation()
+    good = rows.observe(seen, F.count_if(rejected.isNotNull()).alias("errors")).filter(rejected.isNull())
+    staged = write_and_read(good.select(*[F.col(f"`{name}`") for name in spark.table(table).columns]), "bulk-load")
+    errors = seen.get["errors"]
     if errors > max_errors:
         raise RejectLimitExceeded(f"{errors} rejected rows in {path}, {max_errors} allowed")
-    good = rows.filter(rejected.isNull()).select(*[F.col(f"`{name}`") for name in spark.table(table).columns])
-    good.write.option("maxRecordsPerFile", batch_rows).insertInto(table)
+    writer = staged.write if batch_rows is None else staged.write.option("maxRecordsPerFile", batch_rows)
+    writer.insertInto(table)
     return errors
 
 

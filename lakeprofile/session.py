@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Scratch folders of local sessions that name none themselves.
 _local_roots: dict[str, str] = {}
@@ -68,10 +68,10 @@ def write_and_read(df: DataFrame, label: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows that stand for much work each (files, chunks) evenly over the cluster.
 
-    The partition count is explicit, because adaptive execution would merge such tiny rows into one task. It follows
-    ``spark.sql.shuffle.partitions``, the setting a large job is tuned by, between two and four tasks per core.
+    Rows are dealt in turn, not by a hash of ``keys``, which would give some tasks several and others none; ``keys`` only
+    say what tells the rows apart. The partition count is explicit, because adaptive execution would merge such tiny rows into
+    one task. It follows ``spark.sql.shuffle.partitions``, the setting a large job is tuned by, and two tasks per core at least.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    tasks = min(max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), 4 * cores)
-    return df.repartition(tasks, *[F.xxhash64(*[F.col(k) for k in keys])] if keys else [])
+    return df.repartition(max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
