@@ -8,7 +8,6 @@ text; the posterior over the languages is the score.
 
 from __future__ import annotations
 
-import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,46 +20,67 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from lakeprofile.llm.common import slim
 
 PER_LANGUAGE = 4000
-WORDS_PER_LANGUAGE = 50_000
+WORDS_PER_LANGUAGE = 20_000
 LANGUAGES = 500
 LONGEST = 4
 SMOOTHING = 0.5
 UNDETERMINED = "und"
-_MEMO = 200_000
+_MEMO = 100_000
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
+class LogTable:
+    """Smoothed log frequencies per language of words or n-grams: numbers of rows by key, and the rows."""
+
+    def __init__(self, counts: dict[str, Counter], languages: list[str]):
+        keys = sorted({key for language in languages for key in counts[language]})
+        self.at = {key: nth for nth, key in enumerate(keys)}
+        table = np.array([[counts[language][key] for language in languages] for key in keys], float).reshape(len(keys), len(languages))
+        totals = table.sum(axis=0) + SMOOTHING * (len(keys) + 1)
+        self.rows = np.log((table + SMOOTHING) / totals).astype(np.float32)
+
+    def get(self, key: str) -> np.ndarray | None:
+        nth = self.at.get(key)
+        return None if nth is None else self.rows[nth]
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
-    words: dict[str, np.ndarray]  # log frequency per language
-    grams: dict[str, np.ndarray]
+    words: LogTable
+    grams: list[LogTable]  # of one character, two, ...
 
     def unseen(self, word: str) -> np.ndarray:
         """The score of a word that no language knows."""
         marked, total = f"<{word}>", np.zeros(len(self.languages))
         for at in range(len(marked)):
-            for length in range(min(LONGEST, len(marked) - at), 0, -1):
-                row = self.grams.get(marked[at: at + length])
+            for length in range(min(len(self.grams), len(marked) - at), 0, -1):
+                row = self.grams[length - 1].get(marked[at: at + length])
                 if row is not None:
                     total += row
                     break
         return total
 
 
+def model_of(words: dict[str, Counter]) -> LanguageModel:
+    """The model of words counted per language."""
+    languages, grams = sorted(words), []
+    for length in range(1, LONGEST + 1):
+        counts: dict[str, Counter] = {language: Counter() for language in languages}
+        for language in languages:
+            for word, n in words[language].items():
+                marked = f"<{word}>"
+                for at in range(len(marked) - length + 1):
+                    counts[language][marked[at: at + length]] += n
+        grams.append(LogTable(counts, languages))
+    return LanguageModel(languages, LogTable(words, languages), grams)
+
+
 def held_out(id_column: Column, folds: int) -> Column:
     """Whether the crc32 of the id as text leaves no remainder; true for null ids, from which nothing is learned."""
     return F.coalesce(F.crc32(id_column.cast("string")) % folds == 0, F.lit(True))
 
 
-def _log_rows(counts: dict[str, Counter], languages: list[str]) -> dict[str, np.ndarray]:
-    """Smoothed log frequencies of every key, per language."""
-    keys = {key for language in languages for key in counts[language]}
-    totals = [math.log(sum(counts[language].values()) + SMOOTHING * (len(keys) + 1)) for language in languages]
-    return {key: np.array([math.log(counts[language][key] + SMOOTHING) - total for language, total in zip(languages, totals)])
-            for key in keys}
-
-
 def learn_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
                     per_language: int = PER_LANGUAGE, words_per_language: int = WORDS_PER_LANGUAGE) -> LanguageModel:
     """A model from the rows of ``docs`` with a language and a text.
@@ -71,7 +91,7 @@ def learn_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     sizes = {row.lang: row.n for row in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
-        return LanguageModel([], {}, {})
+        return model_of({})
     scale = 1 << 30
     share = F.create_map([F.lit(x) for lang in languages for x in (lang, int(min(1.0, per_language / sizes[lang]) * scale))])
     sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(scale)) < F.coalesce(share[F.col("lang")], F.lit(0)))
@@ -91,16 +111,7 @@ def learn_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     words: dict[str, Counter] = {lang: Counter() for lang in languages}
     for row in top.select("lang", "word", "n").toLocalIterator():  # bounded: words_per_language for each language
         words[row.lang][row.word] = row.n
-    grams = []
-    for length in range(1, LONGEST + 1):
-        of_length: dict[str, Counter] = {lang: Counter() for lang in languages}
-        for lang in languages:
-            for word, n in words[lang].items():
-                marked = f"<{word}>"
-                for at in range(len(marked) - length + 1):
-                    of_length[lang][marked[at: at + length]] += n
-        grams.append(_log_rows(of_length, languages))
-    return LanguageModel(languages, _log_rows(words, languages), {key: row for rows in grams for key, row in rows.items()})
+    return model_of(words)
 
 
 class _Scores(dict):
@@ -108,7 +119,7 @@ class _Scores(dict):
 
     def __init__(self, model: LanguageModel):
         super().__init__()
-        self.model, self.rows = model, np.zeros((1024, len(model.languages)))
+        self.model, self.rows = model, np.zeros((1024, len(model.languages)), np.float32)
 
     def __missing__(self, word: str) -> int:
         at = len(self)
@@ -143,7 +154,7 @@ def identify(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
                 if len(scores) > _MEMO:
                     scores = _Scores(model)
                 at = list(map(scores.__getitem__, found))
-                total = np.bincount(at, minlength=len(scores)) @ scores.rows[: len(scores)] if len(at) > len(scores) else scores.rows[at].sum(0)
+                total = scores.rows[at].sum(axis=0, dtype=float)
                 total = np.exp(total - total.max())
                 best = int(total.argmax())
                 languages.append(model.languages[best])

@@ -1,6 +1,7 @@
 import os
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 from helpers import awkward, empty, table  # noqa: E402
 
 from lakeprofile.llm import queries  # noqa: E402
-from lakeprofile.llm.language_id import LanguageModel, drop_undetermined, with_language  # noqa: E402
+from lakeprofile.llm.language_id import drop_undetermined, model_of, with_language  # noqa: E402
 from lakeprofile.llm.nearest import hadamard, nearest_neighbours, rotated  # noqa: E402
 from lakeprofile.llm.quality import Network, features, with_quality  # noqa: E402
 
@@ -30,9 +31,14 @@ def test_languages_of_rows_that_were_held_out(spark):
 
 
 def test_backoff_takes_the_longest_known_gram():
-    model = LanguageModel(["a", "b"], {}, {"<xy": np.array([-1.0, -9.0]), "<": np.array([-5.0, -5.0]), "x": np.array([-2.0, -3.0]), "y": np.array([-2.0, -4.0]), ">": np.zeros(2)})
-    assert model.unseen("xy").tolist() == [-1.0 - 2 - 2, -9.0 - 3 - 4]
-    assert model.unseen("q").tolist() == [-5.0, -5.0]
+    model = model_of({"a": Counter({"xyz": 8, "q": 1}), "b": Counter({"yz": 5})})
+    grams = model.grams
+    row = lambda gram: grams[len(gram) - 1].get(gram)
+    # <xyw>: "<xy" is known, "xyw" isn't but "xy" is, then "y", nothing for "w", and ">".
+    assert np.allclose(model.unseen("xyw"), row("<xy") + row("xy") + row("y") + row(">"))
+    assert row("<xyz")[0] > row("<xyz")[1] and row("w") is None
+    assert model.words.get("xyz")[0] > model.words.get("xyz")[1]
+    assert model_of({}).languages == []
 
 
 def test_language_of_awkward_rows(spark):
