@@ -3,9 +3,9 @@
 Every byte goes that is covered by a string of ``LENGTH`` bytes which also starts in a document with a smaller id.
 
 1. Each string of ``LENGTH`` bytes names its own anchor: of the ``SEED``-byte strings in it the one with the least hash. Equal
-   strings have equal anchors, and neighbouring strings mostly share theirs, so one anchor in some eighteen bytes stands for
-   all. Only anchors that occur in two documents at least are followed; they are counted with partial aggregates, and the
-   documents that hold them are found with an equi-join that Spark may split where an anchor is hot.
+   strings have equal anchors, and neighbouring strings mostly share theirs, so one anchor in some thirteen bytes stands for
+   all. Only anchors that occur in two documents at least are followed. One shuffle of (document, anchor) rows counts them;
+   the rows of a hot anchor pass through the count in a buffer that spills, sixteen bytes each.
 2. Around each such anchor the stretch of bytes is cut out that its strings cover. The stretches of one anchor meet in one
    place, equal ones as one. Their suffix array, built by grouping (see ``suffixes``), brings equal strings together; the
    smallest id among them is where they start first.
@@ -16,16 +16,17 @@ Every byte goes that is covered by a string of ``LENGTH`` bytes which also start
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakeprofile.llm.common import byte_views, checked_broadcast, running, slim, spans_hash, write_and_read
 from lakeprofile.llm.suffixes import suffix_array
 
 LENGTH = 50
-SEED = 16
+SEED = 26
 HOT = 20_000
 _PIECE = 1 << 20  # bytes of a text looked at together; positions fit into 24 bits
 _LOW = np.uint64((1 << 24) - 1)
@@ -97,19 +98,40 @@ def _stretches(length: int, seed: int):
     return run
 
 
-def first_documents(stretches: dict[bytes, int], length: int = LENGTH) -> dict[bytes, list[int]]:
+Stretch = tuple[int, bytes]  # where the anchor stands in it, and its bytes
+
+
+def _alike(stretches: Iterable[Stretch], length: int, seed: int) -> list[Stretch]:
+    """The stretches that may share a string with another one.
+
+    A string around the anchor holds half of its other bytes on one side at least, so the anchor with that much on its left,
+    or on its right, must occur in two stretches.
+    """
+    half = (length - seed) // 2
+    sides = {}
+    for lead, bytes_ in stretches:
+        left = bytes_[lead - half: lead + seed] if lead >= half else None
+        right = bytes_[lead: lead + seed + half] if len(bytes_) >= lead + seed + half else None
+        sides[lead, bytes_] = ("left", left), ("right", right)
+    times = Counter(side for both in sides.values() for side in both if side[1] is not None)
+    return [stretch for stretch, both in sides.items() if any(times[side] > 1 for side in both)]
+
+
+def first_documents(stretches: dict[Stretch, int], length: int = LENGTH, seed: int = SEED) -> dict[Stretch, list[int]]:
     """For each stretch, given with the smallest id that holds it, the smallest id of each of its strings of ``length`` bytes.
 
-    Several stretches are joined and their suffix array is built. Suffixes that share ``length`` bytes stand together in it.
+    Stretches that may share a string are joined and their suffix array is built. Suffixes that share ``length`` bytes stand
+    together in it.
     """
-    out = {bytes_: [id_] * (len(bytes_) - length + 1) for bytes_, id_ in stretches.items()}
-    if len(stretches) < 2:
+    out = {stretch: [id_] * (len(stretch[1]) - length + 1) for stretch, id_ in stretches.items()}
+    alike = _alike(stretches, length, seed) if len(stretches) > 1 else []
+    if len(alike) < 2:
         return out
     owner, inside = [], []
-    for bytes_ in stretches:
-        owner += [bytes_] * (len(bytes_) + 1)
-        inside += range(len(bytes_) + 1)
-    text = b"\x00".join(stretches) + b"\x00"
+    for stretch in alike:
+        owner += [stretch] * (len(stretch[1]) + 1)
+        inside += range(len(stretch[1]) + 1)
+    text = b"\x00".join(bytes_ for _, bytes_ in alike) + b"\x00"
     class_: list[int] = []
     shared = None
 
@@ -130,18 +152,18 @@ def first_documents(stretches: dict[bytes, int], length: int = LENGTH) -> dict[b
     return out
 
 
-def _covered(length: int):
+def _covered(length: int, seed: int):
     """What is to go, from the stretches of whole anchors, which follow each other."""
     def spans(rows: list[tuple]) -> Iterator[tuple]:
-        least: dict[bytes, int] = {}
-        for _, id_, _, _, bytes_ in rows:
-            if id_ < least.get(bytes_, id_ + 1):
-                least[bytes_] = id_
-        first = first_documents(least, length) if len(rows) > 1 else None
-        if first is None:
+        if len(rows) < 2:
             return
-        for _, id_, version, start, bytes_ in rows:
-            owners, at = first[bytes_], 0
+        least: dict[Stretch, int] = {}
+        for _, id_, _, _, lead, bytes_ in rows:
+            if id_ < least.get((lead, bytes_), id_ + 1):
+                least[lead, bytes_] = id_
+        first = first_documents(least, length, seed)
+        for _, id_, version, start, lead, bytes_ in rows:
+            owners, at = first[lead, bytes_], 0
             if owners[0] < id_ and max(owners) < id_:
                 yield id_, version, start, start + len(bytes_)
                 continue
@@ -163,7 +185,7 @@ def _covered(length: int):
         waiting: list[tuple] = []
         out: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if waiting and waiting[0][0] != row[0]:
                     out += spans(waiting)
                     waiting = []
@@ -184,8 +206,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot:
     long_enough = docs.filter(F.col("id").isNotNull() & (F.octet_length("text") >= length))
     held = long_enough.select("id", "text").mapInArrow(_anchor_rows(length, seed), "id long, anchor long")
     # One row per document and anchor, so a second row is a second document (or one more of the same id, which does no harm).
-    shared = held.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1")
-    followed = write_and_read(held.join(shared, "anchor"), "followed")
+    # A window needs one shuffle of these rows where counting and joining back would need two.
+    times = F.count("*").over(Window.partitionBy("anchor"))
+    followed = write_and_read(held.withColumn("times", times).filter("times > 1"), "followed")
     very_common = followed.filter(F.col("times") > hot).select("anchor").distinct()
     of_doc = followed.groupBy("id").agg(F.collect_set("anchor").alias("anchors"))  # bounded by the document
     some = long_enough.join(checked_broadcast(followed.select("id").distinct(), "holders"), "id", "left_semi")
@@ -195,8 +218,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot:
     else:
         stretches = write_and_read(stretches, "stretches")
         usual, common = stretches.join(very_common, "anchor", "left_anti"), stretches.join(very_common, "anchor", "left_semi")
-    together = usual.select("anchor", "id", "version", "first", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    covered = together.mapInArrow(_covered(length), "id long, version long, start long, end long")
+    together = usual.select("anchor", "id", "version", "first", "lead", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    covered = together.mapInArrow(_covered(length, seed), "id long, version long, start long, end long")
     return covered if common is None else covered.union(_covered_by_common(common, length))
 
 
