@@ -132,8 +132,10 @@ class ChunkEncoder(dict):
     """The ids of texts, from those of their blank-separated chunks, each encoded once by the tokenizers library.
 
     For tokenizers that lower-case, drop white space and split letters from signs before their merges, so that no token spans
-    a blank and signs behind a word are tokens of their own. A chunk of ASCII letters is a single word to such a tokenizer
-    and goes straight to the library's merges; any other chunk goes through the whole library.
+    a blank and signs behind an ASCII letter are tokens of their own. Other letters may become a letter and a mark before the
+    split, and the mark would join the signs; so only an ASCII letter parts a word from its signs. A chunk of ASCII letters is
+    a single word to such a tokenizer and goes straight to the library's merges; any other chunk goes through the whole
+    library. Added tokens are found in the text as it stands, so chunks that may hold one keep their case and are not split.
     """
 
     def __init__(self, path: str):
@@ -149,7 +151,7 @@ class ChunkEncoder(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         core = chunk.rstrip(_SIGNS)
-        if core and core != chunk and core[-1].isalpha() and _ADDED not in chunk:
+        if core and core != chunk and core[-1].isascii() and core[-1].isalpha() and _ADDED not in chunk:
             ids = self[core] + self[chunk[len(core):]]
         elif chunk.isascii() and chunk.isalpha():
             ids = np.array([token.id for token in self.model.tokenize(chunk.lower())], np.uint32).tobytes()
@@ -161,11 +163,12 @@ class ChunkEncoder(dict):
     def encode(self, text: str) -> np.ndarray:
         if len(self) > _MEMO:
             self.clear()
-        try:
-            text.encode("latin-1")
-            text = text.lower()  # one character each, as the tokenizer does itself
-        except UnicodeEncodeError:
-            pass
+        if _ADDED not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()  # one character each, as the tokenizer does itself
+            except UnicodeEncodeError:
+                pass
         return np.frombuffer(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))), np.uint32)
 
 

@@ -109,6 +109,15 @@ def test_chunks_give_the_ids_of_whole_texts(texts):
     assert [encoder.encode(text).tolist() for text in texts] == whole
 
 
+def test_letters_that_become_a_letter_and_a_mark_and_added_tokens_in_capitals():
+    encoder = token_files.ChunkEncoder(WORDS)
+    last = ["\u09b9\u09df", "\u0995\u09dc", "\u092a\u095c", "\u0130", "KAPI\u0130", "\ufb2a", "e\u0301", "\u00e9", "f\u00fcr", "\u4f60a", "end", "END1", "\u00b2"]
+    texts = [f"{word}{signs} {word}{signs}{word}" for word in last for signs in (",", ".", "!?", ")", "...", '",', "'s,", "'")]
+    texts += ["<|ENDOFTEXT|>", "a <|ENDOFTEXT|> b", "É<|EndOfText|>, The <|endoftext|>.", "<|STARTOFTEXT|>,", "A<| B|>", "\u09df<|ENDOFTEXT|>,"]
+    for text in texts:
+        assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_files_against_the_library(spark, tmp_path):
     from tokenizers import Tokenizer
 
