@@ -1,8 +1,10 @@
 """Finds secrets in texts: three fixed patterns, and literals that source or configuration syntax gives to a sensitive name.
 
 The lexer reads ``name = literal`` pairs as programming languages, shells, JSON, YAML and INI files write them. A name may be
-given another name; such constants are followed to the literal they stand for. A literal is reported if the name it reaches
-and its own make-up score high enough together: a password called ``x`` counts once ``db_password = x`` is read.
+given another name; such constants are followed to the literal they stand for, over any number of names: to what the name was
+given last before its use or, where it is given nothing before, last in the text. A literal is reported if the name it reaches
+and its own make-up score high enough together: a password called ``x`` counts once ``db_password = x`` is read. Names and
+literals may have any length.
 """
 
 from __future__ import annotations
@@ -10,7 +12,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
+import string
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,14 +34,17 @@ NAME_WEIGHTS = {
     "client": 0.2, "session": 0.3, "encryption": 0.5, "signing": 0.5, "webhook": 0.3, "pin": 0.4,
 }
 THRESHOLD = 0.5
-_FOLLOWED = 8
-_NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.\-]*\Z")
+_NAME_FIRST = frozenset(string.ascii_letters + "_$")
+_NAME_CHARS = _NAME_FIRST | frozenset(string.digits + ".-")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>#]+")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*\Z")
 _JOIN = re.compile(r"""["'`][ \t]*\+[ \t]*["'`]""")
 _OPERATOR = re.compile(r"[:=]")
-_PLACEHOLDER = re.compile(r"(?i)change_?me|example|placeholder|your[_-]|xxx|\*\*\*|<.*>|\$\{|\{\{|^(none|null|true|false|undefined|password|secret|token)$")
+_HINTS = r"change_?me|example|placeholder|your[_-]|xxx|\*\*\*|<.*>|\$\{|\{\{"
+_WORDS = r"none|null|true|false|undefined|password|secret|token"
+_PLACEHOLDER = re.compile(rf"(?i){_HINTS}|^({_WORDS})$")
+_HINT_STARTS = re.compile(r"(?i)(?=change_?me|example|placeholder|your[_-]|xxx|\*\*\*)")  # those a bare literal may hold
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -48,12 +54,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
-def _literal(text: str, at: int) -> tuple[int, int, bool] | None:
-    """Start, end and whether quoted, of the literal that begins at ``at``; quoted parts joined by ``+`` are one literal."""
+def _literal(text: str, at: int, bare_end: int) -> tuple[int, int, bool] | None:
+    """Start, end and whether quoted, of the literal that begins at ``at``; quoted parts joined by ``+`` are one literal.
+
+    ``bare_end`` is the end of the last bare literal: what begins inside it ends there too.
+    """
     if at >= len(text):
         return None
     if text[at] not in "\"'`":
-        found = _BARE.match(text, at, at + 512)
+        if at < bare_end:
+            return at, bare_end, False
+        found = _BARE.match(text, at)
         return (at, found.end(), False) if found else None
     start, end = at + 1, None
     while at < len(text) and text[at] in "\"'`":
@@ -75,6 +86,7 @@ def _literal(text: str, at: int) -> tuple[int, int, bool] | None:
 
 def pairs(text: str) -> Iterator[tuple[str, int, int, bool]]:
     """Names with the start and end of what they are given, and whether it is quoted."""
+    bare_end = 0
     for found in _OPERATOR.finditer(text):
         at = found.start()
         before, after = text[at - 1: at], text[at + 1: at + 2]
@@ -83,31 +95,72 @@ def pairs(text: str) -> Iterator[tuple[str, int, int, bool]]:
                 continue
         elif found[0] == ":" and after == "=":
             continue  # its = is read
-        left = text[max(0, at - 80): at].rstrip(": \t" if before == ":" else " \t")
-        left = left[:-1] if left[-1:] == "]" else left
-        left = left[:-1] if left[-1:] in "\"'`" and left else left
-        name = _NAME.search(left)
-        if not name:
+        end, blanks = at, ": \t" if before == ":" else " \t"
+        while end and text[end - 1] in blanks:
+            end -= 1
+        end -= text[end - 1: end] == "]"
+        end -= text[end - 1: end] in ("\"", "'", "`")
+        start = end
+        while start and text[start - 1] in _NAME_CHARS:
+            start -= 1
+        while start < end and text[start] not in _NAME_FIRST:
+            start += 1
+        if start == end:
             continue
         at += 2 if after == ">" else 1
         while text[at: at + 1] in (" ", "\t"):
             at += 1
-        literal = _literal(text, at)
+        literal = _literal(text, at, bare_end)
         if literal and literal[1] > literal[0]:
-            yield (name[0], *literal)
+            bare_end = bare_end if literal[2] else literal[1]
+            yield (text[start:end], *literal)
 
 
 def name_score(name: str) -> float:
     return min(1.0, sum(NAME_WEIGHTS.get(part.lower(), 0.0) for part in set(_PARTS.findall(name))))
 
 
+def _make_up(counts: Counter, size: int) -> float:
+    """How much a literal of these characters looks like a secret, up to 1."""
+    entropy = -math.fsum(n / size * math.log2(n / size) for n in counts.values())
+    classes = any(c.isdigit() for c in counts) + any(c.isupper() for c in counts) + any(c.islower() for c in counts) + any(not c.isalnum() for c in counts)
+    return min(1.0, entropy / 3.0) * (0.4 if classes < 2 else 1.0)
+
+
 def literal_score(value: str) -> float:
     """0 for placeholders, short and monotonous literals, up to 1."""
-    if len(value) < 6 or len(value) > 512 or any(c.isspace() for c in value) or _PLACEHOLDER.search(value):
+    if len(value) < 6 or any(c.isspace() for c in value) or _PLACEHOLDER.search(value):
         return 0.0
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    classes = any(c.isdigit() for c in value) + any(c.isupper() for c in value) + any(c.islower() for c in value) + any(not c.isalnum() for c in value)
-    return min(1.0, entropy / 3.0) * (0.4 if classes < 2 else 1.0)
+    return _make_up(Counter(value), len(value))
+
+
+def bare_scores(text: str, starts: list[int], end: int) -> dict[int, float]:
+    """``literal_score`` of bare literals that end together, each a tail of the longest: one pass from their end."""
+    starts = sorted(starts)
+    hint = max((m.start() for m in _HINT_STARTS.finditer(text[starts[0]: end])), default=-1) + starts[0]
+    scores, counts, counted = {}, Counter(), end
+    for start in reversed(starts):
+        counts.update(text[start:counted])
+        counted = start
+        short = end - start < 20 and literal_score(text[start:end]) == 0.0
+        scores[start] = 0.0 if short or start <= hint else _make_up(counts, end - start)
+    return scores
+
+
+def _reached(follows: list[int | None]) -> list[int]:
+    """The last of each chain of assignments; an assignment whose names lead in a circle stays where it is."""
+    reached: list[int | None] = [None] * len(follows)
+    circle = -1
+    for first in range(len(follows)):
+        path, seen, at = [], set(), first
+        while reached[at] is None and at not in seen and follows[at] is not None:
+            path.append(at)
+            seen.add(at)
+            at = follows[at]
+        last = circle if at in seen else at if reached[at] is None else reached[at]
+        for i in path:
+            reached[i] = last
+    return [i if last is None or last == circle else last for i, last in enumerate(reached)]
 
 
 def named_spans(text: str) -> list[tuple[int, int, str]]:
@@ -115,25 +168,30 @@ def named_spans(text: str) -> list[tuple[int, int, str]]:
     found = list(pairs(text))
     if not found:
         return []
-    given = {}  # what a name was last given: a literal's span or another name
-    for name, start, end, quoted in found:
-        given[name] = (start, end, quoted)
-    spans = set()
-    for name, start, end, quoted in found:
-        sensitive = name_score(name)
-        if not sensitive:
-            continue
-        for _ in range(_FOLLOWED):
-            value = text[start:end]
-            if quoted or value not in given or given[value][:2] == (start, end):
-                break
-            start, end, quoted = given[value]
-        value = text[start:end]
-        if not quoted and _IDENTIFIER.match(value) and not any(c.isdigit() for c in value):
-            continue  # a name or a word
-        if sensitive * literal_score(_JOIN.sub("", value)) >= THRESHOLD:
-            spans.add((start, end, "named"))
-    return list(spans)
+    longest = max(len(name) for name, _, _, _ in found)
+    values = [None if quoted or end - start > longest else text[start:end] for _, start, end, quoted in found]
+    given: dict[str, int] = {}  # the assignment that a name was last given something in
+    follows = []
+    for i, (name, _, _, _) in enumerate(found):
+        follows.append(given.get(values[i]))
+        given[name] = i
+    reached = _reached([given.get(value) if at is None else at for value, at in zip(values, follows)])
+    sensitive: dict[tuple[int, int, bool], float] = {}
+    for (name, _, _, _), last in zip(found, reached):
+        score = name_score(name)
+        if score:
+            literal = found[last][1:]
+            sensitive[literal] = max(score, sensitive.get(literal, 0.0))
+    spans, tails = [], defaultdict(list)
+    for start, end, quoted in sensitive:
+        if quoted:
+            if sensitive[start, end, True] * literal_score(_JOIN.sub("", text[start:end])) >= THRESHOLD:
+                spans.append((start, end, "named"))
+        elif not _IDENTIFIER.match(text, start, end) or any(c.isdigit() for c in text[start:end]):  # else a name or a word
+            tails[end].append(start)
+    for end, starts in tails.items():
+        spans += [(start, end, "named") for start, score in bare_scores(text, starts, end).items() if sensitive[start, end, False] * score >= THRESHOLD]
+    return spans
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:

@@ -1,5 +1,6 @@
 import hashlib
 import os
+import random
 import re
 import sys
 
@@ -57,6 +58,35 @@ def test_what_is_no_secret():
         assert named(text) == [], text
 
 
+def test_names_and_literals_of_any_length():
+    source = random.Random(5)
+    value = "".join(source.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=750))
+    assert named(f"password = {value} tail") == [value]
+    assert named(f'auth_token: "{value}"') == [value]
+    assert named(f'password{" " * 300}= "tr0ub4dor&3"') == ["tr0ub4dor&3"]
+    assert named(f'password_{"of_the_host" * 20} = "tr0ub4dor&3"') == ["tr0ub4dor&3"]
+    chain = "".join(f"v{i + 1} = v{i}\n" for i in range(5000))
+    assert named(f'v0 = "s3cr3t-v4lue"\n{chain}password = v5000') == ["s3cr3t-v4lue"]
+    assert named("".join(reversed(chain.splitlines(True))) + 'v0 = "s3cr3t-v4lue"\npassword = v5000') == ["s3cr3t-v4lue"]
+
+
+def test_a_name_stands_for_what_it_was_given_last_before():
+    assert named('x = "s3cret-v4lue"\ndb_password = x\nx = "changeme"') == ["s3cret-v4lue"]
+    assert named('x = "changeme"\ny = x\nx = "s3cret-v4lue"\ndb_password = y\n') == []
+    assert named('x = "s3cret-v4lue"\ny = x\nx = y\ntoken = x') == ["s3cret-v4lue"]
+    assert named('token = x\nx = "s3cret-v4lue"') == ["s3cret-v4lue"]
+    assert named("abcdef1 = ghijkl2\nghijkl2 = abcdef1\ntoken = abcdef1") == ["abcdef1"]
+
+
+def test_tails_of_one_bare_literal_score_alone_and_in_one_pass():
+    source = random.Random(6)
+    for _ in range(300):
+        text = "=".join(source.choices(["token", "secret", "xxx", "XXXX", "a1B", "example", "none", "Zx81kLm2Qp", "change_me", "é9", "-"], k=source.randrange(2, 14)))
+        starts = [at + 1 for at, c in enumerate(text) if c == "=" and at + 1 < len(text)]
+        assert secrets.bare_scores(text, starts, len(text)) == {at: secrets.literal_score(text[at:]) for at in starts}
+    assert len(secrets.named_spans("token=" * 100_000 + "Zx81kLm2Qp")) == 100_000
+
+
 def test_scan(spark):
     rows = [(i, text) for i, text in enumerate(TEXTS)]
     for r in table(spark, rows).select("doc_id", secrets.scan(F.col("text")).alias("s")).select("doc_id", "s.*").collect():
