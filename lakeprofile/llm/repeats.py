@@ -4,12 +4,12 @@ Every byte goes that is covered by a string of ``LENGTH`` bytes which also start
 
 1. Each string of ``LENGTH`` bytes names its own anchor: of the ``SEED``-byte strings in it the one with the least hash. Equal
    strings have equal anchors, and neighbouring strings mostly share theirs, so one anchor in some thirteen bytes stands for
-   all. Only anchors that occur in two documents at least are followed. One shuffle of (document, anchor) rows counts them;
-   the rows of a hot anchor pass through the count in a buffer that spills, sixteen bytes each.
+   all. Only anchors that occur in two documents at least are followed. Their documents and occurrences are counted with
+   partial aggregates, and an equi-join takes the counts back to the (document, anchor) rows.
 2. Around each such anchor the stretch of bytes is cut out that its strings cover. The stretches of one anchor meet in one
    place, equal ones as one. Their suffix array, built by grouping (see ``suffixes``), brings equal strings together; the
    smallest id among them is where they start first.
-3. Anchors with more than ``HOT`` stretches don't meet in one place: there equal stretches are combined before the shuffle,
+3. Anchors with more than ``HOT`` stretches, however few documents hold them, don't meet in one place: there equal stretches are combined before the shuffle,
    and then the strings themselves are grouped.
 4. What is covered is merged per document and cut.
 """
@@ -20,7 +20,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lakeprofile.llm.common import byte_views, checked_broadcast, running, slim, spans_hash, write_and_read
 from lakeprofile.llm.suffixes import suffix_array
@@ -28,6 +28,7 @@ from lakeprofile.llm.suffixes import suffix_array
 LENGTH = 50
 SEED = 26
 HOT = 20_000
+_ROWS = 10_000  # stretches made together
 _PIECE = 1 << 20  # bytes of a text looked at together; positions fit into 24 bits
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -58,16 +59,17 @@ def anchors(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[n
 
 
 def _anchor_rows(length: int, seed: int):
-    """Document and anchor, one row per distinct anchor of a document."""
+    """Document, anchor and how often it occurs there, one row per distinct anchor of a document."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                hashes = [np.unique(anchors(data, length, seed)[0]).view(np.int64) for data in byte_views(part.column(1))]
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), list(map(len, hashes)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(hashes), pa.int64())], ["id", "anchor"])
+                found = [np.unique(anchors(data, length, seed)[0], return_counts=True) for data in byte_views(part.column(1))]
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(hashes) for hashes, _ in found])
+                hashes, times = (np.concatenate(column) for column in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes.view(np.int64)), pa.array(times, pa.int64())], ["id", "anchor", "n"])
 
     return run
 
@@ -80,20 +82,27 @@ def _stretches(length: int, seed: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        def table(rows: list[tuple]):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(column, kind) for column, kind in zip(
+                    zip(*rows) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
+                ["anchor", "id", "version", "first", "lead", "bytes"])
+
+        rows: list[tuple] = []
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                rows = []
                 for id_, version, data, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), byte_views(part.column(2)), part.column(3)):
                     hashes, at, first, last = (x for x in anchors(data, length, seed))
                     followed = np.flatnonzero(np.isin(hashes.view(np.int64), wanted.values.to_numpy()))
                     raw = data.tobytes()
-                    rows += [(h, id_, version, f, a - f, raw[f: e + length]) for h, f, a, e in zip(
-                        hashes.view(np.int64)[followed].tolist(), first[followed].tolist(), at[followed].tolist(), last[followed].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(column, kind) for column, kind in zip(
-                        zip(*rows) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
-                    ["anchor", "id", "version", "first", "lead", "bytes"])
+                    for some in (followed[k: k + _ROWS] for k in range(0, len(followed), _ROWS)):
+                        rows += [(h, id_, version, f, a - f, raw[f: e + length]) for h, f, a, e in zip(
+                            hashes.view(np.int64)[some].tolist(), first[some].tolist(), at[some].tolist(), last[some].tolist())]
+                        if len(rows) >= _ROWS:
+                            yield table(rows)
+                            rows = []
+        yield table(rows)
 
     return run
 
@@ -204,12 +213,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot:
     ``docs`` has ``id``, ``version`` and ``text``.
     """
     long_enough = docs.filter(F.col("id").isNotNull() & (F.octet_length("text") >= length))
-    held = long_enough.select("id", "text").mapInArrow(_anchor_rows(length, seed), "id long, anchor long")
+    held = write_and_read(long_enough.select("id", "text").mapInArrow(_anchor_rows(length, seed), "id long, anchor long, n long"), "anchors")
     # One row per document and anchor, so a second row is a second document (or one more of the same id, which does no harm).
-    # A window needs one shuffle of these rows where counting and joining back would need two.
-    times = F.count("*").over(Window.partitionBy("anchor"))
-    followed = write_and_read(held.withColumn("times", times).filter("times > 1"), "followed")
-    very_common = followed.filter(F.col("times") > hot).select("anchor").distinct()
+    counted = held.groupBy("anchor").agg(F.count("*").alias("holders"), F.sum("n").alias("times")).filter("holders > 1")
+    counted = checked_broadcast(counted.select("anchor", "times"), "counted")
+    followed = write_and_read(held.select("id", "anchor").join(counted.select("anchor"), "anchor"), "followed")
+    very_common = checked_broadcast(counted.filter(F.col("times") > hot).select("anchor"), "very_common")
     of_doc = followed.groupBy("id").agg(F.collect_set("anchor").alias("anchors"))  # bounded by the document
     some = long_enough.join(checked_broadcast(followed.select("id").distinct(), "holders"), "id", "left_semi")
     stretches = some.join(of_doc, "id").select("id", "version", "text", "anchors").mapInArrow(_stretches(length, seed), _STRETCH)

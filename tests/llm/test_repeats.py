@@ -3,6 +3,7 @@ import random
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -10,6 +11,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 
 from helpers import awkward, empty, table  # noqa: E402
 
+from lakeprofile.llm import repeats  # noqa: E402
 from lakeprofile.llm.repeats import anchors, merged, without_repeats  # noqa: E402
 from lakeprofile.llm.suffixes import suffix_array  # noqa: E402
 
@@ -72,6 +74,24 @@ def test_against_brute_force(spark, hot):
     assert got == brute(rows)
 
 
+def test_occurrences_count_where_few_documents_repeat_a_line_often(spark, monkeypatch):
+    taken = []
+    by_common = repeats._covered_by_common
+    monkeypatch.setattr(repeats, "_covered_by_common", lambda *args: taken.append(1) or by_common(*args))
+    line = "2026-12-01 12:00:00 INFO the same header line of a long log file stands here again\n"
+    rows = [(doc, "".join(f"{line}{doc * 1000 + i}\n" for i in range(200))) for doc in (7, 3, 5)] + [(9, "nothing in common " * 3)]
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in without_repeats(table(spark, rows), hot=100).collect()}
+    assert taken and got == brute(rows)
+
+
+def test_stretches_of_a_long_text_come_in_small_batches(monkeypatch):
+    text = "".join(f"header line number one of many {i % 50} and some more words\n" for i in range(20_000))
+    wanted = np.unique(anchors(np.frombuffer(text.encode(), np.uint8))[0]).view(np.int64)
+    batch = pa.RecordBatch.from_pydict({"id": [1], "version": [2], "text": [text], "anchors": pa.array([wanted], pa.list_(pa.int64()))})
+    made = [out.num_rows for out in repeats._stretches(50, 26)(iter([batch]))]
+    assert sum(made) > 20_000 and max(made) <= 20_000
+
+
 def test_spans_merge():
     starts, ends = merged(np.array([5, 0, 3, 20, 30]), np.array([9, 4, 6, 30, 31]))
     assert list(zip(starts, ends)) == [(0, 9), (20, 31)]
