@@ -161,18 +161,24 @@ def _iceberg(table_files: DataFrame) -> DataFrame:
 
 
 def _excel(files: DataFrame) -> DataFrame:
-    samples = workbook.workbook_samples(files)
-    rows = F.size("rows")
-    full = rows >= 200
+    # The sample gives the names and the rows to show; counts, types, widths and gaps come from every cell.
+    samples = write_and_read(workbook.workbook_samples(files), "workbook-samples")
+    contents = workbook.workbook_contents(samples.filter("error IS NULL"))
+    judged = samples.join(contents, "path", "left").withColumn("error", F.coalesce("error", "cells_error"))
+    good = F.col("error").isNull()
+    # A sheet without cells has no contents.
+    judged = judged.withColumns({
+        "row_count": F.when(good, F.coalesce("row_count", F.lit(0))),
+        "names": F.when(good, workbook.all_names(F.col("names"), F.col("width"))),
+    })
     return _branch(
-        samples,
+        judged,
         path=F.col("path"),
-        row_count=F.when(~full, rows),
-        row_count_lower_bound=F.when(full, 200),
-        columns=workbook.workbook_columns(F.col("names"), F.col("rows"), F.col("kinds")),
+        row_count=F.col("row_count"),
+        columns=workbook.workbook_columns(F.col("names"), F.col("row_count"), F.col("stats")),
         has_header=F.when(F.col("error").isNull(), F.lit(True)),
-        schema_inference=F.lit("sampled"),
-        schema_sample_size=rows,
+        schema_inference=F.lit("full"),
+        schema_sample_size=F.col("row_count"),
         nullability_inference=F.lit("conservative"),
         sample_rows=F.slice("rows", 1, 3),
         error=F.col("error"),

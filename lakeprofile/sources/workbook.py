@@ -116,6 +116,63 @@ def workbook_cells(files: DataFrame) -> DataFrame:
     return spread(files.select("path"), "path").mapInPandas(read, CELLS)
 
 
+def workbook_contents(files: DataFrame) -> DataFrame:
+    """What all rows below the header of each first sheet hold.
+
+    ``row_count`` and ``width`` of the sheet, ``stats`` by column number, and ``cells_error`` of a sheet that can't be read
+    to its end. Cells are streamed; per file and column one row of counts, minima and maxima is shuffled.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "below", "col", "kind", "value", "cells_error"]
+        storage = Storage()
+        for batch in batches:
+            for path in batch["path"]:
+                cells, first = [], None
+                try:
+                    with io.BufferedReader(storage.open(path)) as handle:
+                        for row, column, kind, value in sheet_cells(handle):
+                            first = row if first is None else first
+                            cells.append((path, row - first, column, kind, value, None))
+                            if len(cells) == 10_000:
+                                yield pd.DataFrame(cells, columns=names)
+                                cells = []
+                except Exception as problem:
+                    cells.append((path, 0, 0, None, None, str(problem)))
+                yield pd.DataFrame(cells, columns=names)
+
+    cells = spread(files.select("path"), "path").mapInPandas(
+        read, "path string, below bigint, col bigint, kind string, value string, cells_error string")
+    body = F.col("below") > 0
+    of_column = cells.groupBy("path", "col").agg(
+        F.max("below").alias("last"),
+        F.count_if(body).alias("present"),
+        F.min(F.when(body, F.col("kind"))).alias("least_kind"),
+        F.max(F.when(body, F.col("kind"))).alias("kind"),
+        F.min(F.when(body, F.col("value").rlike(r"^-?\d+(\.0+)?$"))).alias("whole"),
+        F.max(F.when(body, F.length("value"))).cast("bigint").alias("longest"),
+        F.min_by("value", F.when(body, F.col("below"))).alias("sample_value"),
+        F.max("cells_error").alias("cells_error"),
+    )
+    return of_column.groupBy("path").agg(
+        F.greatest(F.max("last"), F.lit(0)).alias("row_count"),
+        F.max(F.when((F.col("present") > 0) | (F.col("last") == 0), F.col("col"))).cast("int").alias("width"),
+        F.map_from_entries(F.collect_list(F.struct("col", F.struct(
+            "present", "least_kind", "kind", "whole", "longest", "sample_value")))).alias("stats"),
+        F.max("cells_error").alias("cells_error"),
+    )
+
+
+def all_names(names: Column, width: Column) -> Column:
+    """The names of a sample's columns and of those that only later rows have."""
+    def run(names, width):
+        if names is None:
+            return None
+        return names + distinct_names(names + [""] * ((width or 0) - len(names)))[len(names):]
+
+    return F.udf(run, "array<string>")(names, width)
+
+
 def _sample(handle, limit: int) -> tuple[list, list, list]:
     header: dict[int, str] = {}
     rows: dict[int, dict[int, tuple]] = {}
@@ -159,32 +216,29 @@ def workbook_samples(files: DataFrame, limit: int = WORKBOOK_SAMPLE_ROWS) -> Dat
     return spread(files.select("path"), "path").mapInPandas(read, SHEET)
 
 
-def workbook_columns(names: Column, rows: Column, kinds: Column) -> Column:
-    """Column profiles of a sampled sheet; types come from the cells' own kinds."""
+def workbook_columns(names: Column, row_count: Column, stats: Column) -> Column:
+    """Column profiles of a sheet from its ``workbook_contents``; types come from the cells' own kinds."""
 
     def describe(name: Column, position: Column) -> Column:
-        values = F.transform(rows, lambda row: F.get(row, position))
-        found = F.transform(kinds, lambda row: F.get(row, position))
-        present = F.filter(values, lambda value: value.isNotNull())
-        present_kinds = F.filter(found, lambda kind: kind.isNotNull())
-        only = lambda kind: F.forall(present_kinds, lambda value: value == kind)
-        whole = F.forall(present, lambda value: value.rlike(r"^-?\d+(\.0+)?$"))
-        gaps = F.size(present) < F.size(values)
+        found = F.try_element_at(stats, (position + 1).cast("bigint"))
+        present = F.coalesce(found["present"], F.lit(0))
+        only = lambda kind: (found["kind"] == kind) & (found["least_kind"] == kind)
+        gaps = present < row_count
         detected = (
-            F.when(F.size(rows) == 0, "object")
-            .when(F.size(present) == 0, "float64")
-            .when(only("n") & whole & ~gaps, "int64")
+            F.when(row_count == 0, "object")
+            .when(present == 0, "float64")
+            .when(only("n") & found["whole"] & ~gaps, "int64")
             .when(only("n"), "float64")
             .when(only("b") & ~gaps, "bool")
             .when(only("d"), "datetime64[ns]")
             .otherwise("object")
         )
-        observed = F.when(detected == "object", F.array_max(F.transform(present, F.length))).cast("bigint")
+        observed = F.when(detected == "object", found["longest"])
         return F.struct(
             (position + 1).alias("ordinal"), name.alias("name"), detected.alias("detected_type"),
             F.lit(None).cast("string").alias("spark_type"), F.lit(True).alias("nullable"),
             F.lit("scalar").alias("nesting"), observed.alias("observed_max_len"),
-            sized_length(observed).alias("sized_len"), F.get(present, F.lit(0)).alias("sample_value"),
+            sized_length(observed).alias("sized_len"), F.when(present > 0, found["sample_value"]).alias("sample_value"),
         )
 
     return F.transform(names, describe).cast(COLUMNS)

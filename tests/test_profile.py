@@ -302,6 +302,50 @@ def test_workbooks(spark, tmp_path):
     assert [tuple(shown) for shown in preview(spark, str(tmp_path / "book.xlsx"), 1).collect()] == [("1", "1.5", "a & b")]
 
 
+def test_workbooks_are_profiled_to_their_last_row(spark, tmp_path):
+    import pandas as pd
+
+    from queries.writers import workbook_bytes
+
+    plain = pd.DataFrame({"id": range(450), "price": [2] * 450, "name": ["c"] * 450})
+    late = plain.astype(object)
+    late.loc[400, "id"], late.loc[401, "price"], late.loc[402, "name"] = "none", 2.5, "x" * 77
+    (tmp_path / "plain.xlsx").write_bytes(workbook_bytes(plain))
+    (tmp_path / "late.xlsx").write_bytes(workbook_bytes(late))
+    (tmp_path / "head.xlsx").write_bytes(workbook_bytes(plain[:0]))
+    (tmp_path / "bad.xlsx").write_bytes(b"no workbook")
+    profiles = plan.profile_location(spark, str(tmp_path))
+    rows = {os.path.basename(row.path): row for row in profiles.collect()}
+    told = lambda name: [(c.name, c.detected_type, c.observed_max_len, c.sample_value) for c in rows[name].columns]
+    assert (rows["late.xlsx"].row_count, rows["late.xlsx"].row_count_lower_bound, rows["late.xlsx"].schema_inference) == (450, None, "full")
+    assert told("plain.xlsx") == [("id", "int64", None, "0"), ("price", "int64", None, "2"), ("name", "object", 1, "c")]
+    assert told("late.xlsx") == [("id", "object", 4, "0"), ("price", "float64", None, "2"), ("name", "object", 77, "c")]
+    assert rows["head.xlsx"].row_count == 0 and told("head.xlsx") == [(n, "object", None, None) for n in ("id", "price", "name")]
+    assert rows["bad.xlsx"].error and rows["bad.xlsx"].row_count is None and rows["bad.xlsx"].columns is None
+    assert plan.location_summary(profiles).filter("file_type = 'excel'").first().total_rows == 900
+
+
+def test_workbook_gaps_and_columns_of_late_rows(spark, tmp_path):
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    from queries.writers import workbook_bytes
+
+    source = zipfile.ZipFile(io.BytesIO(workbook_bytes(pd.DataFrame({"a": [1]}))))
+    body = "".join(f'<row r="{r}"><c r="A{r}"><v>{r}</v></c></row>' for r in range(2, 300))
+    sheet = source.read("xl/worksheets/sheet1.xml").decode().replace("</sheetData>", "").replace("</worksheet>", "")
+    sheet = sheet[:sheet.index("<row>")] + '<row r="1"><c r="A1" t="inlineStr"><is><t>a</t></is></c></row>' + body
+    sheet += '<row r="301"><c r="B301"><v>7</v></c></row></sheetData></worksheet>'
+    with zipfile.ZipFile(tmp_path / "gap.xlsx", "w") as book:
+        for name in source.namelist():
+            book.writestr(name, sheet if name.endswith("sheet1.xml") else source.read(name))
+    row = plan.profile_location(spark, str(tmp_path)).first()
+    assert row.row_count == 300
+    assert [(c.name, c.detected_type, c.sample_value) for c in row.columns] == [("a", "float64", "2"), ("Unnamed: 1", "float64", "7")]
+
+
 def test_browse_and_preview_info(spark, lake):
     level = {row.name: row for row in plan.browse(spark, str(lake)).collect()}
     assert level["ice"].file_type == "iceberg" and level["noext"].file_type == "json"
