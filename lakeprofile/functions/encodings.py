@@ -33,35 +33,41 @@ def _complete_utf8(content: Column) -> Column:
     return content.substr(F.lit(1), size - cut)
 
 
-def detect_encoding(content: Column | str, complete: Column | None = None) -> Column:
-    """Struct ``encoding, confidence`` of raw bytes; ``complete`` is false where they are a prefix.
+def encoding_of(head: Column, high: Column, utf8: Column, undefined: Column) -> Column:
+    """Struct ``encoding, confidence`` of bytes: ``head`` are the first four in hex.
 
-    Byte-order mark, then pure ASCII, then valid UTF-8, then code page 1252, then Latin-1.
+    Byte-order mark, then pure ASCII (no ``high`` bytes), then valid UTF-8, then code page 1252 (no bytes it leaves
+    ``undefined``), then Latin-1.
     """
-    content = as_column(content)
-    head = F.hex(content.substr(F.lit(1), F.lit(4)))
-    # ISO-8859-1 maps every byte to the character of the same number, so patterns can look at bytes.
-    characters = F.decode(content, "ISO-8859-1")
-    whole = content if complete is None else F.when(complete, content).otherwise(_complete_utf8(content))
-
     def verdict(name: str, confidence: float) -> Column:
         return F.struct(F.lit(name).alias("encoding"), F.lit(confidence).alias("confidence"))
 
-    undefined = "[" + "".join(f"\\x{code}" for code in UNDEFINED_IN_1252.split()) + "]"
     result = None
     for mark, name in BYTE_ORDER_MARKS:
         condition = head.startswith(mark)
-        result = F.when(condition, verdict(name, 1.0)) if result is None else result.when(
-            condition, verdict(name, 1.0)
-        )
+        result = F.when(condition, verdict(name, 1.0)) if result is None else result.when(condition, verdict(name, 1.0))
     return (
-        result.when(~characters.rlike("[\\x80-\\xff]"), verdict("ascii", 1.0))
-        .when(F.is_valid_utf8(whole), verdict("utf-8", 0.99))
-        .when(~characters.rlike(undefined), verdict("cp1252", 0.5))
+        result.when(~high, verdict("ascii", 1.0))
+        .when(utf8, verdict("utf-8", 0.99))
+        .when(~undefined, verdict("cp1252", 0.5))
         .otherwise(verdict("latin-1", 0.4))
     )
 
 
+def detect_encoding(content: Column | str, complete: Column | None = None) -> Column:
+    """``encoding_of`` raw bytes; ``complete`` is false where they are a prefix.
+
+    What a prefix tells of a longer file holds for the prefix only: see ``sources.encoding.whole_encodings``.
+    """
+    content = as_column(content)
+    # ISO-8859-1 maps every byte to the character of the same number, so patterns can look at bytes.
+    characters = F.decode(content, "ISO-8859-1")
+    whole = content if complete is None else F.when(complete, content).otherwise(_complete_utf8(content))
+    undefined = "[" + "".join(f"\\x{code}" for code in UNDEFINED_IN_1252.split()) + "]"
+    return encoding_of(F.hex(content.substr(F.lit(1), F.lit(4))), characters.rlike("[\\x80-\\xff]"), F.is_valid_utf8(whole),
+                       characters.rlike(undefined))
+
+
 def codepage(encoding: Column | str) -> Column:
     """Code page of an encoding name, ``ACP`` where unknown."""
     return F.coalesce(look_up(F.lower(F.btrim(as_column(encoding))), CODEPAGES), F.lit(DEFAULT_CODEPAGE))

@@ -36,12 +36,15 @@ def partitioned_write(df: DataFrame, path: str, *partition_by: str, sort_by: str
     A first pass over the partition columns counts the rows of each value; each value is then dealt to so many tasks, so that
     one that holds a third of the data writes in parallel at any size, and a small one writes one file.
     """
-    sizes = df.groupBy(*[F.col(f"`{name}`").alias(f"__{name}") for name in partition_by]).agg(
-        F.ceil(F.count("*") / max_rows_per_file).alias("__files"))
-    same = [F.col(f"`{name}`").eqNullSafe(F.col(f"`__{name}`")) for name in partition_by]
-    sized = df.join(sizes, same)
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in df.columns]), F.col("__files"))
-    dealt = sized.repartition(*[F.col(f"`{name}`") for name in partition_by], salt).select(*[F.col(f"`{name}`") for name in df.columns])
+    keys = [F.col(f"`{name}`") for name in partition_by]
+    # Values of more than one file: no more than there are files to write, so that Spark may broadcast them safely.
+    large = df.groupBy(*[key.alias(f"__{name}") for key, name in zip(keys, partition_by)]).agg(
+        F.ceil(F.count("*") / max_rows_per_file).alias("__files")).filter("__files > 1")
+    same = [key.eqNullSafe(F.col(f"`__{name}`")) for key, name in zip(keys, partition_by)]
+    # The salt follows a row's place and not its content: equal rows spread, and columns of any type do.
+    salt = F.when(F.col("__files") > 1, F.pmod(F.hash(F.monotonically_increasing_id()), F.col("__files"))).otherwise(0)
+    dealt = df.join(F.broadcast(large), same, "left").withColumn("__salt", salt)
+    dealt = dealt.repartition(*keys, "__salt").select(*[F.col(f"`{name}`") for name in df.columns])
     if sort_by is not None:
         dealt = dealt.sortWithinPartitions(*partition_by, sort_by)
     dealt.write.option("maxRecordsPerFile", max_rows_per_file).partitionBy(*partition_by).parquet(path)

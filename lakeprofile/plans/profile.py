@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lakeprofile.functions.encodings import codepage, encoding_warning
+from lakeprofile.functions.encodings import BYTE_ORDER_MARKS, codepage, encoding_warning
 from lakeprofile.functions.paths import path_suffix, type_by_extension
 from lakeprofile.functions.sqltypes import spark_type, sql_type
+from lakeprofile.lookups import ENCODING_SAMPLE_BYTES
 from lakeprofile.session import write_and_read
 from lakeprofile.sources import documents, parquet, tables, workbook
 from lakeprofile.sources.chunks import CHUNK_BYTES, line_counts, record_counts
 from lakeprofile.sources.delimited import COLUMNS, HEAD_ROWS, csv_samples, whole_columns
+from lakeprofile.sources.encoding import whole_encodings
 from lakeprofile.sources.heads import sniffed
 from lakeprofile.sources.inventory import (
     collapse_tables, describe_entries, list_level, list_location, list_paths,
@@ -185,8 +187,11 @@ def _excel(files: DataFrame) -> DataFrame:
     )
 
 
-def typed_entries(entries: DataFrame) -> DataFrame:
-    """Inventory with ``file_type``; leading bytes are read for text formats and unknown extensions."""
+def typed_entries(entries: DataFrame, whole: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Inventory with ``file_type``; leading bytes are read for text formats and unknown extensions.
+
+    With ``whole`` the encoding of a text file is told from all its bytes; else it is that of its leading bytes.
+    """
     by_name = entries.filter("kind IN ('file', 'table')").withColumn(
         "file_type", F.coalesce("table_type", type_by_extension("name"))
     )
@@ -207,13 +212,24 @@ def typed_entries(entries: DataFrame) -> DataFrame:
         "encoding_confidence": F.when(is_text, F.col("encoding_confidence")).otherwise(1.0),
     }).drop("sniffed_type")
     # Every branch of the profile starts here: the bytes are read once.
-    return write_and_read(told, "typed-entries")
+    told = write_and_read(told, "typed-entries")
+    # A mark at the start, or a file no longer than what was read of it, leaves nothing open.
+    marked = F.col("encoding").isin(*[name for _, name in BYTE_ORDER_MARKS])
+    longer = told.filter(F.col("file_type").isin(*TEXT_TYPES) & F.col("head_error").isNull() & ~marked & (F.col("size") > ENCODING_SAMPLE_BYTES))
+    if not whole or longer.isEmpty():
+        return told
+    of_all = whole_encodings(longer, chunk_bytes).select(
+        "path", F.col("encoding").alias("of_all"), F.col("confidence").alias("of_all_confidence"), F.col("error").alias("of_all_error"))
+    return write_and_read(told.join(of_all, "path", "left").withColumns({
+        "encoding": F.coalesce("of_all", "encoding"), "encoding_confidence": F.coalesce("of_all_confidence", "encoding_confidence"),
+        "head_error": F.coalesce("head_error", "of_all_error"),
+    }).drop("of_all", "of_all_confidence", "of_all_error"), "typed-entries-whole")
 
 
 def profile_listing(listing: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Profiles of all entries of a listing (see ``list_location``)."""
     entries = describe_entries(collapse_tables(listing))
-    typed = typed_entries(entries)
+    typed = typed_entries(entries, whole=True, chunk_bytes=chunk_bytes)
     table_files = listing.filter(F.col("table_root").isNotNull() & (F.col("kind") == "file")).select(
         "table_root", "table_type", "path", "size", "modified"
     )

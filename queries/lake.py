@@ -69,6 +69,30 @@ def mixed_lake(spark: SparkSession, sf_dir: str) -> str:
     return once(spark, sf_dir, "mixed-lake", write)
 
 
+def late_bytes(spark: SparkSession, sf_dir: str) -> str:
+    """Documents as text files of four encodings, each of which begins with 70,000 ASCII characters."""
+
+    def renderer(codec: str, more: str):
+        def render(frame) -> bytes:
+            return ("x" * 70_000 + "\n".join(frame["text"]) + more + "\n").encode(codec, "replace")
+        return render
+
+    def write(path: str) -> None:
+        texts = table(spark, sf_dir, "documents").select("text")
+        # The last characters tell two single-byte encodings apart: one of them leaves 0x81 undefined.
+        for folder, codec, more in (("ascii", "ascii", ""), ("utf-8", "utf-8", "é"), ("cp1252", "cp1252", "é€"), ("latin-1", "latin-1", "é\x81")):
+            write_files(texts, f"{path}/{folder}", ".txt", renderer(codec, more))
+
+    return once(spark, sf_dir, "late-bytes", write)
+
+
+def whole_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodings of files whose first byte beyond ASCII comes late, the note on unsure ones, and their lines."""
+    profiles = profile_plan.profile_folder(spark, late_bytes(spark, sf_dir), chunk_bytes=1 << 20)
+    return profiles.groupBy(F.regexp_extract("path", "/([^/]*)/[^/]*$", 1).alias("folder"), "encoding", "encoding_confidence", "encoding_warning").agg(
+        F.sum("row_count").alias("lines"))
+
+
 def location_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files, rows and failures per type at the given location, tables being one file or many."""
     profiles = profile_plan.profile_location(spark, sf_dir)
@@ -222,6 +246,7 @@ def excel_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "location_summary": location_summary,
+    "whole_encoding": whole_encoding,
     "inventory_list": inventory_list,
     "file_attributes": file_attributes,
     "list_level": list_level,
@@ -263,6 +288,12 @@ _TAGGED = f"""
 """
 
 ORACLES = {
+    "whole_encoding": """
+        SELECT folder, encoding, encoding_confidence, encoding_warning, lines
+        FROM (VALUES ('ascii', 'ascii', 100::BIGINT, NULL), ('utf-8', 'utf-8', 99, NULL), ('cp1252', 'cp1252', 50, NULL),
+                     ('latin-1', 'latin-1', 40, 'Low confidence (40%) for encoding "latin-1". Verify encoding manually or specify it explicitly.'))
+             v(folder, encoding, encoding_confidence, encoding_warning),
+             (SELECT sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS lines FROM documents)""",
     "location_summary": f"""
         SELECT 'parquet' AS file_type, {len(TABLES)}::BIGINT AS tables, sum(n)::BIGINT AS total_rows, 0::BIGINT AS failed,
                true AS has_bytes

@@ -81,16 +81,21 @@ def test_first_rows_are_cut_before_the_shuffle(spark):
 
 
 def test_partitioned_write_splits_a_hot_value(spark, tmp_path):
-    rows = spark.range(4000).select("id", F.when(F.col("id") < 3900, "hot").otherwise("cold").alias("k"))
+    # Equal rows, and a column whose type has no order.
+    rows = spark.range(4000).select(F.when(F.col("id") < 3900, "hot").when(F.col("id") < 3950, "cold").alias("k"), F.lit(1).alias("same"),
+                                    F.create_map(F.lit("a"), F.lit(1)).alias("m"))
     path = str(tmp_path / "out")
     # Adaptive execution would merge parts this small.
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
     try:
-        export.partitioned_write(rows, path, "k", files_per_value=4)
+        export.partitioned_write(rows, path, "k", max_rows_per_file=600)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert spark.read.parquet(path).count() == 4000
-    assert len(list((tmp_path / "out" / "k=hot").glob("part-*.parquet"))) > 1
+    written = spark.read.parquet(path)
+    assert {r.k: r["count"] for r in written.groupBy("k").count().collect()} == {"hot": 3900, "cold": 50, None: 50}
+    assert written.filter("same = 1 AND m['a'] = 1").count() == 4000
+    assert len(list((tmp_path / "out" / "k=hot").glob("part-*.parquet"))) > 3
+    assert len(list((tmp_path / "out" / "k=cold").glob("part-*.parquet"))) == 1
 
 
 def test_row_estimate(spark, tmp_path):
