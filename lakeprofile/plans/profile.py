@@ -9,7 +9,7 @@ from lakeprofile.functions.paths import path_suffix, type_by_extension
 from lakeprofile.functions.sqltypes import spark_type, sql_type
 from lakeprofile.lookups import ENCODING_SAMPLE_BYTES
 from lakeprofile.session import write_and_read
-from lakeprofile.sources import documents, parquet, tables, workbook
+from lakeprofile.sources import documents, orc, parquet, tables, workbook
 from lakeprofile.sources.chunks import CHUNK_BYTES, line_counts, record_counts
 from lakeprofile.sources.delimited import COLUMNS, HEAD_ROWS, csv_samples, whole_columns
 from lakeprofile.sources.encoding import whole_encodings
@@ -139,6 +139,14 @@ def _parquet(files: DataFrame) -> DataFrame:
     )
 
 
+def _orc(files: DataFrame) -> DataFrame:
+    return _branch(
+        orc.footers(files),
+        path=F.col("path"), row_count=F.col("row_count"), columns=parquet.footer_columns(F.col("fields")), compression=F.col("compression"),
+        error=F.col("error"),
+    )
+
+
 def _delta(roots: DataFrame, table_files: DataFrame) -> DataFrame:
     files = table_files.filter("table_type = 'delta'")
     replayed = write_and_read(tables.delta_tables(files), "delta-tables")
@@ -244,6 +252,7 @@ def profile_listing(listing: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataF
         "json": lambda: _json(of_type("json"), chunk_bytes),
         "text": lambda: _text(of_type("text"), chunk_bytes),
         "parquet": lambda: _parquet(of_type("parquet")),
+        "orc": lambda: _orc(of_type("orc")),
         "delta": lambda: _delta(of_type("delta").filter("is_table_root"), table_files),
         "iceberg": lambda: _iceberg(table_files),
         "excel": lambda: _excel(of_type("excel")),

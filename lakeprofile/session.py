@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -58,6 +59,11 @@ def qualify(spark: SparkSession, path: str) -> str:
     return full
 
 
+def literal_glob(path: str) -> str:
+    """``path`` for a reader of Spark, which would take some characters of it for a pattern."""
+    return re.sub(r"([\\*?{}\[\]])", r"\\\1", path)
+
+
 def write_and_read(df: DataFrame, label: str) -> DataFrame:
     """Materialise ``df`` in shared scratch space and read it back: short lineage that survives lost executors."""
     path = scratch_path(df.sparkSession, label)

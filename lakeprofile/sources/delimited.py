@@ -15,7 +15,7 @@ from lakeprofile.functions import cells
 from lakeprofile.functions.sqltypes import sized_length
 from lakeprofile.functions.urls import percent_decode
 from lakeprofile.lookups import CSV_SAMPLE_ROWS, DIALECT_SAMPLE_CHARS, READER_CHARSETS
-from lakeprofile.session import spread
+from lakeprofile.session import literal_glob, spread
 from lakeprofile.sources.storage import Storage
 
 SAMPLES = (
@@ -202,7 +202,7 @@ def whole_columns(files: DataFrame) -> DataFrame:
         wide = charset.lower().startswith(("utf-16", "utf-32"))
         # One column more than there are names: what is in it is too much.
         schema = T.StructType([T.StructField(f"c{at}", T.StringType()) for at in range(d.width + 1)])
-        rows = read_delimited(spark, d.paths, schema, d.delimiter, d.has_header, charset, multiLine=bool(d.quoted_breaks or wide),
+        rows = read_delimited(spark, list(map(literal_glob, d.paths)), schema, d.delimiter, d.has_header, charset, multiLine=bool(d.quoted_breaks or wide),
                               ignoreMissingFiles=True, enforceSchema=True)
         location = F.regexp_replace(percent_decode(F.col("_metadata.file_path")), "^file:/+", "/")
         cells_ = [cells.null_if_blank(F.col(f"c{at}")).alias(f"c{at}") for at in range(d.width + 1)]

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from lakeprofile.functions import jsonfn
 from lakeprofile.operators import json_columns
 from lakeprofile.operators.loading import load_into_existing
+from lakeprofile.plans import reading
 from lakeprofile.session import scratch_path, write_and_read
 from lakeprofile.sources import documents as json_files
 from lakeprofile.sources.chunks import read_lines
@@ -109,11 +110,15 @@ def json_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with different members under one set of columns."""
-    events = table(spark, sf_dir, "events")
-    typed = events.filter("event_id % 2 = 0").select("event_id", "event_type")
-    valued = events.filter("event_id % 2 = 1").select("event_id", "user_id")
-    return typed.unionByName(valued, allowMissingColumns=True)
+    """Line-delimited files with different members, read under one set of columns."""
+
+    def write(path: str) -> None:
+        events = table(spark, sf_dir, "events")
+        events.filter("event_id % 2 = 0").select("event_id", "event_type").write.json(f"{path}/typed")
+        events.filter("event_id % 2 = 1").select("event_id", "user_id").write.json(f"{path}/valued")
+
+    path = once(spark, sf_dir, "json-union", write)
+    return reading.read_location(spark, path).select("event_id", "event_type", "user_id")
 
 
 def json_insert(spark: SparkSession, sf_dir: str) -> DataFrame:

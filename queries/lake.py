@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeprofile.functions.paths import type_by_extension
 from lakeprofile.operators import listing as listing_ops
-from lakeprofile.plans import preview as preview_plan, profile as profile_plan
+from lakeprofile.plans import preview as preview_plan, profile as profile_plan, reading
 from lakeprofile.sources import inventory as inventory_source, parquet, workbook
 from lakeprofile.sources.inventory import inventory
 from queries.fixtures import LISTING, events_ndjson, listing, once, table
@@ -69,6 +69,45 @@ def mixed_lake(spark: SparkSession, sf_dir: str) -> str:
     return once(spark, sf_dir, "mixed-lake", write)
 
 
+def customer_lake(spark: SparkSession, sf_dir: str) -> str:
+    """Customers dealt to seven folders: two dialects of delimited text in one of them, lines and arrays of JSON, ORC, Parquet,
+    text, and a Delta layout. Key types differ, and not every folder has every column."""
+
+    def write(path: str) -> None:
+        customer = table(spark, sf_dir, "customer")
+
+        def part(number: int) -> DataFrame:
+            return customer.filter(F.col("c_custkey") % 7 == number)
+
+        def rendered(sep: str, codec: str):
+            def render(frame) -> bytes:
+                lines = [sep.join(frame.columns), *[sep.join(f'"{value}"' if isinstance(value, str) else str(value) for value in row)
+                                                    for row in frame.itertuples(index=False)]]
+                return ("\n".join(lines) + "\n").encode(codec)
+            return render
+
+        write_files(part(0), f"{path}/dialects/a", ".csv", rendered(",", "utf-8"))
+        marked = part(1).withColumn("c_name", F.concat("c_name", F.lit("€")))
+        write_files(marked, f"{path}/dialects/b", ".csv", rendered(";", "cp1252"))
+        part(2).write.json(f"{path}/lines")
+        # Spark's own text files would not end in .json.
+        write_files(part(3).drop("c_mktsegment"), f"{path}/arrays", ".json", lambda frame: frame.to_json(orient="records").encode())
+        part(4).withColumn("c_nationkey", F.col("c_nationkey").cast("short")).write.orc(f"{path}/columns/orc")
+        part(5).withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(12,2)")).write.parquet(f"{path}/columns/parquet")
+        part(6).select("c_name").write.text(f"{path}/names")
+
+    return once(spark, sf_dir, "customer-lake", write)
+
+
+def lake_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One call reads every format and dialect of a lake as one typed table."""
+    root = customer_lake(spark, sf_dir)
+    rows = reading.read_location(spark, root)
+    return rows.select(
+        F.regexp_extract(F.substr(reading.FILE_PATH, F.lit(len(root) + 2)), "^(.*)/[^/]*$", 1).alias("folder"),
+        "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", "line")
+
+
 def late_bytes(spark: SparkSession, sf_dir: str) -> str:
     """Documents as text files of four encodings, each of which begins with 70,000 ASCII characters."""
 
@@ -247,6 +286,7 @@ def excel_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "location_summary": location_summary,
     "whole_encoding": whole_encoding,
+    "lake_scan": lake_scan,
     "inventory_list": inventory_list,
     "file_attributes": file_attributes,
     "list_level": list_level,
@@ -288,6 +328,12 @@ _TAGGED = f"""
 """
 
 ORACLES = {
+    "lake_scan": """
+        SELECT ['dialects/a', 'dialects/b', 'lines', 'arrays', 'columns/orc', 'columns/parquet', 'names'][n + 1] AS folder,
+               CASE WHEN n < 6 THEN c_custkey END AS c_custkey, CASE WHEN n < 6 THEN c_name || CASE WHEN n = 1 THEN '€' ELSE '' END END AS c_name,
+               CASE WHEN n < 6 THEN c_nationkey::BIGINT END AS c_nationkey, CASE WHEN n < 6 THEN c_acctbal END AS c_acctbal,
+               CASE WHEN n < 6 AND n <> 3 THEN c_mktsegment END AS c_mktsegment, CASE WHEN n = 6 THEN c_name END AS line
+        FROM (SELECT *, c_custkey % 7 AS n FROM customer)""",
     "whole_encoding": """
         SELECT folder, encoding, encoding_confidence, encoding_warning, lines
         FROM (VALUES ('ascii', 'ascii', 100::BIGINT, NULL), ('utf-8', 'utf-8', 99, NULL), ('cp1252', 'cp1252', 50, NULL),

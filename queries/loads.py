@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lakeprofile.operators import export, loading
+from lakeprofile.plans import reading
 from lakeprofile.session import scratch_path
 from lakeprofile.sources.delimited import read_delimited, read_with_rejects
 from queries.fixtures import csv_of, once, table
@@ -34,13 +35,13 @@ def external_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wildcard_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every data file below a folder, however deep, by name pattern."""
+    """Every data file below a folder, however deep."""
 
     def write(path: str) -> None:
         table(spark, sf_dir, "orders").withColumn("p", F.col("o_orderstatus")).write.partitionBy("p").parquet(f"{path}/a/b")
 
     path = once(spark, sf_dir, "nested-orders", write)
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
+    return reading.read_location(spark, path).drop(reading.FILE_PATH)
 
 
 def orc_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

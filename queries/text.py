@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeprofile.operators import columns as column_ops
 from lakeprofile.operators.loading import top_rows
+from lakeprofile.plans import reading
 from lakeprofile.plans.preview import json_safe, preview as preview_file
 from lakeprofile.session import write_and_read
 from lakeprofile.sources import delimited
@@ -31,7 +32,9 @@ def data_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delimited.read_delimited(spark, csv_of(spark, sf_dir, "orders"), ORDERS, **LINEITEM_TEXT)
+    """Typed as the profile says, but for a column of times, which the profile takes for text."""
+    rows = reading.read_location(spark, csv_of(spark, sf_dir, "orders"), {"o_orderdate": "timestamp_ntz"})
+    return rows.drop(reading.FILE_PATH)
 
 
 def csv_headerless(spark: SparkSession, sf_dir: str) -> DataFrame:
