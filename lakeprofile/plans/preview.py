@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from lakeprofile.functions.jsonfn import finite_or_null
 from lakeprofile.lookups import PREVIEW_MAX_ROWS
 from lakeprofile.plans.profile import profile_location
-from lakeprofile.session import qualify
+from lakeprofile.session import qualify, write_and_read
 from lakeprofile.sources import tables
 from lakeprofile.sources.delimited import csv_samples
 from lakeprofile.sources.inventory import list_location
@@ -70,15 +70,17 @@ def preview(spark: SparkSession, path: str, rows: int = 100) -> DataFrame:
         files = _table_files(spark, path)
         actions = tables.delta_actions(files)
         broken = actions.filter("problem IS NOT NULL").select("table_root").distinct()
-        live = tables.delta_data_files(actions.join(broken, "table_root", "left_anti"))
-        if not live.filter("has_deletions").isEmpty():
-            raise ValueError(f"{path} has deletion vectors, which a preview can't apply")
+        live = write_and_read(tables.delta_data_files(actions.join(broken, "table_root", "left_anti")), "preview-live")
         # Files that hold rows, as many as rows were asked for; the rest of the snapshot is never opened.
-        chosen = _some_paths(live.filter("coalesce(num_records, 1) > 0"), rows)
-        chosen = chosen or _some_paths(tables.first_data_files(files), 1)
-        if not chosen:
-            raise ValueError("No underlying Parquet data file found")
-        found = spark.read.parquet(*chosen)
+        left = F.coalesce("num_records", F.lit(1)) - F.when(F.col("vector").isNotNull() & F.col("num_records").isNotNull(), F.col("vector.cardinality")).otherwise(0)
+        chosen = live.filter(F.coalesce(left > 0, F.lit(True))).orderBy("path").limit(rows)
+        if not chosen.isEmpty():
+            found = tables.read_live(spark, path, chosen)
+        else:
+            first = _some_paths(tables.first_data_files(files), 1)
+            if not first:
+                raise ValueError("No underlying Parquet data file found")
+            found = spark.read.parquet(*first)
     elif kind == "iceberg":
         chosen = _some_paths(tables.first_data_files(_table_files(spark, path), below="data"), 1)
         found = spark.read.parquet(*chosen) if chosen else spark.createDataFrame([], T.StructType())

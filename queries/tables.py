@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lakeprofile.functions.paths import base_name
 from lakeprofile.plans import profile as profile_plan
 from lakeprofile.plans.preview import preview
+from lakeprofile.session import write_and_read
 from lakeprofile.sources import tables
 from lakeprofile.sources.inventory import inventory, list_location
 from lakeprofile.sources.parquet import footers
 from queries.fixtures import once, table
+from queries.writers import write_vectors
 
 SCHEMA_TEXT = (
     '{"type":"struct","fields":['
@@ -121,6 +123,40 @@ def delta_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_delta(spark, root, table_files(spark, root)).select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
+def deleted_orders(spark: SparkSession, sf_dir: str) -> str:
+    """Orders whose second commit marks every third key as deleted, in vectors of all kinds; a third commit of plain rows."""
+
+    def write(root: str) -> None:
+        orders = table(spark, sf_dir, "orders")
+        orders.filter("o_orderkey % 2 = 0").repartition(6).write.parquet(f"{root}/even")
+        orders.filter("o_orderkey % 2 = 1").write.parquet(f"{root}/odd")
+        data = spark.read.parquet(f"{root}/even")
+        gone = data.filter("o_orderkey % 3 = 0").select(
+            F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("path"), F.col("_metadata.row_index").alias("row_index"))
+        vectors = write_and_read(write_vectors(gone, root), "vectors")
+        added = add_actions(spark, root, "even")
+        marked = added.join(vectors, F.col("add.path") == F.concat(F.lit("even/"), base_name("path"))).select(
+            F.col("add").withField("deletionVector", F.struct(
+                F.col("kind").alias("storageType"), F.col("place").alias("pathOrInlineDv"), "offset", F.col("size").alias("sizeInBytes"),
+                F.col("rows").alias("cardinality"))).alias("add"))
+        log = f"{root}/_delta_log"
+        save_as(as_lines(meta_action(spark)).union(as_lines(added)), log, f"{0:020}.json")
+        removed = added.select(F.struct("add.path", F.lit(True).alias("dataChange")).alias("remove"))
+        save_as(as_lines(removed).union(as_lines(marked)), log, f"{1:020}.json")
+        save_as(as_lines(add_actions(spark, root, "odd", with_stats=False)), log, f"{2:020}.json")
+
+    return once(spark, sf_dir, "deleted-orders.delta", write)
+
+
+def delta_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are left under deletion vectors, and how many the log says there are."""
+    root = deleted_orders(spark, sf_dir)
+    files = table_files(spark, root)
+    told = tables.delta_tables(files).select("row_count")
+    rows = tables.read_delta(spark, root, files).select("o_orderkey", "o_custkey", "o_orderstatus")
+    return rows.withColumn("row_count", F.lit(told.first().row_count).cast("bigint"))
+
+
 def delta_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log that is not one action per line: schema from the first data file, rows unknown, a warning."""
 
@@ -188,6 +224,7 @@ def iceberg_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "delta_snapshot": delta_snapshot,
     "delta_scan": delta_scan,
+    "delta_deletions": delta_deletions,
     "delta_fallback": delta_fallback,
     "iceberg_metadata": iceberg_snapshot,
     "iceberg_preview": iceberg_preview,
@@ -201,6 +238,8 @@ ORACLES = {
     "delta_scan": """
         SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0
         UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0""",
+    "delta_deletions": """
+        SELECT o_orderkey, o_custkey, o_orderstatus, count(*) OVER () AS row_count FROM orders WHERE o_orderkey % 2 = 1 OR o_orderkey % 3 <> 0""",
     "delta_fallback": """
         SELECT 'delta' AS file_type, NULL::BIGINT AS row_count, 6::BIGINT AS column_count,
                'underlying_parquet_file' AS schema_inference, true AS warned""",
