@@ -8,11 +8,12 @@ from lakeprofile.operators import columns as column_ops
 from lakeprofile.operators.loading import top_rows
 from lakeprofile.plans import reading
 from lakeprofile.plans.preview import json_safe, preview as preview_file
-from lakeprofile.session import write_and_read
+from lakeprofile.session import scratch_path, write_and_read
 from lakeprofile.sources import delimited
 from lakeprofile.sources.chunks import line_counts, record_counts
 from lakeprofile.sources.heads import file_heads, type_by_content
 from lakeprofile.sources.inventory import inventory
+from lakeprofile.sources.splitting import split_delimited
 from queries.fixtures import csv_of, documents_csv, documents_text, events_ndjson, once, single_file, table
 from queries.writers import write_files
 
@@ -77,6 +78,18 @@ def csv_quoted_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def csv_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delimited files with line breaks and quotes inside fields, cut into parts of whole records and read back."""
+    files = data_files(spark, documents_csv(spark, sf_dir))
+    folder = scratch_path(spark, "csv-parts")
+    parts = split_delimited(files, folder, part_bytes=1 << 17)
+    sizes = parts.groupBy("path").agg(F.sum("bytes").alias("written"), F.count("*").alias("parts"))
+    whole = files.join(sizes, "path", "left").agg(
+        F.bool_and(F.coalesce(F.col("written") == F.col("size"), F.lit(False))).alias("every_byte"), (F.sum("parts") > F.count("*")).alias("several")).first()
+    rows = delimited.read_delimited(spark, folder, "doc_id bigint, text string, source string", multiLine=True)
+    return rows.withColumns({"every_byte": F.lit(whole.every_byte), "several": F.lit(whole.several)})
+
+
 def row_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimated against exact rows: every estimate is within a tenth."""
     files = data_files(spark, csv_of(spark, sf_dir, "lineitem"))
@@ -213,6 +226,7 @@ QUERIES = {
     "csv_dialect": csv_dialect,
     "csv_row_count": csv_row_count,
     "csv_quoted_row_count": csv_quoted_row_count,
+    "csv_split": csv_split,
     "row_estimate": row_estimate,
     "string_widths": string_widths,
     "infer_types": infer_types,
@@ -248,6 +262,7 @@ ORACLES = {
     "csv_row_count": "SELECT count(*) AS row_count FROM lineitem",
     "csv_quoted_row_count": """
         SELECT lang, count(*) AS row_count, max(contains(text, chr(10))) AS quoted_breaks FROM documents GROUP BY lang""",
+    "csv_split": "SELECT doc_id, text, source, true AS every_byte, true AS several FROM documents",
     "row_estimate": "SELECT count(*) AS exact, true AS within_tenth FROM lineitem",
     "string_widths": """
         SELECT name, w AS observed_max_len, CAST(ceil(w * 1.25) AS BIGINT) AS sized_len, 'NVARCHAR(255)' AS sql_type
