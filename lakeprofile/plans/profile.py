@@ -9,7 +9,7 @@ from lakeprofile.functions.paths import path_suffix, type_by_extension
 from lakeprofile.functions.sqltypes import spark_type, sql_type
 from lakeprofile.lookups import ENCODING_SAMPLE_BYTES
 from lakeprofile.session import write_and_read
-from lakeprofile.sources import documents, orc, parquet, tables, workbook
+from lakeprofile.sources import arrays, documents, orc, parquet, tables, workbook
 from lakeprofile.sources.chunks import CHUNK_BYTES, line_counts, record_counts
 from lakeprofile.sources.delimited import COLUMNS, HEAD_ROWS, csv_samples, whole_columns
 from lakeprofile.sources.encoding import whole_encodings
@@ -93,15 +93,25 @@ def _json(files: DataFrame, chunk_bytes: int) -> DataFrame:
     candidates = files.filter(explicit | (F.col("first_char") == "{")).select("path", "size", "encoding")
     lines = documents.document_line_counts(candidates, chunk_bytes).withColumnRenamed("error", "line_error")
     judged = write_and_read(
-        files.select("path", "size", "encoding").join(lines, "path", "left").withColumn(
+        files.select("path", "size", "encoding", "first_char").join(lines, "path", "left").withColumn(
             "line_format",
             documents.line_format(explicit, F.col("objects"), F.col("invalid"), F.col("other")),
         ),
         "json-lines",
     )
     by_line = judged.filter("line_format IS NOT NULL").select("path", "size", "encoding")
-    shapes = write_and_read(documents.document_shapes(judged.filter("line_format IS NULL")), "json-documents")
-    objects = documents.line_objects(by_line, chunk_bytes).unionByName(documents.shape_objects(shapes))
+    # An array longer than a chunk is read in ranges; other documents are parsed whole, by one task each.
+    is_long = (F.col("first_char") == "[") & (F.col("size") > chunk_bytes) & F.col("encoding").isin("ascii", "utf-8", "utf-8-sig")
+    others = judged.filter("line_format IS NULL")
+    shapes = documents.document_shapes(others.filter(~F.coalesce(is_long, F.lit(False))))
+    objects = documents.line_objects(by_line, chunk_bytes)
+    long = others.filter(is_long)
+    if not long.isEmpty():
+        elements = write_and_read(arrays.array_elements(long, chunk_bytes), "json-elements")
+        shapes = shapes.unionByName(documents.array_shapes(elements))
+        objects = objects.unionByName(documents.array_objects(elements))
+    shapes = write_and_read(shapes, "json-documents")
+    objects = objects.unionByName(documents.shape_objects(shapes))
     found = judged.join(shapes.drop("objects"), "path", "left").join(documents.document_columns(objects), "path", "left")
     row_count = F.when(F.col("line_format").isNotNull(), F.col("objects")).otherwise(F.col("document_rows"))
     skipped = F.when(F.col("line_format").isNotNull() & (F.col("invalid") > 0),

@@ -10,8 +10,10 @@ from lakeprofile.operators.loading import load_into_existing
 from lakeprofile.plans import reading
 from lakeprofile.session import scratch_path, write_and_read
 from lakeprofile.sources import documents as json_files
+from lakeprofile.sources.arrays import array_elements
 from lakeprofile.sources.chunks import read_lines
 from lakeprofile.sources.inventory import inventory
+from queries.writers import write_files
 from queries.fixtures import JSON_DOCS, chunked, events_arrays, events_ndjson, json_docs, once, table
 
 
@@ -161,6 +163,25 @@ def json_array_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def large_arrays(spark: SparkSession, sf_dir: str) -> str:
+    """Events as array files, each of one document much longer than the chunks it is read in."""
+
+    def write(path: str) -> None:
+        events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+        write_files(events, path, ".json", lambda frame: frame.to_json(orient="records", indent=1).encode())
+
+    return once(spark, sf_dir, "large-arrays", write)
+
+
+def json_array_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of long array documents, found in byte ranges by many tasks a file; whether any file took several."""
+    files = inventory(spark, large_arrays(spark, sf_dir)).filter("name LIKE 'part-%'")
+    elements = write_and_read(array_elements(files, chunk_bytes=1 << 14), "json-array-ranges")
+    several = elements.agg(F.max("chunk") > 0).first()[0]
+    return elements.select(F.inline(F.array(F.from_json("text", "event_id bigint, user_id bigint, event_type string, props string")))).withColumn(
+        "several", F.lit(several))
+
+
 def json_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements over all array documents."""
     documents = spark.read.text(events_arrays(spark, sf_dir))
@@ -259,6 +280,7 @@ QUERIES = {
     "json_insert": json_insert,
     "clob_openjson": clob_openjson,
     "json_array_scan": json_array_scan,
+    "json_array_ranges": json_array_ranges,
     "json_row_count": json_row_count,
     "ndjson_scan": ndjson_scan,
     "ndjson_counts": ndjson_counts,
@@ -349,6 +371,7 @@ ORACLES = {
     "json_insert": "SELECT event_id, user_id, event_type FROM events",
     "clob_openjson": _EVENT_ROWS,
     "json_array_scan": _EVENT_ROWS,
+    "json_array_ranges": "SELECT event_id, user_id, event_type, props, true AS several FROM events",
     "json_row_count": "SELECT count(*) AS rows FROM events",
     "ndjson_scan": _EVENT_ROWS + " WHERE event_id % 7 <> 0",
     "ndjson_counts": """
