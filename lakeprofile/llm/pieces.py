@@ -7,6 +7,10 @@ that a later piece could still start from meet in one boundary, the ids before i
 a few pieces long however long the text is. Between two characters that stand side by side in no piece all paths meet in any
 case (before a blank that follows a letter, say, or before most commas), and the ids of what lies between are remembered.
 
+New words of many texts take these steps together: one array holds the backpointers of them all, and each step looks at the
+pieces that end at one position of every word, told by hashes of their characters. A word's pieces are compared with it as
+text at the end, so a hash that two texts share costs time and no correctness.
+
 The ids are those that the library itself gives.
 """
 
@@ -25,10 +29,30 @@ from pyspark.sql import Column, functions as F
 from lakeprofile.llm.common import per_process
 
 BLANK = "▁"
-_UNIT = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
-_MEMO = 300_000
+_MEMO = 250_000
 _REMEMBERED = 64  # characters
 _CHECK = 8  # longest pieces between two looks for a common boundary
+_TEXTS = 256  # whose new words are encoded together
+_WORDS = 8192  # in one array
+_PAIRS = 250_000
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+# Codes of pieces in arrays: 0 at the start of a word, then ids from 1, then characters that are no piece.
+_CHARACTER = 1 << 21
+_CODE_BITS = 22
+
+
+class _Pairs(dict):
+    """Whether a piece may follow another, by both codes, worked out when first asked for."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, key: int) -> bool:
+        if len(self) > _PAIRS:
+            self.clear()
+        self[key] = stands = self.model._stands(*map(self.model.text_of, (key >> _CODE_BITS, key & ((1 << _CODE_BITS) - 1))))
+        return stands
 
 
 class PieceModel:
@@ -55,6 +79,46 @@ class PieceModel:
         self.lengths = {end: sorted(lengths, reverse=True) for end, lengths in by_end.items()}
         self.stands = lru_cache(1 << 17)(self._stands)
         self.units: dict[str, bytes] = {}
+        self.pairs = _Pairs(self)
+        self.powers = np.full(max(_REMEMBERED, self.longest) + 1, _BASE, np.uint64)
+        self.powers[0] = 1
+        self.powers = np.multiply.accumulate(self.powers)
+        hashes = np.array([int(self._hashes(piece)[-1]) for piece in self.ids], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.hash_codes = hashes[order], np.array(list(self.ids.values()), np.int64)[order] + 1
+        self.unit = self._unit_pattern()
+        # Per pair of characters, the lengths from 2 of the pieces that it ends, as bits. Pairs share entries by chance.
+        self.ending = np.zeros(1 << 20, np.uint64)
+        for piece in self.ids:
+            if len(piece) > 1:
+                self.ending[self._pair_place(ord(piece[-2]), ord(piece[-1]))] |= np.uint64(1 << min(len(piece), 63))
+        self.single = np.arange(_CHARACTER, _CHARACTER + 0x110000)
+        for piece, code in self.ids.items():
+            if len(piece) == 1:
+                self.single[ord(piece)] = code + 1
+        self.sizes = np.array([0, *map(len, self.pieces)])
+
+    def _unit_pattern(self) -> re.Pattern:
+        """Cuts a text where no piece reaches across: before blanks, around line breaks, and behind words, as far as this model allows."""
+        breaks = "".join(c for c in "\n\r\t" if not any(c in pair for pair in self.inner))
+        joined = "".join(sorted({pair[1] for pair in self.inner if pair[0].isalpha() and not pair[1].isalpha()}))
+        behind = f"(?![{re.escape(joined)}])" if joined else ""
+        start, own = (f"(?:{BLANK}+|(?<=[{breaks}]))", f"[{breaks}]+|") if breaks else (f"{BLANK}+", "")
+        return re.compile(f"{start}[^\\W\\d_]++{behind}|{own}{BLANK}+[^{BLANK}{breaks}]*|[^{BLANK}{breaks}]+")
+
+    @staticmethod
+    def _hashes(text: str) -> np.ndarray:
+        found = np.zeros((1, len(text) + 1), np.uint64)
+        for i, character in enumerate(text):
+            found[:, i + 1] = found[:, i] * _BASE + np.uint64(ord(character) + 1)
+        return found[0]
+
+    @staticmethod
+    def _pair_place(first, second):
+        return (first * 8191 + second) & ((1 << 20) - 1)
+
+    def text_of(self, code: int) -> str:
+        return "" if code == 0 else chr(code - _CHARACTER) if code >= _CHARACTER else self.pieces[code - 1]
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text after all merges: best score first, then leftmost."""
@@ -140,23 +204,81 @@ class PieceModel:
                 start = end
         return b"".join(parts)
 
+    def _words(self, words: list[str]) -> None:
+        """Remembers the ids of many short words, found together."""
+        words.sort(key=len)
+        sizes = np.array(list(map(len, words)))
+        widest, rows = int(sizes[-1]), np.arange(len(words))
+        characters = np.zeros((len(words), widest), np.int64)
+        characters[np.arange(widest) < sizes[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        sums = np.zeros((len(words), widest + 1), np.uint64)
+        for at in range(widest):
+            sums[:, at + 1] = sums[:, at] * _BASE + (characters[:, at] + 1).astype(np.uint64)
+        # A single character stands wherever no longer piece does.
+        last, back = np.zeros((len(words), widest + 1), np.int64), np.ones((len(words), widest + 1), np.int8)
+        last[:, 1:] = self.single[characters]
+        for end in range(2, widest + 1):
+            waiting = rows[np.searchsorted(sizes, end):]
+            lengths = self.ending[self._pair_place(characters[waiting, end - 2], characters[waiting, end - 1])]
+            some = lengths != 0
+            waiting, lengths = waiting[some], lengths[some]
+            for length in range(min(end, self.longest), 1, -1):
+                some = np.flatnonzero(lengths & np.uint64(1 << min(length, 63)))
+                if not len(some):
+                    continue
+                at = waiting[some]
+                wanted = sums[at, end] - sums[at, end - length] * self.powers[length]
+                place = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+                known = self.hashes[place] == wanted
+                some, at, codes = some[known], at[known], self.hash_codes[place[known]]
+                keys = (last[at, end - length] << _CODE_BITS) | codes
+                stands = np.fromiter(map(self.pairs.__getitem__, keys.tolist()), bool, len(keys))
+                last[at[stands], end], back[at[stands], end] = codes[stands], length
+                lengths[some[stands]] = 0
+        # All paths back at once, the last piece of each first.
+        ends, going, codes, lengths = sizes.copy(), rows, np.zeros((len(words), widest), np.int64), np.zeros((len(words), widest), np.int8)
+        place = np.full(len(words), widest)
+        while len(going):
+            place[going] -= 1
+            end = ends[going]
+            codes[going, place[going]], lengths[going, place[going]] = last[going, end], back[going, end]
+            ends[going] = end - back[going, end]
+            going = going[ends[going] > 0]
+        odd = codes.max(axis=1) >= _CHARACTER
+        for row in np.flatnonzero(odd).tolist():
+            pieces = [self.text_of(code) for code in codes[row, place[row]:].tolist()]
+            self.units[words[row]] = self._ids(pieces) if "".join(pieces) == words[row] else self._unit(words[row])
+        used = (np.arange(widest) >= place[:, None]) & ~odd[:, None]
+        found = codes[used]
+        plain = [words[row] for row in np.flatnonzero(~odd).tolist()]
+        if (self.sizes[found] == lengths[used]).all() and "".join(map(self.pieces.__getitem__, (found - 1).tolist())) == "".join(plain):
+            packed, edges = (found - 1).astype("<i4").tobytes(), [0, *(4 * np.cumsum(used[~odd].sum(axis=1))).tolist()]
+            self.units.update(zip(plain, map(packed.__getitem__, map(slice, edges, edges[1:]))))
+        else:
+            self.units.update((word, self._unit(word)) for word in plain)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, of which a blank is put in front; none for an empty text."""
+        found = []
+        for start in range(0, len(texts), _TEXTS):
+            units = [self.unit.findall(BLANK + text.replace(" ", BLANK)) if text else [] for text in texts[start: start + _TEXTS]]
+            wanted = set().union(*units)
+            if len(self.units) + len(wanted) > _MEMO:
+                self.units.clear()
+            new = [unit for unit in wanted.difference(self.units) if len(unit) <= _REMEMBERED]
+            for at in range(0, len(new), _WORDS):
+                self._words(new[at: at + _WORDS])
+            del wanted, new
+            for nth in range(len(units)):
+                parts = [self.units.get(unit) for unit in units[nth]]
+                if None in parts:
+                    parts = [self._unit(unit) if part is None else part for unit, part in zip(units[nth], parts)]
+                units[nth] = None
+                found.append(np.frombuffer(b"".join(parts), "<i4"))
+        return found
+
     def encode(self, text: str) -> np.ndarray:
-        """The ids of a text, of which a blank is put in front; none for an empty text."""
-        if not text:
-            return np.empty(0, np.int32)
-        units = _UNIT.findall(BLANK + text.replace(" ", BLANK))
-        memo = self.units
-        if len(memo) > _MEMO:
-            memo.clear()
-        parts = []
-        for unit in units:
-            part = memo.get(unit)
-            if part is None:
-                part = self._unit(unit)
-                if len(unit) <= _REMEMBERED:
-                    memo[unit] = part
-            parts.append(part)
-        return np.frombuffer(b"".join(parts), "<i4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces become their bytes, and the blank in front goes. Unknown and control ids have no text."""
@@ -170,7 +292,7 @@ def encode(text: Column, model_path: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = per_process(f"pieces {model_path}", lambda: PieceModel(model_path))
         for batch in batches:
-            ids = [model.encode(text or "") for text in batch]
+            ids = model.encode_all([text or "" for text in batch])
             yield pd.DataFrame({"ids": ids, "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids]})
 
     return run(text)
@@ -197,10 +319,8 @@ def round_trip(docs, model_path: str, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = per_process(f"pieces {model_path}", lambda: PieceModel(model_path))
         for batch in batches:
-            rows = []
-            for text in batch:
-                ids = model.encode(text or "")
-                rows.append((len(ids), zlib.crc32(ids.tobytes()), ids, model.decode(ids.tolist()) == (text or "")))
+            texts = [text or "" for text in batch]
+            rows = [(len(ids), zlib.crc32(ids.tobytes()), ids, model.decode(ids.tolist()) == text) for text, ids in zip(texts, model.encode_all(texts))]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_crc32", "ids", "same"])
 
     return docs.select(F.col(f"`{id_col}`"), run(F.col(f"`{text_col}`")).alias("__got")).select(F.col(f"`{id_col}`"), "__got.*")

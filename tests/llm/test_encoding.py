@@ -139,3 +139,23 @@ def test_token_files_of_awkward_rows(spark, tmp_path):
     assert token_files.read_token_files(token_files.write_token_files(empty(spark), WORDS, str(tmp_path / "b"))).count() == 0
     with pytest.raises(Exception, match="no place in the order"):
         token_files.write_token_files(awkward(spark), WORDS, str(tmp_path / "c"))
+
+
+def test_new_words_together_equal_the_library_and_the_stream():
+    import random
+
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+
+    from lakeprofile.llm.pieces import BLANK, PieceModel
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, library = PieceModel(path), SentencePieceProcessor(model_file=path)
+    draw = random.Random(7)
+    letters = "aehilnorstuäéßçñ漢字Жя\U0001f600  \n\t.,'-_()0123ABZ"
+    texts = ["".join(draw.choices(letters, k=draw.randint(0, 90))) for _ in range(3000)] + ["x" * 500, "\n", " ", "a\n\nb", "word.\nWord", BLANK, "\x00a"]
+    got = model.encode_all(texts)
+    assert [ids.tolist() for ids in got] == [library.encode(text) for text in texts]
+    for text in texts[:300]:
+        stream = model._ids(model.cut(BLANK + text.replace(" ", BLANK))) if text else b""
+        assert stream == got[texts.index(text)].tobytes()
