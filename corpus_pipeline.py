@@ -6,7 +6,9 @@
     benchmark    documents that hold a passage of a benchmark item go
     pieces       texts become piece ids
 
-Every stage takes (spark, docs, sf_dir); all but the last return the columns of ``docs``. ``run`` writes each result as Parquet
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of ``docs``, under any names and with their values.
+Rows with a null text go in the first stage; null ids and rows that repeat an id are treated as each operator's docstring says;
+an empty table gives an empty table. ``run`` writes each result as Parquet
 to the shared scratch folder and reads it for the next stage, so a lost executor costs tasks of one stage only.
 """
 
@@ -28,9 +30,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = dedup_lines(docs).filter("n_removed = 0 or length(trim(translate(text, '\n\r\t', ''))) > 0")
+    # The operator's own columns must not stand in for columns of these names that come in.
+    own = {name: f"__in_{name}" for name in ("n_lines", "n_removed") if name in docs.columns}
+    cut = dedup_lines(docs.withColumnsRenamed(own)).filter("n_removed = 0 or length(trim(translate(text, '\n\r\t', ''))) > 0")
     changed = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return cut.withColumns(changed).select(*[f"`{name}`" for name in docs.columns])
+    return cut.withColumns(changed).select(*[F.col(f"`{own.get(name, name)}`").alias(name) for name in docs.columns])
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,14 +46,24 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
     return parts.select("item", F.least(F.size("words"), F.lit(window)).alias("length"), F.explode(runs).alias("window")).distinct()
 
 
+def _document(id_: Column, text: Column) -> Column:
+    """What tells a row from others: its id and its text."""
+    return F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("null")), F.lower(F.hex(F.xxhash64(text))))
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
                   item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Per document: ``id``, ``n_words``, ``n_hit`` (words inside an occurrence of a window), ``items`` (sorted ids as text).
 
-    Null texts have no words and empty texts have none either. Each input row gives a row; rows that repeat an id count as one
-    document when hits are gathered, and null ids as one id. Items that repeat, or are null or without words, change nothing.
+    Null texts have no words and empty texts have none either. Each input row gives a row, judged by its own text: rows that
+    repeat an id are told apart by their texts, null ids too. Items that repeat, or are null or without words, change nothing.
     Without items or documents the result has no hits or no rows.
     """
+    return _judged(docs, items, id_col, text_col, item_id_col, item_text_col, window).drop("doc")
+
+
+def _judged(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, window: int) -> DataFrame:
+    """``contamination``, with ``doc``, the row's ``_document``."""
     windows = write_and_read(benchmark_windows(items, item_id_col, item_text_col, window), "windows")
     pieces = F.split("window", " ")
     shingle_length = F.least(F.col("length"), F.lit(SHINGLE))
@@ -68,15 +78,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     # One pass over the documents.
     vocabulary = parts.select("shingle").union(docs.sparkSession.range(1).select(F.lit(_HEADER).alias("shingle"))).distinct()
-    of_doc = slim(docs, id=id_col, text=text_col).select("id", F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    of_doc = slim(docs, id=id_col, text=text_col).select("id", _document(F.col("id"), F.col("text")).alias("doc"), F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("words"))
     entries = [F.array(F.struct(F.lit(-1).alias("at"), F.lit(_HEADER).alias("shingle")))] + [
         F.transform(_joined(F.col("words"), F.size("words"), n), lambda text, at: F.struct(at.alias("at"), text.alias("shingle")))
         for n in sorted(lengths)
     ]
-    exploded = of_doc.select("id", F.size("words").alias("n_words"), F.explode(F.concat(*entries)).alias("entry")).select(
-        "id", "n_words", "entry.at", "entry.shingle")
+    exploded = of_doc.select("id", "doc", F.size("words").alias("n_words"), F.explode(F.concat(*entries)).alias("entry")).select(
+        F.when(F.col("entry.at") < 0, F.col("id")).alias("id"), "doc", "n_words", "entry.at", "entry.shingle")
     found = write_and_read(exploded.join(checked_broadcast(vocabulary, "vocabulary"), "shingle"), "found")
-    headers = found.filter("at < 0").select("id", "n_words")
+    headers = found.filter("at < 0").select("id", "doc", "n_words")
     found = found.filter("at >= 0")
 
     # The rarest shingle of each window that can occur.
@@ -89,40 +99,38 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
     places = (
         found.join(prefix, "shingle").withColumn("start", F.col("at") - F.col("offset"))
-        .filter("start >= 0 and start + length <= n_words").select("id", "start", "length", "window").distinct()
+        .filter("start >= 0 and start + length <= n_words").select("doc", "start", "length", "window").distinct()
     )
 
     # The shingles that tile a window stand at their places.
     tiles = parts.filter(f"offset % {SHINGLE} = 0 or offset = length - least(length, {SHINGLE})")
     needed = tiles.groupBy("window").agg(F.count("*").alias("needed"))
     wanted = places.join(tiles.select("window", "offset", "shingle"), "window").withColumn("at", F.col("start") + F.col("offset"))
-    there = found.select(F.col("id").alias("there_id"), F.col("at").alias("there_at"), F.col("shingle").alias("there")).distinct()
+    there = found.select(F.col("doc").alias("there_doc"), F.col("at").alias("there_at"), F.col("shingle").alias("there")).distinct()
     hits = (
-        wanted.join(there, F.col("id").eqNullSafe(F.col("there_id")) & (F.col("at") == F.col("there_at")) & (F.col("shingle") == F.col("there")))
-        .groupBy("id", "start", "length", "window").agg(F.count("*").alias("standing"))
-        .join(needed, "window").filter("standing = needed").select("id", "start", "length", "window")
+        wanted.join(there, (F.col("doc") == F.col("there_doc")) & (F.col("at") == F.col("there_at")) & (F.col("shingle") == F.col("there")))
+        .groupBy("doc", "start", "length", "window").agg(F.count("*").alias("standing"))
+        .join(needed, "window").filter("standing = needed").select("doc", "start", "length", "window")
     )
     hits = write_and_read(hits, "hits")
 
     # Words covered: what each occurrence adds to those that start before it.
-    before = Window.partitionBy("id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("doc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     covered = (
-        hits.select("id", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
+        hits.select("doc", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
         .withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))
-        .groupBy("id").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "reached"))).cast("long").alias("n_hit"))
+        .groupBy("doc").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "reached"))).cast("long").alias("n_hit"))
     )
     of_items = (
-        hits.select("id", "window").distinct().join(windows, "window").select("id", "item").distinct()
-        .groupBy("id").agg(F.sort_array(F.collect_list(F.col("item").cast("string"))).alias("items"))
+        hits.select("doc", "window").distinct().join(windows, "window").select("doc", "item").distinct()
+        .groupBy("doc").agg(F.sort_array(F.collect_list(F.col("item").cast("string"))).alias("items"))
     )
-    right = covered.withColumnRenamed("id", "covered_id").join(
-        of_items.withColumnRenamed("id", "items_id"), F.col("covered_id").eqNullSafe(F.col("items_id")), "left")
-    return headers.join(right, F.col("id").eqNullSafe(F.col("covered_id")), "left").select(
-        "id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+    return headers.join(covered.join(of_items, "doc", "left"), "doc", "left").select(
+        "id", "doc", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents in which a window of an item occurs."""
-    hit = contamination(docs, items, id_col, text_col).filter("n_hit > 0").select(F.col("id").alias("__hit_id")).distinct()
-    return docs.join(hit, F.col(f"`{id_col}`").eqNullSafe(F.col("__hit_id")), "left_anti")
+    """``docs`` without the rows in whose text a window of an item occurs."""
+    hit = _judged(docs, items, id_col, text_col, "item_id", "text", WINDOW).filter("n_hit > 0").select(F.col("doc").alias("__hit")).distinct()
+    return docs.join(hit, _document(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")) == F.col("__hit"), "left_anti")

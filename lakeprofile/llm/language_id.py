@@ -175,5 +175,6 @@ def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_undetermined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rows whose text is null, has no letter, or fits no language better than the others (score below one half)."""
-    judged = with_language(docs, id_col, text_col, lang_col)
-    return judged.filter("lang_pred <> 'und' and score >= 0.5").select(*[F.col(f"`{name}`") for name in docs.columns])
+    model = learn_languages(docs.filter(~held_out(F.col(f"`{id_col}`"), 5)), text_col, lang_col, id_col)
+    judged = docs.select("*", identify(docs.sparkSession, model, F.col(f"`{text_col}`")).alias("__guess"))
+    return judged.filter("__guess.lang_pred <> 'und' and __guess.score >= 0.5").select(*[F.col(f"`{name}`") for name in docs.columns])

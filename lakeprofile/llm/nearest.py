@@ -80,6 +80,21 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def distances(vectors: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; what over- or underflows in squares is scaled first, and is infinite only if the
+    distance itself is."""
+    with np.errstate(over="ignore", under="ignore"):
+        found = np.sqrt(np.square(vectors - vector).sum(axis=1))
+        odd = ~np.isfinite(found) | (found < 1e-140)
+        if odd.any():
+            scale = np.maximum(np.abs(vectors[odd]).max(axis=1), np.abs(vector).max())
+            scaled = vectors[odd] / scale[:, None] - vector / scale[:, None]
+            most = np.abs(scaled).max(axis=1)
+            inner = np.sqrt(np.square(scaled / np.where(most > 0, most, 1)[:, None]).sum(axis=1))
+            found[odd] = inner * most * scale
+    return found
+
+
 def _rank(found: DataFrame, nearest: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
@@ -110,10 +125,9 @@ def _search(index: DataFrame, queries: DataFrame, tables: int, probes: int, near
         if len(left) and len(right):
             ids, vectors = left["id"].to_numpy(), np.stack([np.asarray(v, float) for v in left["vector"]])
             for query, vector in zip(right["id"], right["vector"]):
-                distance = np.sqrt(np.square(vectors - np.asarray(vector, float)).sum(axis=1))
-                distance[ids == query] = np.inf
-                few = np.lexsort((ids, distance))[:nearest]
-                few = few[np.isfinite(distance[few])]
+                distance = distances(vectors, np.asarray(vector, float))
+                others = np.flatnonzero(ids != query)
+                few = others[np.lexsort((ids[others], distance[others]))[:nearest]]
                 parts.append(pd.DataFrame({"query_id": query, "vec_id": ids[few], "score": distance[few]}))
         return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 

@@ -24,6 +24,8 @@ from lakeprofile.llm.common import per_process, scratch_path, slim
 
 MAGIC, VERSION, BLOCK = 0x46444954, 1, 1 << 16
 END_ID = 1
+#: Stands for a null id in a file's table of ids; it sorts first.
+NO_ID = -(1 << 63)
 _MEMO = 400_000
 _SIGNS = ".,;:!?)]}#$%&*-_=+/@\""  # ASCII signs that form no token with a letter before them
 _ADDED = "<|"  # how added tokens begin
@@ -176,12 +178,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
     """Encodes every text, ends it with ``END_ID`` and writes the files below ``folder``, which all machines share.
 
     Returns the written table of files: ``part``, ``file``, ``n_docs``, ``n_tokens``. A null text is empty; rows that repeat
-    an id follow each other, ordered by text. Rows without an id are refused, since they have no place in the order. A task
-    writes under a name of its own and renames the complete file, so a repeated task does no harm.
+    an id follow each other, ordered by text. Rows without an id come first; the file's table of ids marks them with ``NO_ID``,
+    which no document may have as its id. A task writes under a name of its own and renames the complete file, so a repeated task does no harm.
     """
     spark = docs.sparkSession
     ordered = slim(docs, id=id_col, text=text_col).select(
-        F.coalesce(F.col("id").cast("long"), F.raise_error(F.lit("a document without an id has no place in the order"))).alias("id"),
+        F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
 
     def write(batches: Iterator) -> Iterator:
@@ -218,7 +220,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """Per document of the written files: ``id``, ``start`` (tokens before it in all files), ``n_tokens`` and ``ids_crc32``.
+    """Per document of the written files: ``id`` (null for ``NO_ID``), ``start`` (tokens before it in all files), ``n_tokens`` and ``ids_crc32``.
 
     The running sum goes over the table of files, one row each, not over documents.
     """
@@ -235,7 +237,8 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"id": reader.docs, "start": reader.starts[:-1] + offset, "n_tokens": reader.lengths, "ids_crc32": np.array(crcs, np.int64)})
 
     tasks = max(1, 4 * files.sparkSession.sparkContext.defaultParallelism)
-    return placed.repartition(tasks).mapInPandas(read, "id long, start long, n_tokens long, ids_crc32 long")
+    found = placed.repartition(tasks).mapInPandas(read, "id long, start long, n_tokens long, ids_crc32 long")
+    return found.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")))
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

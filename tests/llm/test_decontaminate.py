@@ -61,3 +61,13 @@ def test_awkward_rows_and_empty_tables(spark):
     none = contamination(awkward(spark), items_table(spark, [(4, None), (5, "!")])).collect()
     assert len(none) == 14 and all(r.n_hit == 0 and r["items"] == [] for r in none)
     assert drop_contaminated(awkward(spark), items_table(spark)).columns == awkward(spark).columns
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    items = items_table(spark, [(1, "one two three four five six")])
+    docs = [(1, "one two three z z z"), (1, "z z z four five six"), (2, "two three four and three four five"), (3, "so one two three four five six it is"), (3, "clean"),
+            (None, "one two three"), (None, "four five six"), (None, "one two three four five six")]
+    got = sorted((str(r.id), r.n_words, r.n_hit) for r in contamination(table(spark, docs), items).collect())
+    assert got == sorted([("1", 6, 0), ("1", 6, 0), ("2", 7, 0), ("3", 9, 6), ("3", 1, 0), ("None", 3, 0), ("None", 3, 0), ("None", 6, 6)])
+    kept = sorted((str(r.doc_id), r.text) for r in drop_contaminated(table(spark, docs), items).collect())
+    assert kept == sorted((str(i), t) for i, t in docs if "one two three four five six" not in t)

@@ -132,3 +132,13 @@ def test_ties_in_a_large_group_of_equal_vectors(spark):
     got = nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).toPandas()
     for query in (100, 200, 300):
         assert got[got.query_id == query].sort_values("rank").vec_id.tolist() == [i for i in range(1, 12) if i != query][:10]
+
+
+def test_distances_that_overflow_in_squares(spark):
+    rows = [(0, [1e200, 0.0]), (1, [-1e200, 0.0]), (2, [1e200, 1e190]), (3, [1.7e308, 0.0]), (4, [-1.7e308, 0.0]), (100, [1e-200, 0.0]), (101, [3e-200, 0.0])]
+    got = nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    found = {q: [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 100)}
+    assert [v for v, _ in found[0]] == [2, 100, 101, 1, 3, 4] and found[0][0][1] == pytest.approx(1e190) and found[0][3][1] == pytest.approx(2e200)
+    assert found[100][0] == (101, pytest.approx(2e-200)) and len(found[100]) == 6
+    far = nearest_neighbours(spark.createDataFrame([(0, [1.7e308]), (1, [-1.7e308])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert [(r.vec_id, r.score) for r in far] == [(1, float("inf"))]
