@@ -29,12 +29,13 @@ from pyspark.sql import Column, functions as F
 from lakeprofile.llm.common import per_process
 
 BLANK = "▁"
-_MEMO = 250_000
+_MEMO = 120_000
 _REMEMBERED = 64  # characters
 _CHECK = 8  # longest pieces between two looks for a common boundary
-_TEXTS = 256  # whose new words are encoded together
+_CHARACTERS = 1 << 20  # of texts whose new words are encoded together, one text at least
+_ROWS = 512  # handed back at once
 _WORDS = 8192  # in one array
-_PAIRS = 250_000
+_PAIRS = 150_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 # Codes of pieces in arrays: 0 at the start of a word, then ids from 1, then characters that are no piece.
 _CHARACTER = 1 << 21
@@ -92,7 +93,7 @@ class PieceModel:
         for piece in self.ids:
             if len(piece) > 1:
                 self.ending[self._pair_place(ord(piece[-2]), ord(piece[-1]))] |= np.uint64(1 << min(len(piece), 63))
-        self.single = np.arange(_CHARACTER, _CHARACTER + 0x110000)
+        self.single = np.arange(_CHARACTER, _CHARACTER + 0x110000, dtype=np.int32)
         for piece, code in self.ids.items():
             if len(piece) == 1:
                 self.single[ord(piece)] = code + 1
@@ -259,9 +260,14 @@ class PieceModel:
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, of which a blank is put in front; none for an empty text."""
-        found = []
-        for start in range(0, len(texts), _TEXTS):
-            units = [self.unit.findall(BLANK + text.replace(" ", BLANK)) if text else [] for text in texts[start: start + _TEXTS]]
+        found, start = [], 0
+        while start < len(texts):
+            end, characters = start + 1, len(texts[start])
+            while end < len(texts) and characters + len(texts[end]) <= _CHARACTERS:
+                characters += len(texts[end])
+                end += 1
+            units = [self.unit.findall(BLANK + text.replace(" ", BLANK)) if text else [] for text in texts[start:end]]
+            start = end
             wanted = set().union(*units)
             if len(self.units) + len(wanted) > _MEMO:
                 self.units.clear()
@@ -319,8 +325,9 @@ def round_trip(docs, model_path: str, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = per_process(f"pieces {model_path}", lambda: PieceModel(model_path))
         for batch in batches:
-            texts = [text or "" for text in batch]
-            rows = [(len(ids), zlib.crc32(ids.tobytes()), ids, model.decode(ids.tolist()) == text) for text, ids in zip(texts, model.encode_all(texts))]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_crc32", "ids", "same"])
+            for at in range(0, len(batch), _ROWS):
+                texts = [text or "" for text in batch.iloc[at: at + _ROWS]]
+                rows = [(len(ids), zlib.crc32(ids.tobytes()), ids, model.decode(ids.tolist()) == text) for text, ids in zip(texts, model.encode_all(texts))]
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_crc32", "ids", "same"])
 
     return docs.select(F.col(f"`{id_col}`"), run(F.col(f"`{text_col}`")).alias("__got")).select(F.col(f"`{id_col}`"), "__got.*")
