@@ -29,13 +29,13 @@ from pyspark.sql import Column, functions as F
 from lakeprofile.llm.common import per_process
 
 BLANK = "▁"
-_MEMO = 120_000
+_MEMO = 220_000
 _REMEMBERED = 64  # characters
 _CHECK = 8  # longest pieces between two looks for a common boundary
 _CHARACTERS = 1 << 20  # of texts whose new words are encoded together, one text at least
 _ROWS = 512  # handed back at once
 _WORDS = 8192  # in one array
-_PAIRS = 150_000
+_PAIRS = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 # Codes of pieces in arrays: 0 at the start of a word, then ids from 1, then characters that are no piece.
 _CHARACTER = 1 << 21
