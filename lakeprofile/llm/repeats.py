@@ -2,16 +2,18 @@
 
 Every byte goes that is covered by a string of ``LENGTH`` bytes which also starts in a document with a smaller id.
 
-1. Each string of ``LENGTH`` bytes names its own anchor: of the ``SEED``-byte strings in it the one with the least hash. Equal
+1. A text that stands whole in an earlier document goes whole, and takes no further part: all its strings start there before.
+2. Each string of ``LENGTH`` bytes names its own anchor: of the ``SEED``-byte strings in it the one with the least hash. Equal
    strings have equal anchors, and neighbouring strings mostly share theirs, so one anchor in some thirteen bytes stands for
-   all. Only anchors that occur in two documents at least are followed. Their documents and occurrences are counted with
-   partial aggregates, and an equi-join takes the counts back to the (document, anchor) rows.
-2. Around each such anchor the stretch of bytes is cut out that its strings cover. The stretches of one anchor meet in one
-   place, equal ones as one. Their suffix array, built by grouping (see ``suffixes``), brings equal strings together; the
-   smallest id among them is where they start first.
-3. Anchors with more than ``HOT`` stretches, however few documents hold them, don't meet in one place: there equal stretches are combined before the shuffle,
-   and then the strings themselves are grouped.
-4. What is covered is merged per document and cut.
+   all. Only anchors that occur in two documents at least are followed. Their rows are shuffled and sorted once and judged as
+   they stream by. What a task has seen in two documents is known already: one row of it goes where the anchor is judged, to tell
+   the others, and the rest is spread by document, so that an anchor which very many documents hold is no single task's work.
+3. Around each such anchor the stretch of bytes is cut out that its strings cover. Equal stretches of a task become one row
+   before the shuffle. The stretches of one anchor meet in one place. Their suffix array, built by grouping (see ``suffixes``),
+   brings equal strings together; the smallest id among them is where they start first.
+4. Anchors with more than ``HOT`` stretches, however few documents hold them, don't meet in one place: there equal stretches are
+   combined once more, and then the strings themselves are grouped.
+5. What is covered is merged per document and cut. Texts are shuffled once, by id; both uses of them share that.
 """
 
 from __future__ import annotations
@@ -22,19 +24,23 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lakeprofile.llm.common import byte_views, checked_broadcast, running, slim, spans_hash, write_and_read
+from lakeprofile.llm.common import byte_views, running, slim, spans_hash, write_and_read
 from lakeprofile.llm.suffixes import suffix_array
 
 LENGTH = 50
 SEED = 26
 HOT = 20_000
 _ROWS = 10_000  # stretches made together
-_PIECE = 1 << 20  # bytes of a text looked at together; positions fit into 24 bits
+_PIECE = 1 << 18  # bytes looked at together; positions fit into 24 bits
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and position of each anchor, and the first and the last of the starts of the strings that name it."""
+def anchors(data: np.ndarray, length: int = LENGTH, seed: int = SEED, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and position of each anchor, and the first and the last of the starts of the strings that name it.
+
+    ``data`` may be several texts in a row; ``ends`` then tells where each of them ends, and no string reaches beyond its text.
+    """
+    ends = np.array([len(data)]) if ends is None else ends
     found = []
     for base in range(0, max(1, len(data) - length + 1), _PIECE):
         part = data[base: base + _PIECE + length - 1]
@@ -49,32 +55,106 @@ def anchors(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[n
             least = np.minimum(least[:-step], least[step:])
             width += step
         own = (least & _LOW).astype(np.int64)
-        cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
-        last = np.concatenate([cuts[1:], [len(own)]]) - 1
-        at = own[cuts]
-        found.append((hashes[at], at + base, cuts + base, last + base))
+        whole = np.ones(len(own), bool)  # the string lies in one text
+        for end in (ends[np.searchsorted(ends, base, "right"): np.searchsorted(ends, base + len(part))] - base).tolist():
+            whole[max(0, end - length + 1): end] = False
+        new = np.concatenate([[True], (own[1:] != own[:-1]) | ~whole[:-1]]) & whole
+        over = np.concatenate([new[1:] | ~whole[1:], [True]]) & whole
+        first, last = np.flatnonzero(new), np.flatnonzero(over)
+        at = own[first]
+        found.append((hashes[at], at + base, first + base, last + base))
     if not found:
         return (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
     return tuple(np.concatenate(column) for column in zip(*found))
 
 
+def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts in a row, and where each ends."""
+    return np.concatenate(texts) if texts else np.empty(0, np.uint8), np.cumsum([len(text) for text in texts])
+
+
+def _slices(batch, column: int) -> Iterator:
+    """Parts of a batch whose texts hold a few megabytes, or one text; of 1024 rows at most."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for row, size in enumerate(sizes.tolist()):
+        if row > start and (held + size > 1 << 22 or row - start == 1024):
+            yield batch.slice(start, row - start)
+            start, held = row, 0
+        held += size
+    if len(sizes):
+        yield batch.slice(start)
+
+
+def _numbers(names: list[str], columns: list[np.ndarray]):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in columns], names)
+
+
 def _anchor_rows(length: int, seed: int):
-    """Document, anchor and how often it occurs there, one row per distinct anchor of a document."""
+    """Anchors with the documents that hold them, one row per anchor and document of a part of the input.
+
+    ``n`` of the first row of an anchor is twice the number of its occurrences in the part, plus one if two documents hold it;
+    of its other rows it is 0.
+    """
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for part in _slices(batch, 1):
+                data, ends = _joined(byte_views(part.column(1)))
+                hashes, at, _, _ = anchors(data, length, seed, ends)
+                if not len(hashes):
+                    continue
+                ids = part.column(0).to_numpy(zero_copy_only=False)[np.searchsorted(ends, at, "right")]
+                order = np.lexsort((ids, hashes))
+                place, hashes, ids = order, hashes[order], ids[order]
+                first = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+                other = first | np.concatenate([[True], ids[1:] != ids[:-1]])
+                starts = np.flatnonzero(first)
+                n = np.zeros(len(hashes), np.int64)
+                n[starts] = 2 * np.diff(np.append(starts, len(hashes))) + (np.add.reduceat(other, starts, dtype=np.int64) > 1)
+                rows = np.flatnonzero(other)
+                rows = rows[np.argsort(place[rows])]  # in the order of the texts: ids that follow each other compress
+                yield _numbers(["id", "anchor", "n"], [ids[rows], hashes.view(np.int64)[rows], n[rows]])
+
+    return run
+
+
+def _followed(hot: int):
+    """From rows sorted by anchor those of anchors that two documents hold; with a null id each anchor of more than ``hot`` occurrences."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        schema = ["id", "anchor"]
+        carried = None  # the last anchor so far: id, anchor, n, and whether its row is out
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                found = [np.unique(anchors(data, length, seed)[0], return_counts=True) for data in byte_views(part.column(1))]
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(hashes) for hashes, _ in found])
-                hashes, times = (np.concatenate(column) for column in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes.view(np.int64)), pa.array(times, pa.int64())], ["id", "anchor", "n"])
+            ids, hashes, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            known = n == 0
+            if known.any():
+                yield _numbers(schema, [ids[known], hashes[known]])
+                ids, hashes, n = ids[~known], hashes[~known], n[~known]
+            if not len(ids):
+                continue
+            out = np.zeros(len(ids) + (carried is not None), bool)
+            if carried is not None:
+                ids, hashes, n = (np.concatenate([[old], new]) for old, new in zip(carried, (ids, hashes, n)))
+                out[0] = carried[3]
+            starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+            times = np.add.reduceat(n >> 1, starts)
+            shared = (np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts)) | (np.bitwise_or.reduceat(n & 1, starts) > 0)
+            wanted = np.repeat(shared, np.diff(np.append(starts, len(ids)))) & ~out
+            yield _numbers(schema, [ids[wanted], hashes[wanted]])
+            common = hashes[starts[shared & (times > hot)]]
+            if len(common):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(common), pa.int64()), pa.array(common, pa.int64())], schema)
+            carried = int(ids[-1]), int(hashes[-1]), 2 * int(times[-1]) + int(shared[-1]), bool(shared[-1])
 
     return run
 
 
-_STRETCH = "anchor long, id long, version long, first long, lead int, bytes binary"
+_STRETCH = "lead int, bytes binary, members array<long>"
 
 
 def _stretches(length: int, seed: int):
@@ -82,27 +162,43 @@ def _stretches(length: int, seed: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def table(rows: list[tuple]):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(column, kind) for column, kind in zip(
-                    zip(*rows) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
-                ["anchor", "id", "version", "first", "lead", "bytes"])
-
-        rows: list[tuple] = []
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                for id_, version, data, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), byte_views(part.column(2)), part.column(3)):
-                    hashes, at, first, last = (x for x in anchors(data, length, seed))
-                    followed = np.flatnonzero(np.isin(hashes.view(np.int64), wanted.values.to_numpy()))
-                    raw = data.tobytes()
-                    for some in (followed[k: k + _ROWS] for k in range(0, len(followed), _ROWS)):
-                        rows += [(h, id_, version, f, a - f, raw[f: e + length]) for h, f, a, e in zip(
-                            hashes.view(np.int64)[some].tolist(), first[some].tolist(), at[some].tolist(), last[some].tolist())]
-                        if len(rows) >= _ROWS:
-                            yield table(rows)
-                            rows = []
-        yield table(rows)
+            for part in _slices(batch.filter(batch.column(3).is_valid()), 2):
+                data, ends = _joined(byte_views(part.column(2)))
+                hashes, at, first, last = anchors(data, length, seed, ends)
+                # An anchor that one document of the part wants is wanted by all that hold it.
+                followed = np.flatnonzero(np.isin(hashes.view(np.int64), np.unique(part.column(3).flatten().to_numpy(zero_copy_only=False))))
+                ids, versions = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                begins = np.concatenate([[0], ends[:-1]])
+                for some in (followed[k: k + _ROWS] for k in range(0, len(followed), _ROWS)):
+                    start, sizes = first[some], last[some] - first[some] + length
+                    doc = np.searchsorted(ends, start, "right")
+                    offsets = np.concatenate([[0], np.cumsum(sizes)])
+                    bytes_ = data[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], sizes)]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(hashes[some].view(np.int64)), pa.array(ids[doc], pa.int64()), pa.array(versions[doc], pa.int64()),
+                        pa.array(start - begins[doc], pa.int64()), pa.array(at[some] - start, pa.int32()),
+                        pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(bytes_)]),
+                    ], ["anchor", "id", "version", "first", "lead", "bytes"])
+
+    return run
+
+
+def _combined(length: int, seed: int):
+    """Stretches with equal ones of a batch as one row; its ``members`` are the id, version and first start of each, in a row."""
+    stretches = _stretches(length, seed)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in stretches(batches):
+            groups = pa.Table.from_batches([batch]).group_by(["lead", "bytes"], use_threads=False)
+            for some in groups.aggregate([("id", "list"), ("version", "list"), ("first", "list")]).combine_chunks().to_batches():
+                lists = [some.column(f"{name}_list") for name in ("id", "version", "first")]
+                offsets = lists[0].offsets.to_numpy()
+                members = np.stack([column.flatten().to_numpy() for column in lists], axis=1).ravel()
+                members = pa.ListArray.from_arrays(pa.array(3 * (offsets - offsets[0]), pa.int32()), pa.array(members))
+                yield pa.RecordBatch.from_arrays([some.column("lead"), some.column("bytes"), members], ["lead", "bytes", "members"])
 
     return run
 
@@ -164,45 +260,50 @@ def first_documents(stretches: dict[Stretch, int], length: int = LENGTH, seed: i
 def _covered(length: int, seed: int):
     """What is to go, from the stretches of whole anchors, which follow each other."""
     def spans(rows: list[tuple]) -> Iterator[tuple]:
-        if len(rows) < 2:
-            return
         least: dict[Stretch, int] = {}
-        for _, id_, _, _, lead, bytes_ in rows:
-            if id_ < least.get((lead, bytes_), id_ + 1):
-                least[lead, bytes_] = id_
+        for lead, bytes_, members in rows:
+            least[lead, bytes_] = min(min(members)[0], least.get((lead, bytes_), 1 << 63))
         first = first_documents(least, length, seed)
-        for _, id_, version, start, lead, bytes_ in rows:
-            owners, at = first[lead, bytes_], 0
-            if owners[0] < id_ and max(owners) < id_:
-                yield id_, version, start, start + len(bytes_)
-                continue
-            while at < len(owners):
-                if owners[at] < id_:
-                    end = at
-                    while end + 1 < len(owners) and owners[end + 1] < id_:
-                        end += 1
-                    yield id_, version, start + at, start + end + length
-                    at = end
-                at += 1
+        for lead, bytes_, members in rows:
+            owners = first[lead, bytes_]
+            lowest, highest = min(owners), max(owners)
+            for id_, version, start in members:
+                if highest < id_:
+                    yield id_, version, start, start + len(bytes_)
+                elif lowest < id_:
+                    at = 0
+                    while at < len(owners):
+                        if owners[at] < id_:
+                            end = at
+                            while end + 1 < len(owners) and owners[end + 1] < id_:
+                                end += 1
+                            yield id_, version, start + at, start + end + length
+                            at = end
+                        at += 1
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        def table(rows: list[tuple]):
-            return pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in (zip(*rows) if rows else [[]] * 4)], ["id", "version", "start", "end"])
-
+        names = ["id", "version", "start", "end"]
         waiting: list[tuple] = []
         out: list[tuple] = []
+
+        def table():
+            return _numbers(names, list(zip(*out)) if out else [[]] * 4)
+
+        anchor = None
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                if waiting and waiting[0][0] != row[0]:
+            ends = batch.column(2).offsets.to_numpy()
+            members = list(map(tuple, batch.column(2).flatten().to_numpy().reshape(-1, 3).tolist()))
+            ends = ((ends - ends[0]) // 3).tolist()
+            for k, (lead, bytes_) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if bytes_[lead: lead + seed] != anchor:
                     out += spans(waiting)
-                    waiting = []
-                waiting.append(row)
-            if len(out) > 10_000:
-                yield table(out)
-                out = []
-        yield table(out + list(spans(waiting)))
+                    waiting, anchor = [], bytes_[lead: lead + seed]
+                waiting.append((lead, bytes_, members[ends[k]: ends[k + 1]]))
+                if len(out) > 10_000:
+                    yield table()
+                    out = []
+        out += spans(waiting)
+        yield table()
 
     return run
 
@@ -213,34 +314,48 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot:
     ``docs`` has ``id``, ``version`` and ``text``.
     """
     long_enough = docs.filter(F.col("id").isNotNull() & (F.octet_length("text") >= length))
-    held = write_and_read(long_enough.select("id", "text").mapInArrow(_anchor_rows(length, seed), "id long, anchor long, n long"), "anchors")
-    # One row per document and anchor, so a second row is a second document (or one more of the same id, which does no harm).
-    counted = held.groupBy("anchor").agg(F.count("*").alias("holders"), F.sum("n").alias("times")).filter("holders > 1")
-    counted = checked_broadcast(counted.select("anchor", "times"), "counted")
-    followed = write_and_read(held.select("id", "anchor").join(counted.select("anchor"), "anchor"), "followed")
-    very_common = checked_broadcast(counted.filter(F.col("times") > hot).select("anchor"), "very_common")
-    of_doc = followed.groupBy("id").agg(F.collect_set("anchor").alias("anchors"))  # bounded by the document
-    some = long_enough.join(checked_broadcast(followed.select("id").distinct(), "holders"), "id", "left_semi")
-    stretches = some.join(of_doc, "id").select("id", "version", "text", "anchors").mapInArrow(_stretches(length, seed), _STRETCH)
-    if very_common.isEmpty():
-        usual, common = stretches, None
-    else:
-        stretches = write_and_read(stretches, "stretches")
-        usual, common = stretches.join(very_common, "anchor", "left_anti"), stretches.join(very_common, "anchor", "left_semi")
-    together = usual.select("anchor", "id", "version", "first", "lead", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    texts = long_enough.select("id", "version", F.octet_length("text").cast("long").alias("end"), F.sha2("text", 256).alias("key"))
+    earliest = texts.groupBy("key").agg(F.min("id").alias("least"))
+    copies = write_and_read(texts.join(earliest, "key").filter("id > least").select("id", "version", "end").distinct(), "copies")
+    own = long_enough.join(copies, ["id", "version"], "left_anti")
+    held = own.select("id", "text").mapInArrow(_anchor_rows(length, seed), "id long, anchor long, n long")
+    judged = held.repartition(F.col("anchor"), F.when(F.col("n") == 0, F.col("id"))).sortWithinPartitions("anchor")
+    followed = write_and_read(judged.mapInArrow(_followed(hot), "id long, anchor long"), "followed")
+    very_common = write_and_read(followed.filter("id is null").select("anchor").distinct(), "very_common")
+    followed = followed.filter("id is not null")
+
+    def stretches(of: DataFrame) -> DataFrame:
+        of_doc = of.groupBy("id").agg(F.collect_set("anchor").alias("anchors"))  # bounded by the document
+        # A left join, which leaves the texts as they are: the final cut can share their shuffle.
+        return docs.join(of_doc, "id", "left").select("id", "version", "text", "anchors").mapInArrow(_combined(length, seed), _STRETCH)
+
+    usual = followed if very_common.isEmpty() else followed.join(very_common, "anchor", "left_anti")
+    anchor = F.substring(F.col("bytes"), F.col("lead") + 1, F.lit(seed))
+    together = stretches(usual).repartition(anchor).sortWithinPartitions(anchor)
     covered = together.mapInArrow(_covered(length, seed), "id long, version long, start long, end long")
-    return covered if common is None else covered.union(_covered_by_common(common, length))
+    covered = covered.union(copies.select("id", "version", F.lit(0).cast("long").alias("start"), "end"))
+    if very_common.isEmpty():
+        return covered
+    return covered.union(_covered_by_common(stretches(followed.join(very_common, "anchor", "left_semi")), length))
 
 
 def _covered_by_common(stretches: DataFrame, length: int) -> DataFrame:
     """The spans of stretches whose anchors are too common to meet: equal stretches as one, then equal strings as one."""
+    def members(make) -> Column:
+        return F.transform(F.sequence(F.lit(0), (F.size("members") / 3).cast("int") - 1), make)
+
+    def member(at: Column, k: int) -> Column:
+        return F.get("members", at * 3 + k)
+
     stretches = stretches.withColumn("key", F.sha2("bytes", 256))
-    single = stretches.groupBy("anchor", "lead", "key", "bytes").agg(F.min("id").alias("least"))
-    strings = single.select("anchor", "lead", "key", "least", F.posexplode(F.transform(
+    single = stretches.groupBy("key", "bytes").agg(F.min(F.array_min(members(lambda at: member(at, 0)))).alias("least"))
+    strings = single.select("key", "least", F.posexplode(F.transform(
         F.sequence(F.lit(1), F.octet_length("bytes") - (length - 1)), lambda at: F.substring("bytes", at, F.lit(length)))).alias("at", "string"))
     first = strings.groupBy("string").agg(F.min("least").alias("owner"))
-    owned = strings.join(first, "string").select("key", "lead", "anchor", "at", "owner")
-    return stretches.select("anchor", "lead", "key", "id", "version", "first").join(owned, ["anchor", "lead", "key"]).filter("owner < id").select(
+    owned = strings.join(first, "string").select("key", "at", "owner")
+    each = stretches.select("key", F.inline(members(
+        lambda at: F.struct(member(at, 0).alias("id"), member(at, 1).alias("version"), member(at, 2).alias("first")))))
+    return each.join(owned, "key").filter("owner < id").select(
         "id", "version", (F.col("first") + F.col("at")).alias("start"), (F.col("first") + F.col("at") + length).alias("end"))
 
 
@@ -294,7 +409,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cut may fall inside a character.
     """
     rows = slim(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).withColumn("version", F.pmod(F.xxhash64("text"), F.lit(1 << 31)))
-    spans = repeated_spans(rows, length, seed, hot).groupBy("id", "version").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = checked_broadcast(spans.withColumnsRenamed({"id": "of_id", "version": "of_version"}), "spans")
-    joined = rows.join(spans, (F.col("id") == F.col("of_id")) & (F.col("version") == F.col("of_version")), "left")
-    return joined.select("id", cut(F.col("text"), F.col("spans")).alias("__cut")).select("id", "__cut.*")
+    spans = repeated_spans(rows, length, seed, hot).groupBy("id").agg(F.collect_list(F.struct("version", "start", "end")).alias("spans"))
+    own = F.transform(F.filter("spans", lambda span: span["version"] == F.col("version")), lambda span: F.struct(span["start"], span["end"]))
+    return rows.join(spans, "id", "left").select("id", cut(F.col("text"), own).alias("__cut")).select("id", "__cut.*")

@@ -105,3 +105,44 @@ def test_awkward_rows(spark):
     assert by_id[1].n_bytes == by_id[2].n_bytes == 0 and by_id[8].n_removed == by_id[7].n_bytes and bytes(by_id[8].kept) == b"!"
     assert all(r.n_removed == 0 for r in got if r.id in (None, 6, 9))
     assert without_repeats(empty(spark)).count() == 0
+
+
+def test_anchors_of_texts_in_a_row_are_those_of_each():
+    source = random.Random(5)
+    texts = ["".join(source.choices("abcd é", k=source.choice([0, 10, 49, 50, 51, 300]))).encode() for _ in range(60)]
+    ends = np.cumsum([len(text) for text in texts])
+    together = list(zip(*(column.tolist() for column in anchors(np.frombuffer(b"".join(texts), np.uint8), ends=ends))))
+    alone = []
+    for text, end in zip(texts, ends.tolist()):
+        begin = end - len(text)
+        alone += [(h, a + begin, f + begin, e + begin) for h, a, f, e in zip(*(c.tolist() for c in anchors(np.frombuffer(text, np.uint8))))]
+    assert together == alone
+
+
+def test_anchors_are_followed_whatever_the_batches():
+    source = random.Random(8)
+    for _ in range(200):
+        parts = [[(source.randrange(6), source.randrange(8)) for _ in range(source.randrange(1, 12))] for _ in range(4)]
+        rows, holders, times = [], {}, {}
+        for part in parts:
+            for anchor in sorted({a for a, _ in part}):
+                docs = [d for a, d in part if a == anchor]
+                ids = list(dict.fromkeys(docs))
+                rows += [(ids[0], anchor, 2 * len(docs) + (len(ids) > 1))] + [(d, anchor, 0) for d in ids[1:]]
+                holders.setdefault(anchor, set()).update(docs)
+                times[anchor] = times.get(anchor, 0) + len(docs)
+        rows.sort(key=lambda row: row[1])
+        size = source.randrange(1, 9)
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k: k + size])], ["id", "anchor", "n"]) for k in range(0, len(rows), size)]
+        got = [(r["id"], r["anchor"]) for out in repeats._followed(6)(iter(batches)) for r in out.to_pylist()]
+        assert {row for row in got if row[0] is not None} == {(d, a) for a, docs in holders.items() if len(docs) > 1 for d in docs}
+        assert {a for d, a in got if d is None} == {a for a, n in times.items() if n > 6 and len(holders[a]) > 1}
+
+
+def test_whole_copies_and_repeated_ids(spark):
+    text = "a text that stands in several documents as it is, from its first to its last byte. " * 3
+    rows = [(4, text), (2, text), (9, text), (3, "before it " + text), (5, "short"), (6, "short")]
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in without_repeats(table(spark, rows)).collect()}
+    assert got == brute(rows)
+    again = without_repeats(table(spark, [(4, text), (4, text), (4, "other words, other words, other words, other words, other words"), (7, text)])).collect()
+    assert sorted((r.id, r.n_removed) for r in again) == [(4, 0), (4, 0), (4, 0), (7, len(text))]
