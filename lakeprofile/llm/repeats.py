@@ -260,6 +260,13 @@ def first_documents(stretches: dict[Stretch, int], length: int = LENGTH, seed: i
 def _covered(length: int, seed: int):
     """What is to go, from the stretches of whole anchors, which follow each other."""
     def spans(rows: list[tuple]) -> Iterator[tuple]:
+        if len(rows) == 1:
+            _, bytes_, members = rows[0]
+            earliest = min(members)[0]
+            for id_, version, start in members:
+                if earliest < id_:
+                    yield id_, version, start, start + len(bytes_)
+            return
         least: dict[Stretch, int] = {}
         for lead, bytes_, members in rows:
             least[lead, bytes_] = min(min(members)[0], least.get((lead, bytes_), 1 << 63))
@@ -324,19 +331,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot:
     very_common = write_and_read(followed.filter("id is null").select("anchor").distinct(), "very_common")
     followed = followed.filter("id is not null")
 
-    def stretches(of: DataFrame) -> DataFrame:
+    def stretches(of: DataFrame, how: str) -> DataFrame:
         of_doc = of.groupBy("id").agg(F.collect_set("anchor").alias("anchors"))  # bounded by the document
-        # A left join, which leaves the texts as they are: the final cut can share their shuffle.
-        return docs.join(of_doc, "id", "left").select("id", "version", "text", "anchors").mapInArrow(_combined(length, seed), _STRETCH)
+        return docs.join(of_doc, "id", how).select("id", "version", "text", "anchors").mapInArrow(_combined(length, seed), _STRETCH)
 
     usual = followed if very_common.isEmpty() else followed.join(very_common, "anchor", "left_anti")
     anchor = F.substring(F.col("bytes"), F.col("lead") + 1, F.lit(seed))
-    together = stretches(usual).repartition(anchor).sortWithinPartitions(anchor)
+    # A left join leaves the texts as they are: the final cut can share their shuffle.
+    together = stretches(usual, "left").repartition(anchor).sortWithinPartitions(anchor)
     covered = together.mapInArrow(_covered(length, seed), "id long, version long, start long, end long")
     covered = covered.union(copies.select("id", "version", F.lit(0).cast("long").alias("start"), "end"))
     if very_common.isEmpty():
         return covered
-    return covered.union(_covered_by_common(stretches(followed.join(very_common, "anchor", "left_semi")), length))
+    common = write_and_read(stretches(followed.join(very_common, "anchor", "left_semi"), "inner"), "common")
+    return covered.union(_covered_by_common(common, length))
 
 
 def _covered_by_common(stretches: DataFrame, length: int) -> DataFrame:
