@@ -74,11 +74,10 @@ def prune_hidden(listing: DataFrame) -> DataFrame:
     return listing.filter(~F.col("path").rlike("/\\.[^/]+/") & ~F.col("path").contains("/__pycache__/"))
 
 
-def changed_files(current: DataFrame, known: DataFrame) -> DataFrame:
-    """Entries whose path, time or size differs from the last profile: what has to be profiled again."""
-    return current.join(known.select("path", "modified", "size"), ["path", "modified", "size"], "left_anti").select(
-        *current.columns
-    )
+def changed_files(current: DataFrame, known: DataFrame, *more: str) -> DataFrame:
+    """Entries whose path, time or size, or one of ``more`` columns, differs from the last profile: what has to be profiled again."""
+    keys = ["path", "modified", "size", *more]
+    return current.join(known.select(*keys), keys, "left_anti").select(*current.columns)
 
 
 def upsert_profiles(known: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -97,3 +96,13 @@ def table_signatures(listing: DataFrame) -> DataFrame:
              F.coalesce(F.sum(F.when(in_log, F.col("size"))), F.lit(0)).alias("size"))
     )
     return loose.unionByName(tables)
+
+
+def entry_signatures(listing: DataFrame) -> DataFrame:
+    """``path, modified, size, files, digest`` per entry: a loose file, or a table folder with all files below it.
+
+    The digest covers path, time and size of every file in any order, so that files that take each other's place are seen.
+    """
+    own = F.xxhash64("path", "modified", "size")
+    return listing.groupBy(F.coalesce("table_root", "path").alias("path")).agg(
+        F.max("modified").alias("modified"), F.sum("size").alias("size"), F.count("*").alias("files"), F.bit_xor(own).alias("digest"))

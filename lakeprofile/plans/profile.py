@@ -312,15 +312,20 @@ def _finish(typed: DataFrame, found: DataFrame, entries: DataFrame) -> DataFrame
     )
 
 
-def profile_location(spark: SparkSession, location: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Profiles of everything at a location, hidden files included; an empty location gives one error row."""
+def location_listing(spark: SparkSession, location: str) -> DataFrame:
+    """Everything at a location, hidden files included; an empty location gives one error row."""
     listing = list_location(spark, location)
     if listing.isEmpty():
         listing = spark.createDataFrame(
             [(location, location, "error", None, None, None, None, "No files found at the specified location")],
             listing.schema,
         )
-    return profile_listing(listing, chunk_bytes)
+    return listing
+
+
+def profile_location(spark: SparkSession, location: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Profiles of everything at a location, hidden files included; an empty location gives one error row."""
+    return profile_listing(location_listing(spark, location), chunk_bytes)
 
 
 def profile_folder(spark: SparkSession, folder: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeprofile.functions.paths import base_name
-from lakeprofile.plans import profile as profile_plan
+from lakeprofile.plans import profile as profile_plan, store
 from lakeprofile.plans.preview import preview
 from lakeprofile.session import write_and_read
 from lakeprofile.sources import tables
 from lakeprofile.sources.inventory import inventory, list_location
 from lakeprofile.sources.parquet import footers
 from queries.fixtures import once, table
-from queries.writers import write_vectors
+from queries.writers import write_files, write_vectors
 
 SCHEMA_TEXT = (
     '{"type":"struct","fields":['
@@ -221,7 +221,50 @@ def iceberg_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.agg(F.count("*").alias("known_rows"))
 
 
+def refreshed_store(spark: SparkSession, sf_dir: str) -> str:
+    """A store after two runs over a lake: between them one folder's CSV files change, a Delta table gets a commit, a folder
+    of JSON lines goes, and a file of the same data appears elsewhere."""
+
+    def csv_bytes(frame) -> bytes:
+        return frame.to_csv(index=False).encode()
+
+    def write(path: str) -> None:
+        customer, lake = table(spark, sf_dir, "customer"), f"{path}/lake"
+        for turn in range(3):
+            write_files(customer.filter(F.col("c_custkey") % 3 == turn), f"{lake}/c{turn}", ".csv", csv_bytes)
+        orders, sales, log = table(spark, sf_dir, "orders"), f"{lake}/sales", f"{lake}/sales/_delta_log"
+        orders.filter("o_orderkey % 2 = 0").write.parquet(f"{sales}/even")
+        save_as(as_lines(meta_action(spark)).union(as_lines(add_actions(spark, sales, "even"))), log, f"{0:020}.json")
+        orders.select("o_orderkey").write.json(f"{lake}/gone")
+        store.refresh(spark, lake, f"{path}/store")
+        # The same names with one more column.
+        write_files(customer.filter("c_custkey % 3 = 1").withColumn("c_late", F.lit(1)), f"{lake}/c1", ".csv", csv_bytes)
+        orders.filter("o_orderkey % 2 = 1").write.parquet(f"{sales}/odd")
+        save_as(as_lines(add_actions(spark, sales, "odd")), log, f"{1:020}.json")
+        path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        file_system = path_of(lake).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        file_system.rename(path_of(f"{lake}/gone"), path_of(f"{path}/gone"))
+        store.refresh(spark, lake, f"{path}/store")
+
+    return once(spark, sf_dir, "refreshed", write)
+
+
+def profile_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and columns per folder in the second version of a store, and the version that profiled them; removed ones too."""
+    path = refreshed_store(spark, sf_dir) + "/store"
+    latest = store.stored_profiles(spark, path, 1).join(store.stored_changes(spark, path, 1), "path", "left")
+    folder = F.regexp_extract("path", "/lake/([^/]+)", 1).alias("folder")
+    is_data = F.col("name").rlike("[.]csv$") | (F.col("file_type") == "delta")
+    kept = latest.filter(is_data).groupBy(folder, F.coalesce("change", F.lit("kept")).alias("change")).agg(
+        F.sum("row_count").alias("rows"), F.max("column_count").alias("columns"))
+    # What has gone is read from the version before.
+    gone = store.stored_changes(spark, path, 1).filter("change = 'removed'").join(store.stored_profiles(spark, path, 0), "path")
+    return kept.unionByName(gone.filter("file_type = 'json'").groupBy(folder, "change").agg(
+        F.sum("row_count").alias("rows"), F.max("column_count").alias("columns")))
+
+
 QUERIES = {
+    "profile_refresh": profile_refresh,
     "delta_snapshot": delta_snapshot,
     "delta_scan": delta_scan,
     "delta_deletions": delta_deletions,
@@ -232,6 +275,12 @@ QUERIES = {
 _COLUMNS = "'o_orderkey:int64,o_custkey:int64,o_totalprice:decimal(12,2),o_tags:list'"
 _SNAPSHOT = "FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)"
 ORACLES = {
+    "profile_refresh": """
+        SELECT 'c' || c_custkey % 3 AS folder, CASE WHEN c_custkey % 3 = 1 THEN 'changed' ELSE 'kept' END AS change, count(*)::BIGINT AS rows,
+               CASE WHEN c_custkey % 3 = 1 THEN 6 ELSE 5 END::BIGINT AS columns
+        FROM customer GROUP BY c_custkey % 3
+        UNION ALL SELECT 'sales', 'changed', count(*), 4 FROM orders
+        UNION ALL SELECT 'gone', 'removed', count(*), 1 FROM orders""",
     "delta_snapshot": f"""
         SELECT 'plain' AS "table", count(*) AS row_count, 1::BIGINT AS version, 'orders' AS name, {_COLUMNS} AS columns {_SNAPSHOT}
         UNION ALL SELECT 'checkpointed', count(*), 11, 'orders', {_COLUMNS} {_SNAPSHOT}""",
