@@ -12,6 +12,7 @@ from lakeprofile.session import write_and_read
 from lakeprofile.sources import arrays, documents, orc, parquet, tables, workbook
 from lakeprofile.sources.chunks import CHUNK_BYTES, line_counts, record_counts
 from lakeprofile.sources.delimited import COLUMNS, HEAD_ROWS, csv_samples, whole_columns
+from lakeprofile.sources.dialects import with_dialects
 from lakeprofile.sources.encoding import whole_encodings
 from lakeprofile.sources.heads import sniffed
 from lakeprofile.sources.inventory import (
@@ -64,8 +65,8 @@ def _branch(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _csv(files: DataFrame, chunk_bytes: int) -> DataFrame:
-    # The head tells the dialect and the names; types, widths and gaps come from every record.
-    heads = write_and_read(csv_samples(files, HEAD_ROWS), "csv-heads")
+    # The head tells the dialect of short files and the names; the delimiter of others, types, widths and gaps come from every record.
+    heads = write_and_read(csv_samples(with_dialects(files, chunk_bytes), HEAD_ROWS), "csv-heads")
     readable = heads.filter("sample_error IS NULL")
     counts = record_counts(files.join(readable.select("path", "delimiter"), "path"), chunk_bytes).withColumnRenamed("error", "count_error")
     judged = write_and_read(

@@ -7,6 +7,7 @@ import io
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -69,13 +70,15 @@ def dialect_of(lines: list[str]) -> tuple[str | None, bool]:
         if fields > 1 and agreeing / len(lines) >= AGREEMENT:
             best = max(best or (0.0, 0, 0, ""), (agreeing / len(lines), fields, -rank, delimiter))
     delimiter = best[3] if best else None
-    rows = list(csv.reader(io.StringIO("\n".join(lines), newline=""), delimiter=delimiter or ",")) or [[]]
+    return delimiter, has_names(list(csv.reader(io.StringIO("\n".join(lines), newline=""), delimiter=delimiter or ",")) or [[]])
+
+
+def has_names(rows: list[list[str]]) -> bool:
+    """Whether the first of some records holds names: no cell of it is a number or empty, nor repeated above values of text."""
     first, rest = rows[0], [row for row in rows[1:] if len(row) == len(rows[0])]
     if any(not cell.strip() or _looks_typed(cell) for cell in first):
-        return delimiter, False
-    if len(set(first)) < len(first) and not any(_looks_typed(cell) for row in rest for cell in row):
-        return delimiter, False
-    return delimiter, True
+        return False
+    return len(set(first)) == len(first) or any(_looks_typed(cell) for row in rest for cell in row)
 
 
 def sniff_dialect(sample: str, path: str) -> tuple[str, bool]:
@@ -118,11 +121,17 @@ def distinct_names(header: list[str]) -> list[str]:
     return names
 
 
-def read_sample(storage: Storage, path: str, encoding: str | None, limit: int) -> tuple:
+def read_sample(storage: Storage, path: str, encoding: str | None, limit: int, told: str | None = None) -> tuple:
+    """Dialect and first records of a file. ``told`` is the delimiter all its records agree on, where that is known."""
     csv.field_size_limit(2**31 - 1)
     with open_text(storage, path, encoding) as text:
-        head = text.read(DIALECT_SAMPLE_CHARS)
-    delimiter, has_header = sniff_dialect(head.replace("\r\n", "\n").replace("\r", "\n"), path)
+        if told:
+            # Whole records however long they are, not a number of characters.
+            records = (record for record in csv.reader(text, delimiter=told) if record)
+            delimiter, has_header = told, has_names(list(islice(records, HEAD_ROWS)) or [[]])
+        else:
+            head = text.read(DIALECT_SAMPLE_CHARS)
+            delimiter, has_header = sniff_dialect(head.replace("\r\n", "\n").replace("\r", "\n"), path)
     raw_names, names, rows, bad = None, None, [], 0
     with open_text(storage, path, encoding) as text:
         for record in csv.reader(text, delimiter=delimiter):
@@ -145,20 +154,21 @@ def read_sample(storage: Storage, path: str, encoding: str | None, limit: int) -
 
 
 def csv_samples(files: DataFrame, limit: int = CSV_SAMPLE_ROWS) -> DataFrame:
-    """Dialect and first records of each file (``path``, ``encoding``); bad files give an error row."""
+    """Dialect and first records of each file (``path``, ``encoding``, and ``told`` where the delimiter is known); bad files give an error row."""
     names = [field.strip().split()[0] for field in SAMPLES.split(", ")]
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         storage = Storage()
         for batch in batches:
-            for path, encoding in batch[["path", "encoding"]].itertuples(index=False):
+            for path, encoding, told in batch[["path", "encoding", "told"]].itertuples(index=False):
                 try:
-                    row = read_sample(storage, path, encoding, limit)
+                    row = read_sample(storage, path, encoding, limit, told)
                 except Exception as problem:
                     row = (path, ",", False, None, None, None, 0, str(problem))
                 yield pd.DataFrame([row], columns=names)
 
-    return spread(files.select("path", "encoding"), "path").mapInPandas(sample, SAMPLES)
+    told = F.col("told") if "told" in files.columns else F.lit(None).cast("string").alias("told")
+    return spread(files.select("path", "encoding", told), "path").mapInPandas(sample, SAMPLES)
 
 
 def sampled_columns(names: Column, rows: Column, null_words: list[str] | None = None) -> Column:

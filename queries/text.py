@@ -9,7 +9,7 @@ from lakeprofile.operators.loading import top_rows
 from lakeprofile.plans import reading
 from lakeprofile.plans.preview import json_safe, preview as preview_file
 from lakeprofile.session import scratch_path, write_and_read
-from lakeprofile.sources import delimited
+from lakeprofile.sources import delimited, dialects
 from lakeprofile.sources.chunks import line_counts, record_counts
 from lakeprofile.sources.heads import file_heads, type_by_content
 from lakeprofile.sources.inventory import inventory
@@ -56,12 +56,45 @@ def csv_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in parts[1:]:
         files = files.unionByName(part)
     files = files.drop("delimiter", "has_header")
-    dialects = write_and_read(
-        delimited.csv_samples(files).select("path", "delimiter", "has_header").join(files, "path"), "dialects"
+    told = write_and_read(
+        delimited.csv_samples(dialects.with_dialects(files)).select("path", "delimiter", "has_header").join(files, "path"), "dialects"
     )
-    counts = record_counts(dialects).select("path", "records")
+    counts = record_counts(told).select("path", "records")
     rows = F.col("records") - F.when(F.col("has_header"), 1).otherwise(0)
-    return dialects.join(counts, "path").groupBy("kind", "delimiter", "has_header").agg(F.sum(rows).alias("rows"))
+    return told.join(counts, "path").groupBy("kind", "delimiter", "has_header").agg(F.sum(rows).alias("rows"))
+
+
+def misleading_heads(spark: SparkSession, sf_dir: str) -> str:
+    """Orders as delimited files whose first 4,096 characters speak for another delimiter: a long preamble of lists, and a first
+    record with one giant quoted field."""
+
+    def rendered(frame, sep: str) -> str:
+        return "".join(sep.join(map(str, row)) + "\n" for row in frame.itertuples(index=False))
+
+    def preamble(frame) -> bytes:
+        return (("a, b, c, d, " * 20 + "\n") * 40 + rendered(frame, ";")).encode()
+
+    def giant(frame) -> bytes:
+        return ('key|note|price\n1|"' + "x;y\n" * 3000 + '"|2.5\n' + rendered(frame.iloc[:, [0, 1, 3]], "|")).encode()
+
+    def write(path: str) -> None:
+        orders = table(spark, sf_dir, "orders").drop("o_orderdate")
+        write_files(orders, f"{path}/preamble", ".csv", preamble)
+        write_files(orders, f"{path}/giant", ".csv", giant)
+
+    return once(spark, sf_dir, "misleading-heads", write)
+
+
+def whole_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delimiters of files whose heads mislead, and how many of the orders' records agree on them."""
+    files = data_files(spark, misleading_heads(spark, sf_dir))
+    counts = dialects.field_counts(files, 1 << 20).join(dialects.whole_dialects(files, 1 << 20), "path").filter("delimiter = told")
+    best = counts.groupBy("path", "told").agg(F.max(F.struct("records", "fields")).alias("best"))
+    folder = F.regexp_extract("path", "/([^/]*)/[^/]*$", 1)
+    # The header and the long record of each file aren't orders.
+    more = F.when(folder == "giant", 2).otherwise(0)
+    return best.groupBy(folder.alias("folder"), F.col("told").alias("delimiter"), F.col("best.fields").alias("fields")).agg(
+        F.sum(F.col("best.records") - more).alias("records"))
 
 
 def csv_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,6 +257,7 @@ QUERIES = {
     "csv_scan": csv_scan,
     "csv_headerless": csv_headerless,
     "csv_dialect": csv_dialect,
+    "whole_dialect": whole_dialect,
     "csv_row_count": csv_row_count,
     "csv_quoted_row_count": csv_quoted_row_count,
     "csv_split": csv_split,
@@ -259,6 +293,9 @@ ORACLES = {
         UNION ALL SELECT 'semicolon', ';', true, count(*) FROM customer
         UNION ALL SELECT 'pipe', '|', true, count(*) FROM supplier
         UNION ALL SELECT 'tab', chr(9), true, count(*) FROM part""",
+    "whole_dialect": """
+        SELECT 'preamble' AS folder, ';' AS delimiter, 5::BIGINT AS fields, count(*) AS records FROM orders
+        UNION ALL SELECT 'giant', '|', 3, count(*) FROM orders""",
     "csv_row_count": "SELECT count(*) AS row_count FROM lineitem",
     "csv_quoted_row_count": """
         SELECT lang, count(*) AS row_count, max(contains(text, chr(10))) AS quoted_breaks FROM documents GROUP BY lang""",
