@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakeprofile.functions.lookup import as_column
@@ -129,6 +131,11 @@ def finite_or_null(number: Column | str) -> Column:
     return F.when(~F.isnan(number) & ~infinite, number)
 
 
+def json_brackets(root: str | None) -> tuple[str, str]:
+    """What opens and closes an array of rows, inside an object with one key if ``root`` is given."""
+    return ("[", "]") if root is None else ("{" + json.dumps(root, ensure_ascii=False) + ":[", "]}")
+
+
 def json_rows(df: DataFrame, order_by: str, root: str | None = None, include_nulls: bool = False) -> DataFrame:
     """A table as one JSON array, in pieces: concatenating ``fragment`` in the order of the key gives the document.
 
@@ -137,8 +144,7 @@ def json_rows(df: DataFrame, order_by: str, root: str | None = None, include_nul
     """
     ends = df.agg(F.min(order_by).alias("first_key"), F.max(order_by).alias("last_key"))
     key = F.col(order_by)
-    opening = "[" if root is None else '{"' + root.replace("\\", "\\\\").replace('"', '\\"') + '":['
-    closing = "]" if root is None else "]}"
+    opening, closing = json_brackets(root)
     body = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false" if include_nulls else "true"})
     return df.select(
         key,

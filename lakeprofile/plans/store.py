@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeprofile.operators.listing import changed_files, entry_signatures
 from lakeprofile.plans.profile import location_listing, profile_listing
-from lakeprofile.session import qualify, write_and_read
+from lakeprofile.session import qualify, rename_once, write_and_read
 from lakeprofile.sources.chunks import CHUNK_BYTES
 
 VERSION = "version bigint, location string, entries string, profiled bigint, kept bigint, removed bigint"
@@ -51,22 +51,16 @@ def _version(spark: SparkSession, store: str, version: int | None):
 
 def _publish(spark: SparkSession, store: str, version: dict) -> None:
     """Writes the version file under a name of its own and renames it; a number that is taken is a conflict."""
-    jvm = spark.sparkContext._jvm
     target = f"{store}/versions/{version['version']:020}.json"
     file_system, draft = _file_system(spark, f"{store}/versions/.draft-{uuid.uuid4().hex}")
     out = file_system.create(draft)
     out.write(bytearray(json.dumps(version).encode()))
     out.close()
-    # The rename of a file context doesn't replace what is there, and on HDFS and local disks it is one step.
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
     try:
-        context.rename(draft, jvm.org.apache.hadoop.fs.Path(target), options)
-    except Exception as problem:
+        rename_once(spark, draft.toString(), target)
+    except FileExistsError as problem:
         file_system.delete(draft, False)
-        if file_system.exists(jvm.org.apache.hadoop.fs.Path(target)):
-            raise StoreConflict(target) from problem
-        raise
+        raise StoreConflict(target) from problem
 
 
 def refresh(spark: SparkSession, location: str, store: str, retry_failed: bool = False, chunk_bytes: int = CHUNK_BYTES) -> int:

@@ -59,6 +59,21 @@ def qualify(spark: SparkSession, path: str) -> str:
     return full
 
 
+def rename_once(spark: SparkSession, source: str, target: str) -> None:
+    """Moves a file to a name that is free; ``FileExistsError`` if it isn't. One step on HDFS and local disks."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source_path, target_path = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    # The rename of a file context doesn't replace what is there.
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source_path.getFileSystem(conf).getUri(), conf)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(source_path, target_path, options)
+    except Exception as problem:
+        if target_path.getFileSystem(conf).exists(target_path):
+            raise FileExistsError(target) from problem
+        raise
+
+
 def literal_glob(path: str) -> str:
     """``path`` for a reader of Spark, which would take some characters of it for a pattern."""
     return re.sub(r"([\\*?{}\[\]])", r"\\\1", path)

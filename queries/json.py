@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from lakeprofile.functions import jsonfn
 from lakeprofile.operators import json_columns
+from lakeprofile.operators.export import export_document
 from lakeprofile.operators.loading import load_into_existing
 from lakeprofile.plans import reading
 from lakeprofile.session import scratch_path, write_and_read
@@ -182,6 +183,19 @@ def json_array_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
         "several", F.lit(several))
 
 
+def json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as one document by many tasks, sorted by price, and read back in byte ranges; whether they kept their order."""
+    path = once(spark, sf_dir, "orders-document", lambda where: export_document(
+        table(spark, sf_dir, "orders").drop("o_orderdate").repartition(8), f"{where}/orders.json", F.desc("o_totalprice"), "o_orderkey"))
+    elements = array_elements(inventory(spark, path), chunk_bytes=1 << 16)
+    rows = elements.select("chunk", "number", F.inline(F.array(F.from_json(
+        "text", "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"))))
+    # Ranges follow each other where the cheapest of one is no cheaper than the dearest of the next.
+    ranges = rows.groupBy("chunk").agg(F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+    falls = ranges.select((F.coalesce(F.lag("low").over(Window.orderBy("chunk")), F.col("high")) >= F.col("high")).alias("falls"))
+    return rows.drop("chunk", "number").withColumn("in_order", falls.agg(F.bool_and("falls")).scalar())
+
+
 def json_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements over all array documents."""
     documents = spark.read.text(events_arrays(spark, sf_dir))
@@ -282,6 +296,7 @@ QUERIES = {
     "json_array_scan": json_array_scan,
     "json_array_ranges": json_array_ranges,
     "json_row_count": json_row_count,
+    "json_document": json_document,
     "ndjson_scan": ndjson_scan,
     "ndjson_counts": ndjson_counts,
     "json_keys": json_keys,
@@ -372,6 +387,7 @@ ORACLES = {
     "clob_openjson": _EVENT_ROWS,
     "json_array_scan": _EVENT_ROWS,
     "json_array_ranges": "SELECT event_id, user_id, event_type, props, true AS several FROM events",
+    "json_document": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, true AS in_order FROM orders",
     "json_row_count": "SELECT count(*) AS rows FROM events",
     "ndjson_scan": _EVENT_ROWS + " WHERE event_id % 7 <> 0",
     "ndjson_counts": """
