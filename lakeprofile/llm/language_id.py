@@ -21,7 +21,6 @@ from lakeprofile.llm.common import slim
 
 PER_LANGUAGE = 4000
 WORDS_PER_LANGUAGE = 20_000
-LANGUAGES = 500
 LONGEST = 4
 SMOOTHING = 0.5
 UNDETERMINED = "und"
@@ -85,10 +84,12 @@ def learn_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "la
                     per_language: int = PER_LANGUAGE, words_per_language: int = WORDS_PER_LANGUAGE) -> LanguageModel:
     """A model from the rows of ``docs`` with a language and a text.
 
-    At most ``LANGUAGES`` languages, the most frequent, are learned. Without such rows the model knows no language.
+    Every language is learned that a row names, but for ``und``, which is no language; what the driver collects, and the model,
+    grow with the number of languages and not with the rows. Rows that repeat an id are drawn or left out together and count
+    each. Without such rows, as with an empty table, the model knows no language.
     """
     rows = slim(docs, id=id_col, text=text_col, lang=lang_col).filter("lang is not null and text is not null and lang <> 'und'")
-    sizes = {row.lang: row.n for row in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {row.lang: row.n for row in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return model_of({})

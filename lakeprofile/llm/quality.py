@@ -4,7 +4,7 @@ Features describe the whole text: kinds of characters, lengths and repetition of
 kind. A small network is trained to minimise the non-negative unbiased risk of positive-unlabelled learning: good texts count
 with the class prior, unlabelled ones as not good, less what the good ones among them contribute; where that difference falls
 below zero the step goes back instead, so that the network can't learn the unlabelled texts by heart. The prior is estimated
-from the labelled rows. Training uses bounded samples (``POSITIVES`` and ``UNLABELLED`` rows, drawn by a hash of the id).
+from good and unlabelled texts alone (see ``estimated_prior``). Training uses bounded samples (``POSITIVES`` and ``UNLABELLED`` rows, drawn by a hash of the id).
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ EPOCHS = 60
 _BATCH = 512
 _RATE = 0.005
 _SEED = 3
+_NEWTON = 12
+_RIDGE = 1e-4
 _SIGNS = np.frombuffer(b"!#$%&*|-_<>{}[]=/@\"'():;?+^~.,", np.uint8)
 
 
@@ -139,6 +141,45 @@ class Network:
                     weight -= _RATE * (one / (1 - 0.9**steps)) / (np.sqrt(two / (1 - 0.999**steps)) + 1e-8)
 
 
+def _discriminator(good: np.ndarray, unlabelled: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression, its offset last, that tells good texts from unlabelled ones, both sides of equal weight."""
+    rows = np.concatenate([good, unlabelled])
+    rows = np.concatenate([rows, np.ones((len(rows), 1))], axis=1)
+    wanted = np.concatenate([np.ones(len(good)), np.zeros(len(unlabelled))])
+    share = np.concatenate([np.full(len(good), 0.5 / len(good)), np.full(len(unlabelled), 0.5 / len(unlabelled))])
+    weights = np.zeros(rows.shape[1])
+    for _ in range(_NEWTON):
+        guess = 1 / (1 + np.exp(-np.clip(rows @ weights, -30, 30)))
+        slope = rows.T @ (share * (guess - wanted)) + _RIDGE * weights
+        curve = (rows * (share * guess * (1 - guess))[:, None]).T @ rows + _RIDGE * np.eye(len(weights))
+        weights -= np.linalg.solve(curve, slope)
+    return weights
+
+
+def estimated_prior(good: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of good texts among unlabelled ones, from features of both and no other labels.
+
+    Any region holds at least the prior times as much of the unlabelled texts as of the good ones; a region without bad texts
+    holds just that. Regions are what a discriminator scores above a threshold; it is fitted on one half of the texts and
+    counted on the other, both ways. The least ratio counts, of regions with half of the good texts at least, so that both shares
+    are known well.
+    """
+    both = np.concatenate([good, unlabelled])
+    mean, spread = both.mean(0), both.std(0) + 1e-3
+    sides = [np.clip((rows - mean) / spread, -8, 8) for rows in (good, unlabelled)]
+    estimates = []
+    for half in (0, 1):
+        fitted, counted = ([rows[(half + k) % 2:: 2] for rows in sides] for k in (0, 1))
+        if not all(map(len, (*fitted, *counted))):
+            continue
+        weights = _discriminator(*fitted)
+        scores = [np.sort(rows @ weights[:-1]) for rows in counted]
+        thresholds = np.quantile(scores[0], np.linspace(0, 0.5, 51))
+        of_good, of_all = (1 - np.searchsorted(column, thresholds) / len(column) for column in scores)
+        estimates.append(np.min(of_all / of_good))
+    return float(np.clip(np.mean(estimates), 0.01, 0.99)) if estimates else 0.5
+
+
 def held_out(id_column: Column) -> Column:
     """Whether the crc32 of the id as text leaves 1 when divided by 3; true for null ids, from which nothing is learned."""
     return F.coalesce(F.crc32(id_column.cast("string")) % 3 == 1, F.lit(True))
@@ -161,7 +202,6 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         F.when(F.col("label").isNull(), -1).otherwise((F.col("label") == 1).cast("int")).alias("label")).agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(-1):
         return None
-    prior = min(0.99, sizes[1] / (sizes[1] + sizes.get(0, 0)))
     scale = 1 << 30
     limit = F.when(F.col("label") == 1, int(min(1.0, positives / sizes[1]) * scale)).when(
         F.col("label").isNull(), int(min(1.0, unlabelled / sizes[-1]) * scale)).otherwise(0)
@@ -177,7 +217,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     if not good.any() or good.all():
         return None
     network = Network(table.shape[1])
-    network.train(table[good], table[~good], prior)
+    network.train(table[good], table[~good], estimated_prior(table[good], table[~good]))
     return network
 
 

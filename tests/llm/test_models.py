@@ -13,9 +13,9 @@ sys.path.insert(0, os.path.dirname(__file__))
 from helpers import awkward, empty, table  # noqa: E402
 
 from lakeprofile.llm import queries  # noqa: E402
-from lakeprofile.llm.language_id import drop_undetermined, model_of, with_language  # noqa: E402
+from lakeprofile.llm.language_id import drop_undetermined, learn_languages, model_of, with_language  # noqa: E402
 from lakeprofile.llm.nearest import hadamard, nearest_neighbours, rotated  # noqa: E402
-from lakeprofile.llm.quality import Network, features, with_quality  # noqa: E402
+from lakeprofile.llm.quality import Network, estimated_prior, features, with_quality  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -74,6 +74,22 @@ def test_positive_unlabelled_risk_finds_the_bad_among_the_unlabelled():
     assert (network.score(good) >= 0.5).mean() > 0.9 and (network.score(bad[200:]) < 0.5).mean() > 0.9
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_the_prior_comes_from_good_and_unlabelled_texts(share):
+    source = np.random.default_rng(5)
+    drawn = lambda n, at: source.normal(at, 1, (n, 3))
+    unlabelled = np.concatenate([drawn(int(8000 * share), 2), drawn(int(8000 * (1 - share)), -2)])
+    source.shuffle(unlabelled)
+    assert abs(estimated_prior(drawn(4000, 2), unlabelled) - share) < 0.03
+    assert estimated_prior(drawn(1, 2), unlabelled) == 0.5
+
+
+def test_every_language_is_learned(spark):
+    names = [f"l{n:03}" for n in range(520)]
+    docs = spark.createDataFrame([(n, f"wort{name} {name}", name) for n, name in enumerate(names)], "doc_id long, text string, lang string")
+    assert learn_languages(docs).languages == names
+
+
 def test_quality_of_awkward_rows(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(4, 1), (7, 1), (8, 0), (9, None), (None, 1), (4, 0), (77, 1)], "doc_id long, quality int")
