@@ -10,9 +10,10 @@ Every byte goes that is covered by a string of ``LENGTH`` bytes which also start
    the others, and the rest is spread by document, so that an anchor which very many documents hold is no single task's work.
 3. Around each such anchor the stretch of bytes is cut out that its strings cover. Equal stretches of a task become one row
    before the shuffle. The stretches of one anchor meet in one place. Their suffix array, built by grouping (see ``suffixes``),
-   brings equal strings together; the smallest id among them is where they start first.
-4. Anchors with more than ``HOT`` stretches, however few documents hold them, don't meet in one place: there equal stretches are
-   combined once more, and then the strings themselves are grouped.
+   brings equal strings together; the smallest id among them is where they start first. As every string holds its anchor
+   whole, the anchor is one symbol there.
+4. Anchors with more than ``HOT`` stretches, however few documents hold them, don't meet in one place: the same shuffle deals
+   theirs by their bytes, equal stretches are combined once more, and then the strings themselves are grouped.
 5. What is covered is merged per document and cut. Texts are shuffled once, by id; both uses of them share that.
 """
 
@@ -73,14 +74,14 @@ def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts) if texts else np.empty(0, np.uint8), np.cumsum([len(text) for text in texts])
 
 
-def _slices(batch, column: int) -> Iterator:
-    """Parts of a batch whose texts hold a few megabytes, or one text; of 1024 rows at most."""
+def _slices(batch, column: int, most: int = 1 << 22) -> Iterator:
+    """Parts of a batch whose texts hold ``most`` bytes at most, or one text; of 1024 rows at most."""
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start = held = 0
     for row, size in enumerate(sizes.tolist()):
-        if row > start and (held + size > 1 << 22 or row - start == 1024):
+        if row > start and (held + size > most or row - start == 1024):
             yield batch.slice(start, row - start)
             start, held = row, 0
         held += size
@@ -102,7 +103,7 @@ def _anchor_rows(length: int, seed: int):
     """
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            for part in _slices(batch, 1):
+            for part in _slices(batch, 1, 1 << 20):  # few rows at once, as tasks that sort follow in the same processes
                 data, ends = _joined(byte_views(part.column(1)))
                 hashes, at, _, _ = anchors(data, length, seed, ends)
                 if not len(hashes):
@@ -154,11 +155,14 @@ def _followed(hot: int):
     return run
 
 
-_STRETCH = "lead int, bytes binary, members array<long>"
+_STRETCH = "lead int, bytes binary, common boolean, members array<long>"
 
 
 def _stretches(length: int, seed: int):
-    """The stretches of a document's followed anchors. ``lead`` is how far the anchor stands behind the first start."""
+    """The stretches of a document's followed anchors. ``lead`` is how far the anchor stands behind the first start.
+
+    ``common`` tells the anchors that a fifth column of the input lists.
+    """
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -168,6 +172,7 @@ def _stretches(length: int, seed: int):
                 hashes, at, first, last = anchors(data, length, seed, ends)
                 # An anchor that one document of the part wants is wanted by all that hold it.
                 followed = np.flatnonzero(np.isin(hashes.view(np.int64), np.unique(part.column(3).flatten().to_numpy(zero_copy_only=False))))
+                common = np.unique(part.column(4).flatten().to_numpy(zero_copy_only=False)) if part.num_columns > 4 else np.empty(0, np.int64)
                 ids, versions = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                 begins = np.concatenate([[0], ends[:-1]])
                 for some in (followed[k: k + _ROWS] for k in range(0, len(followed), _ROWS)):
@@ -179,7 +184,8 @@ def _stretches(length: int, seed: int):
                         pa.array(hashes[some].view(np.int64)), pa.array(ids[doc], pa.int64()), pa.array(versions[doc], pa.int64()),
                         pa.array(start - begins[doc], pa.int64()), pa.array(at[some] - start, pa.int32()),
                         pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(bytes_)]),
-                    ], ["anchor", "id", "version", "first", "lead", "bytes"])
+                        pa.array(np.isin(hashes[some].view(np.int64), common)),
+                    ], ["anchor", "id", "version", "first", "lead", "bytes", "common"])
 
     return run
 
@@ -192,13 +198,14 @@ def _combined(length: int, seed: int):
         import pyarrow as pa
 
         for batch in stretches(batches):
-            groups = pa.Table.from_batches([batch]).group_by(["lead", "bytes"], use_threads=False)
+            groups = pa.Table.from_batches([batch]).group_by(["lead", "bytes", "common"], use_threads=False)
             for some in groups.aggregate([("id", "list"), ("version", "list"), ("first", "list")]).combine_chunks().to_batches():
                 lists = [some.column(f"{name}_list") for name in ("id", "version", "first")]
                 offsets = lists[0].offsets.to_numpy()
                 members = np.stack([column.flatten().to_numpy() for column in lists], axis=1).ravel()
                 members = pa.ListArray.from_arrays(pa.array(3 * (offsets - offsets[0]), pa.int32()), pa.array(members))
-                yield pa.RecordBatch.from_arrays([some.column("lead"), some.column("bytes"), members], ["lead", "bytes", "members"])
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("lead"), some.column("bytes"), some.column("common"), members], ["lead", "bytes", "common", "members"])
 
     return run
 
@@ -206,59 +213,77 @@ def _combined(length: int, seed: int):
 Stretch = tuple[int, bytes]  # where the anchor stands in it, and its bytes
 
 
-def _alike(stretches: Iterable[Stretch], length: int, seed: int) -> list[Stretch]:
-    """The stretches that may share a string with another one.
+def _alike(stretches: Iterable[Stretch], length: int, seed: int) -> list[tuple[Stretch, int, int]]:
+    """The stretches that may share a string with another one, and between which bytes of them such strings lie.
 
     A string around the anchor holds half of its other bytes on one side at least, so the anchor with that much on its left,
-    or on its right, must occur in two stretches.
+    or on its right, must occur in two stretches. Where one side does not, the strings hold less than that of it.
     """
     half = (length - seed) // 2
     sides = {}
     for lead, bytes_ in stretches:
         left = bytes_[lead - half: lead + seed] if lead >= half else None
         right = bytes_[lead: lead + seed + half] if len(bytes_) >= lead + seed + half else None
-        sides[lead, bytes_] = ("left", left), ("right", right)
-    times = Counter(side for both in sides.values() for side in both if side[1] is not None)
-    return [stretch for stretch, both in sides.items() if any(times[side] > 1 for side in both)]
+        sides[lead, bytes_] = left, right
+    lefts, rights = (Counter(column) for column in zip(*sides.values()))
+    lefts[None] = rights[None] = 0
+    found = []
+    for stretch, (left, right) in sides.items():
+        both = lefts[left] > 1, rights[right] > 1
+        if any(both):
+            lead, bytes_ = stretch
+            low = 0 if both[0] else max(0, lead - half + 1)
+            high = len(bytes_) if both[1] else min(len(bytes_), lead + seed + half - 1)
+            if high - low >= length:
+                found.append((stretch, low, high))
+    return found
 
 
 def first_documents(stretches: dict[Stretch, int], length: int = LENGTH, seed: int = SEED) -> dict[Stretch, list[int]]:
     """For each stretch, given with the smallest id that holds it, the smallest id of each of its strings of ``length`` bytes.
 
-    Stretches that may share a string are joined and their suffix array is built. Suffixes that share ``length`` bytes stand
-    together in it.
+    Stretches that may share a string are joined and their suffix array is built, with the anchor, which every string holds
+    whole, as one symbol. Suffixes that share a string's symbols stand together in it.
     """
     out = {stretch: [id_] * (len(stretch[1]) - length + 1) for stretch, id_ in stretches.items()}
     alike = _alike(stretches, length, seed) if len(stretches) > 1 else []
     if len(alike) < 2:
         return out
-    owner, inside = [], []
-    for stretch in alike:
-        owner += [stretch] * (len(stretch[1]) + 1)
-        inside += range(len(stretch[1]) + 1)
-    text = b"\x00".join(bytes_ for _, bytes_ in alike) + b"\x00"
+    symbols = length - seed + 1  # of a string
+    texts, owned = [], []  # the smallest id of each string so far, by where it starts in the joined text
+    for (lead, bytes_), low, high in alike:
+        texts.append(f"{bytes_[low:lead].decode('latin-1')}\u0100{bytes_[lead + seed: high].decode('latin-1')}")
+        owned += out[lead, bytes_][low: high - length + 1]
+        owned += [None] * symbols
+    text = "\x00".join(texts) + "\x00"
     class_: list[int] = []
     shared = None
 
     def settle() -> None:
         if len(class_) > 1:
-            least = min(out[owner[i]][inside[i]] for i in class_)
+            least = min(map(owned.__getitem__, class_))
             for i in class_:
-                out[owner[i]][inside[i]] = least
+                owned[i] = least
 
     for i in suffix_array(text):
-        if inside[i] < len(out[owner[i]]):  # a whole string of this stretch starts here
-            string = text[i: i + length]
-            if string != shared:
+        if owned[i] is not None:  # a whole string starts here
+            string = text[i: i + symbols]
+            if string == shared:
+                class_.append(i)
+            else:
                 settle()
-                class_, shared = [], string
-            class_.append(i)
+                class_, shared = [i], string
     settle()
+    start = 0
+    for stretch, low, high in alike:
+        number = high - low - length + 1
+        out[stretch][low: low + number] = owned[start: start + number]
+        start += number + symbols
     return out
 
 
 def _covered(length: int, seed: int):
-    """What is to go, from the stretches of whole anchors, which follow each other."""
+    """What is to go, from the stretches of whole anchors, which follow each other. Those of very common ones are left out."""
     def spans(rows: list[tuple]) -> Iterator[tuple]:
         if len(rows) == 1:
             _, bytes_, members = rows[0]
@@ -289,6 +314,8 @@ def _covered(length: int, seed: int):
                         at += 1
 
     def run(batches: Iterator) -> Iterator:
+        import pyarrow.compute as pc
+
         names = ["id", "version", "start", "end"]
         waiting: list[tuple] = []
         out: list[tuple] = []
@@ -298,8 +325,10 @@ def _covered(length: int, seed: int):
 
         anchor = None
         for batch in batches:
-            ends = batch.column(2).offsets.to_numpy()
-            members = list(map(tuple, batch.column(2).flatten().to_numpy().reshape(-1, 3).tolist()))
+            if batch.column(2).true_count:
+                batch = batch.filter(pc.invert(batch.column(2)))
+            ends = batch.column(3).offsets.to_numpy()
+            members = list(map(tuple, batch.column(3).flatten().to_numpy().reshape(-1, 3).tolist()))
             ends = ((ends - ends[0]) // 3).tolist()
             for k, (lead, bytes_) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 if bytes_[lead: lead + seed] != anchor:
@@ -331,19 +360,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot:
     very_common = write_and_read(followed.filter("id is null").select("anchor").distinct(), "very_common")
     followed = followed.filter("id is not null")
 
-    def stretches(of: DataFrame, how: str) -> DataFrame:
-        of_doc = of.groupBy("id").agg(F.collect_set("anchor").alias("anchors"))  # bounded by the document
-        return docs.join(of_doc, "id", how).select("id", "version", "text", "anchors").mapInArrow(_combined(length, seed), _STRETCH)
-
-    usual = followed if very_common.isEmpty() else followed.join(very_common, "anchor", "left_anti")
-    anchor = F.substring(F.col("bytes"), F.col("lead") + 1, F.lit(seed))
+    none = very_common.isEmpty()
+    if not none:
+        followed = followed.join(very_common.withColumn("common", F.col("anchor")), "anchor", "left")
+    common = F.array().cast("array<long>") if none else F.collect_set("common")
+    of_doc = followed.groupBy("id").agg(F.collect_set("anchor").alias("anchors"), common.alias("common"))  # bounded by the document
     # A left join leaves the texts as they are: the final cut can share their shuffle.
-    together = stretches(usual, "left").repartition(anchor).sortWithinPartitions(anchor)
-    covered = together.mapInArrow(_covered(length, seed), "id long, version long, start long, end long")
+    stretches = docs.join(of_doc, "id", "left").select("id", "version", "text", "anchors", "common").mapInArrow(_combined(length, seed), _STRETCH)
+    anchor = F.substring(F.col("bytes"), F.col("lead") + 1, F.lit(seed))
+    dealt = stretches.repartition(anchor, F.when(F.col("common"), F.col("bytes")))
+    covered = dealt.sortWithinPartitions(anchor).mapInArrow(_covered(length, seed), "id long, version long, start long, end long")
     covered = covered.union(copies.select("id", "version", F.lit(0).cast("long").alias("start"), "end"))
-    if very_common.isEmpty():
+    if none:
         return covered
-    common = write_and_read(stretches(followed.join(very_common, "anchor", "left_semi"), "inner"), "common")
+    # All readers share one shuffle, as Spark moves no filter before it that isn't deterministic, and this one needs every column.
+    common = dealt.filter(F.when(F.spark_partition_id() >= 0, F.col("common") & (F.size("members") > 0))).select("bytes", "members")
     return covered.union(_covered_by_common(common, length))
 
 

@@ -13,8 +13,8 @@ from __future__ import annotations
 from collections import Counter
 
 
-def suffix_array(text: bytes) -> list[int]:
-    """The starts of the suffixes of ``text`` in ascending order; an end of the text sorts before every byte."""
+def suffix_array(text: bytes | str) -> list[int]:
+    """The starts of the suffixes of ``text`` in ascending order; an end of the text sorts before every symbol."""
     n = len(text)
     order = sorted(range(n), key=text.__getitem__)
     where, group, size = [0] * n, [0] * n, [0] * n  # place of a suffix, first place of its group, length of the group there

@@ -146,3 +146,52 @@ def test_whole_copies_and_repeated_ids(spark):
     assert got == brute(rows)
     again = without_repeats(table(spark, [(4, text), (4, text), (4, "other words, other words, other words, other words, other words"), (7, text)])).collect()
     assert sorted((r.id, r.n_removed) for r in again) == [(4, 0), (4, 0), (4, 0), (7, len(text))]
+
+
+def test_suffix_array_of_symbols_beyond_bytes():
+    source = random.Random(2)
+    for _ in range(200):
+        text = "".join(source.choices("ab\x00Ā", k=source.randrange(60)))
+        assert suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def test_strings_of_stretches_and_what_is_sorted_of_them(monkeypatch):
+    sorted_ = []
+    by_suffixes = repeats.suffix_array
+    monkeypatch.setattr(repeats, "suffix_array", lambda text: sorted_.append(len(text)) or by_suffixes(text))
+    source = random.Random(6)
+    for length, seed in ((50, 26), (13, 6), (12, 11)):
+        for _ in range(60):
+            anchor, stretches = bytes(source.choices(range(256), k=seed)), {}
+            for _ in range(source.randrange(1, 9)):
+                lead, behind = source.randrange(length - seed + 1), source.randrange(length - seed + 1)
+                behind = max(behind, length - seed - lead)
+                side = lambda n: bytes(source.choices(b"\x00aa\xff", (1, 20, 20, 1), k=n))
+                whole = b"a" * 30 if source.random() < 0.7 else side(30)
+                stretches[lead, (whole + side(3))[-lead:] * (lead > 0) + anchor + (side(1) + whole)[:behind]] = source.randrange(-4, 50)
+            least = {}
+            for (_, bytes_), id_ in stretches.items():
+                for at in range(len(bytes_) - length + 1):
+                    least[bytes_[at: at + length]] = min(id_, least.get(bytes_[at: at + length], id_))
+            sorted_.clear()
+            got = repeats.first_documents(stretches, length, seed)
+            assert got == {s: [least[s[1][at: at + length]] for at in range(len(s[1]) - length + 1)] for s in stretches}
+            # The anchor is one symbol, and one more ends each stretch.
+            assert sum(sorted_) <= sum(len(bytes_) - seed + 2 for _, bytes_ in stretches)
+
+
+def test_texts_are_shuffled_once_whatever_is_very_common(spark, tmp_path):
+    line = "2026-12-01 12:00:00 INFO the same header line of a long log file stands here again\n"
+    rows = [(doc, "".join(f"{line}{doc * 1000 + i}\n" for i in range(200))) for doc in (7, 3, 5)]
+    written = []
+    keep = repeats.write_and_read
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(repeats, "write_and_read", lambda df, label: written.append(label) or keep(df, label))
+        found = without_repeats(table(spark, rows), hot=100)
+    assert written == ["copies", "followed", "very_common"]
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found.collect()}
+    assert got == brute(rows)
+    # Every reader of the stretches has the same shuffle before it, so that Spark makes one of them.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("REPARTITION_BY_COL") > 1 and final.count("MapInArrow") == 2 and "ReusedExchange" in final
