@@ -9,7 +9,7 @@ text; the posterior over the languages is the score.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,18 +47,21 @@ class LogTable:
 class LanguageModel:
     languages: list[str]
     words: LogTable
-    grams: list[LogTable]  # of one character, two, ...
-
-    def unseen(self, word: str) -> np.ndarray:
+    grams: list[LogTable]  # of one character, two, ...; all have the rows ``gram_rows``
+    gram_rows: np.ndarray  # the last one, of zeros, stands for what no language knows
+
+    def longest(self, rest: str) -> int:
+        """The row of the longest known n-gram that ``rest`` starts with."""
+        for length in range(min(len(self.grams), len(rest)), 0, -1):
+            row = self.grams[length - 1].at.get(rest[:length])
+            if row is not None:
+                return row
+        return len(self.gram_rows) - 1
+
+    def unseen(self, word: str, longest: Callable[[str], int] | None = None) -> np.ndarray:
         """The score of a word that no language knows."""
-        marked, total = f"<{word}>", np.zeros(len(self.languages))
-        for at in range(len(marked)):
-            for length in range(min(len(self.grams), len(marked) - at), 0, -1):
-                row = self.grams[length - 1].get(marked[at: at + length])
-                if row is not None:
-                    total += row
-                    break
-        return total
+        marked, longest = f"<{word}>", longest or self.longest
+        return self.gram_rows[[longest(marked[at: at + LONGEST]) for at in range(len(marked))]].sum(axis=0, dtype=float)
 
 
 def model_of(words: dict[str, Counter]) -> LanguageModel:
@@ -72,7 +75,12 @@ def model_of(words: dict[str, Counter]) -> LanguageModel:
                 for at in range(len(marked) - length + 1):
                     counts[language][marked[at: at + length]] += n
         grams.append(LogTable(counts, languages))
-    return LanguageModel(languages, LogTable(words, languages), grams)
+    rows = np.concatenate([*(table.rows for table in grams), np.zeros((1, len(languages)), np.float32)])
+    before = 0
+    for table in grams:
+        table.at, before = {gram: before + nth for gram, nth in table.at.items()}, before + len(table.rows)
+        table.rows = rows
+    return LanguageModel(languages, LogTable(words, languages), grams, rows)
 
 
 def held_out(id_column: Column, folds: int) -> Column:
@@ -115,19 +123,34 @@ def learn_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     return model_of(words)
 
 
+class _Longest(dict):
+    """The next ``LONGEST`` characters, or the last ones, of a marked word to the row of the longest known n-gram they start with."""
+
+    def __init__(self, model: LanguageModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, rest: str) -> int:
+        if len(self) > _MEMO:
+            self.clear()
+        self[rest] = row = self.model.longest(rest)
+        return row
+
+
 class _Scores(dict):
     """Word to the number of its row in ``rows``."""
 
     def __init__(self, model: LanguageModel):
         super().__init__()
         self.model, self.rows = model, np.zeros((1024, len(model.languages)), np.float32)
+        self.longest = _Longest(model)
 
     def __missing__(self, word: str) -> int:
         at = len(self)
         if at == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         known = self.model.words.get(word)
-        self.rows[at] = self.model.unseen(word) if known is None else known
+        self.rows[at] = self.model.unseen(word, self.longest.__getitem__) if known is None else known
         self[word] = at
         return at
 

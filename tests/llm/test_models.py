@@ -41,6 +41,23 @@ def test_backoff_takes_the_longest_known_gram():
     assert model_of({}).languages == []
 
 
+def test_unseen_words_look_up_each_rest_once():
+    from lakeprofile.llm import language_id
+
+    model = model_of({"a": Counter({"xyz": 8, "q": 1, "zzé": 2}), "b": Counter({"yz": 5})})
+    asked, by_length = [], model.longest
+    model.longest = lambda rest: asked.append(rest) or by_length(rest)
+    scores = language_id._Scores(model)
+    words = ["xyw", "xyxyw", "éxyq", "w", "𝒳yz", "xyw", "yzyzyzyz"]
+    for word in words:
+        marked, total = f"<{word}>", np.zeros(2)
+        for at in range(len(marked)):
+            known = [row for row in (model.grams[n - 1].get(marked[at: at + n]) for n in range(4, 0, -1) if at + n <= len(marked)) if row is not None]
+            total += known[0] if known else 0
+        assert (scores.rows[scores[word]] == total.astype(np.float32)).all()
+    assert len(asked) == len(set(asked))
+
+
 def test_language_of_awkward_rows(spark):
     rows = [(i, "the cat and the dog of the house", "en") for i in range(20)] + [(100 + i, "der hund und die katze im haus", "de") for i in range(20)]
     rows += [(300, None, "en"), (301, "", "de"), (302, "12 34 !", "en"), (303, "the haus", None), (None, "der hund", "de"), (304, "Ωμέγα", None), (0, "the cat and the dog of the house", "en")]
