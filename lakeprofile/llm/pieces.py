@@ -40,6 +40,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 # Codes of pieces in arrays: 0 at the start of a word, then ids from 1, then characters that are no piece.
 _CHARACTER = 1 << 21
 _CODE_BITS = 22
+_LEADING = 22
 
 
 class _Pairs(dict):
@@ -87,6 +88,9 @@ class PieceModel:
         hashes = np.array([int(self._hashes(piece)[-1]) for piece in self.ids], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.hash_codes = hashes[order], np.array(list(self.ids.values()), np.int64)[order] + 1
+        # Which leading bits of a hash any piece has: most spans that are no piece are told by them.
+        self.leading = np.zeros(1 << _LEADING, bool)
+        self.leading[self.hashes >> np.uint64(64 - _LEADING)] = True
         self.unit = self._unit_pattern()
         # Per pair of characters, the lengths from 2 of the pieces that it ends, as bits. Pairs share entries by chance.
         self.ending = np.zeros(1 << 20, np.uint64)
@@ -229,6 +233,10 @@ class PieceModel:
                     continue
                 at = waiting[some]
                 wanted = sums[at, end] - sums[at, end - length] * self.powers[length]
+                likely = np.flatnonzero(self.leading[wanted >> np.uint64(64 - _LEADING)])
+                if not len(likely):
+                    continue
+                some, at, wanted = some[likely], at[likely], wanted[likely]
                 place = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
                 known = self.hashes[place] == wanted
                 some, at, codes = some[known], at[known], self.hash_codes[place[known]]
@@ -276,11 +284,12 @@ class PieceModel:
                 self._words(new[at: at + _WORDS])
             del wanted, new
             for nth in range(len(units)):
-                parts = [self.units.get(unit) for unit in units[nth]]
-                if None in parts:
-                    parts = [self._unit(unit) if part is None else part for unit, part in zip(units[nth], parts)]
+                try:
+                    ids = b"".join(map(self.units.__getitem__, units[nth]))
+                except KeyError:  # some of them aren't remembered
+                    ids = b"".join([self.units.get(unit) or self._unit(unit) for unit in units[nth]])
                 units[nth] = None
-                found.append(np.frombuffer(b"".join(parts), "<i4"))
+                found.append(np.frombuffer(ids, "<i4"))
         return found
 
     def encode(self, text: str) -> np.ndarray:

@@ -159,3 +159,14 @@ def test_new_words_together_equal_the_library_and_the_stream():
     for text in texts[:300]:
         stream = model._ids(model.cut(BLANK + text.replace(" ", BLANK))) if text else b""
         assert stream == got[texts.index(text)].tobytes()
+
+
+def test_spans_that_are_no_piece_are_told_by_leading_bits():
+    model = pieces.PieceModel(PIECES)
+    assert model.leading[model.hashes >> np.uint64(64 - pieces._LEADING)].all() and model.leading.mean() < 0.01
+    source = random.Random(4)
+    texts = ["".join(source.choices("abcdefgh ▁\né0.", k=source.randrange(1, 90))) for _ in range(300)]
+    texts += ["x" * 65 + " " + "y" * 200 + " and so on", "", " "]
+    alone = [b"".join(model._unit(unit) for unit in model.unit.findall(pieces.BLANK + text.replace(" ", pieces.BLANK))) if text else b"" for text in texts]
+    model.units.clear()
+    assert [ids.tobytes() for ids in model.encode_all(texts)] == alone
